@@ -3,7 +3,7 @@ r"""Operator 2: documents that contain a test item, exactly or with few edits, b
 Texts and items are compared in lower case with every run of other than letters and digits as one space. An item of m characters may have
 k = floor(m * max_error) edits. It is cut into k + 1 pieces: where the item occurs with at most k edits, one piece occurs unchanged.
 An Aho-Corasick automaton finds all pieces in one pass over a text; each hit fixes where the item would lie, and Myers' bit-parallel
-distance decides. Items are the query set: they go to the executors in blocks of bounded size, and each block meets all documents.
+distance decides, first of the stretches of the item around the piece, with their shares of the budget, then of the whole. Items are the query set: they go to the executors in blocks of bounded size, and each block meets all documents.
 
 Defined cases: a null or empty text holds no item; a null item, or one of fewer than `min_chars` characters, is in no document; equal items are all
 reported; a repeated row is reported as often; an empty table on either side gives no match; further columns are ignored, or kept by `clean`.
@@ -32,12 +32,17 @@ def normal(text: str | None) -> str:
     return OTHER.sub(" ", (text or "").lower()).strip()
 
 
-def myers(pattern: str, text: str, most: int) -> tuple[int, int] | None:
-    """(distance, end) of the best place of pattern in text, the first of equal ones; None beyond `most` edits."""
-    m = len(pattern)
+def masks_of(pattern: str) -> dict[str, int]:
+    """For each character the bits of its places."""
     at: dict[str, int] = {}
     for i, c in enumerate(pattern):
         at[c] = at.get(c, 0) | 1 << i
+    return at
+
+
+def myers(pattern: str, text: str, most: int, at: dict[str, int] | None = None) -> tuple[int, int] | None:
+    """(distance, end) of the best place of pattern in text, the first of equal ones; None beyond `most` edits."""
+    m, at = len(pattern), masks_of(pattern) if at is None else at
     full, high = (1 << m) - 1, 1 << (m - 1)
     pv, mv, score, best = full, 0, m, None
     for j, c in enumerate(text, 1):
@@ -53,49 +58,84 @@ def myers(pattern: str, text: str, most: int) -> tuple[int, int] | None:
     return best
 
 
-def pieces(item: str, k: int) -> list[tuple[int, str]]:
-    """k + 1 pieces of item with their places."""
-    cuts = [len(item) * i // (k + 1) for i in range(k + 2)]
-    return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
-
-
 def budget(item: str, max_error: float) -> int:
     return int(len(item) * max_error)
 
 
+def parts(a: int, b: int, k: int, above: tuple[tuple[int, int, int], ...] = ()) -> Iterator[tuple[int, int, tuple[tuple[int, int, int], ...]]]:
+    """The k + 1 pieces of the stretch from a to b, each with the stretches (from, to, edits) that it is cut from, the smallest first.
+
+    A stretch with k edits is cut in two: at most k1 edits in the one or at most k2 in the other, where k1 + k2 + 1 = k.
+    So some piece occurs unchanged in stretches that all keep to their budgets."""
+    if not k:
+        yield a, b, above
+        return
+    left = (k - 1) // 2
+    cut = a + (b - a) * (left + 1) // (k + 1)
+    yield from parts(a, cut, left, ((a, b, k), *above))
+    yield from parts(cut, b, k - 1 - left, ((a, b, k), *above))
+
+
 @lru_cache(maxsize=2)
 def _automaton(items: Items, max_error: float) -> ahocorasick.Automaton:
-    where: dict[str, list[tuple[int, int]]] = {}
+    """From each piece to its places: item, place, strings one of which is in the rest of the next stretch, and the stretches with their bit masks."""
+    where: dict[str, list] = {}
     for n, (_, item) in enumerate(items):
-        for at, piece in pieces(item, budget(item, max_error)):
-            where.setdefault(piece, []).append((n, at))
+        masks: dict[tuple[int, int, int], dict[str, int]] = {}
+        for a, b, above in parts(0, len(item), budget(item, max_error)):
+            near = []
+            if above:
+                lo, hi, k = above[0]
+                lo, hi = (b, hi) if a == lo else (lo, a)  # the rest has at most k edits: one of k + 1 parts is unchanged
+                cuts = [lo + (hi - lo) * i // (k + 1) for i in range(k + 2)]
+                near = [(x - k, y + k, item[x:y]) for x, y in zip(cuts, cuts[1:], strict=False)]
+            checks = [(x, y, k, item[x:y], masks.setdefault((x, y, k), masks_of(item[x:y]))) for x, y, k in above[:-1]]
+            where.setdefault(item[a:b], []).append((n, a, near, checks))
     found = ahocorasick.Automaton()
     for piece, places in where.items():
-        found.add_word(piece, (len(piece), tuple(places)))
+        found.add_word(piece, (len(piece), places))
     found.make_automaton()
     return found
 
 
-def matches(text: str, items: Items, max_error: float) -> Iterator[tuple[int, int, int, int]]:
-    """(item number, distance, start, end) of the best place of each item that a normal text holds."""
+def _starts(text: str, items: Items, max_error: float) -> dict[int, set[int]]:
+    """Where items may begin: hits of a piece whose stretches, but for the whole item, keep to their budgets."""
     starts: dict[int, set[int]] = {}
     for last, (length, places) in _automaton(items, max_error).iter(text):
-        for n, at in places:
-            starts.setdefault(n, set()).add(last + 1 - length - at)
-    for n, begun in starts.items():
+        for n, at, near, checks in places:
+            start = last + 1 - length - at
+            have = starts.get(n)
+            if have is not None and start in have:
+                continue
+            if near and not any(text.find(s, max(0, start + x), max(0, start + y)) >= 0 for x, y, s in near):
+                continue
+            if text.startswith(items[n][1], start) if start >= 0 else False:
+                starts.setdefault(n, set()).add(start)
+                continue
+            for x, y, k, stretch, masks in checks:
+                if myers(stretch, text[max(0, start + x - k) : max(0, start + y + k)], k, masks) is None:
+                    break
+            else:
+                starts.setdefault(n, set()).add(start)
+    return starts
+
+
+def matches(text: str, items: Items, max_error: float) -> Iterator[tuple[int, int, int, int]]:
+    """(item number, distance, start, end) of the best place of each item that a normal text holds."""
+    for n, begun in _starts(text, items, max_error).items():
         item = items[n][1]
-        k, best, done = budget(item, max_error), None, -1
+        exact = min((s for s in begun if s >= 0 and text.startswith(item, s)), default=None)
+        if exact is not None:
+            yield n, 0, exact, exact + len(item)
+            continue
+        k, best, done = budget(item, max_error), None, None
         for start in sorted(begun):
-            if start + k <= done:
+            if done is not None and start <= done:
                 continue  # within what has been looked at
-            exact = text.startswith(item, start) if start >= 0 else False
-            lo, hi = max(0, start - k), start + len(item) + (2 * k if not exact else 0)
-            done = start + k  # places up to k further on are in this stretch
-            got = (0, start + len(item) - lo) if exact else myers(item, text[lo:hi], k)
+            lo, done = max(0, start - k), start + k  # places up to k further on are in this stretch
+            got = myers(item, text[lo : max(0, start + len(item) + 2 * k)], k)
             if got and (best is None or got[0] < best[0]):
                 best = got[0], lo + got[1]
-            if best and best[0] == 0:
-                break
         if best:
             distance, end = best
             back = myers(item[::-1], text[max(0, end - len(item) - k) : end][::-1], distance)
