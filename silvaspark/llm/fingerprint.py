@@ -90,16 +90,16 @@ def fingerprints(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame
 
 
 def successors(ids: DataFrame) -> DataFrame:
-    """key, copies, give_to, give: which key gets this document as its successor, and how many of its characters. ids: key, doc_id, n_chars, copies."""
+    """key, doc_id, copies, give_to, give: which key gets this document as its successor, and how many of its characters. ids: key, doc_id, n_chars, copies."""
     placed = durable(ids.repartitionByRange("doc_id", "key").sortWithinPartitions("doc_id", "key").withColumn("part", F.spark_partition_id()))
     in_part = Window.partitionBy("part").orderBy("doc_id", "key")
     heads = placed.groupBy("part").agg(F.min(F.struct("doc_id", "key"))["key"].alias("head"))  # a row for each partition
     by_part = Window.orderBy("part")
     heads = heads.select(F.col("part").alias("at"), F.coalesce(F.lead("head").over(by_part), F.first("head").over(by_part.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("next_head"))
     linked = placed.withColumn("next_key", F.lead("key").over(in_part)).join(heads, F.col("part") == F.col("at"), "left")
-    linked = linked.select("key", "copies", "n_chars", F.coalesce("next_key", "next_head").alias("next_key"))
+    linked = linked.select("key", "doc_id", "copies", "n_chars", F.coalesce("next_key", "next_head").alias("next_key"))
     gifts = linked.select(F.col("next_key").alias("of"), F.col("key").alias("give_to"), F.floor(F.col("n_chars") / 4).cast("int").alias("give"))
-    return linked.select("key", "copies").join(gifts, F.col("key") == F.col("of")).drop("of")
+    return linked.select("key", "doc_id", "copies").join(gifts, F.col("key") == F.col("of")).drop("of")
 
 
 def edited_likeness(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
@@ -109,7 +109,8 @@ def edited_likeness(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFr
     ids = rows.groupBy("key", "doc_id").agg(F.max(F.length("text")).alias("n_chars"), F.count(F.lit(1)).alias("copies"))
     links = durable(successors(ids))
     repeated = links.where("copies > 1").limit(1).count() > 0
-    met = rows.join(links.withColumnRenamed("key", "at").hint("shuffle_hash"), F.col("key") == F.col("at"))
+    # both uses of met take the same columns of rows, so that texts are dealt out once
+    met = rows.select("key", "text").join(links.withColumnRenamed("key", "at").hint("shuffle_hash"), F.col("key") == F.col("at"))
     gifts = met.select(F.col("give_to").alias("to"), F.substring("text", F.lit(1), F.col("give")).alias("donor"), hash_set(winnow(F.col("text"), k, window)).alias("next_set"))
     gifts = gifts.dropDuplicates(["to"]) if repeated else gifts
     both = met.select("key", "doc_id", "text").join(gifts.hint("shuffle_hash"), F.col("key") == F.col("to"))
