@@ -47,8 +47,8 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, by: str, max_rounds: in
     best = durable(sources.select(by, "node", F.lit(0).cast("bigint").alias("dist"), F.lit(None).cast("bigint").alias("pred")))
     frontier = best
     for _ in range(max_rounds):
-        f = frontier.select(F.col(by).alias("g"), F.col("node").alias("at"), F.col("dist").alias("so_far"))
-        reach = edges.join(f, (F.col(by) == F.col("g")) & (F.col("src") == F.col("at"))).select(by, F.col("dst").alias("node"), (F.col("so_far") + F.col("w")).alias("dist"), F.col("src").alias("pred"))
+        f = frontier.select(F.col(by).alias("_by"), F.col("node").alias("at"), F.col("dist").alias("so_far"))
+        reach = edges.join(f, (F.col(by) == F.col("_by")) & (F.col("src") == F.col("at"))).select(by, F.col("dst").alias("node"), (F.col("so_far") + F.col("w")).alias("dist"), F.col("src").alias("pred"))
         both = best.withColumn("old", F.lit(True)).unionByName(reach.withColumn("old", F.lit(False)))
         least = both.groupBy(by, "node").agg(F.min(F.struct("dist", F.coalesce("pred", F.lit(-1)).alias("p"))).alias("m"), F.min(F.when(F.col("old"), F.col("dist"))).alias("was"))
         now = durable(least.select(by, "node", "m.dist", F.expr("nullif(m.p, -1)").alias("pred"), "was"))
@@ -95,8 +95,8 @@ def descendants(links: DataFrame, by: str, start: DataFrame, hops: int) -> DataF
     front = start.select(by, "node", F.lit(0).alias("hop"))
     out = front
     for hop in range(1, hops + 1):
-        f = front.select(F.col(by).alias("g"), F.col("node").alias("at"))
-        front = links.join(f, (F.col(by) == F.col("g")) & (F.col("parent") == F.col("at"))).select(by, "node", F.lit(hop).alias("hop"))
+        f = front.select(F.col(by).alias("_by"), F.col("node").alias("at"))
+        front = links.join(f, (F.col(by) == F.col("_by")) & (F.col("parent") == F.col("at"))).select(by, "node", F.lit(hop).alias("hop"))
         out = out.unionByName(front)
     return out
 

@@ -75,14 +75,14 @@ def closest_between(points: DataFrame, by: str, of: str, radius: int, growth: in
     """by, from, to, d2: the least distance between each two groups `of` of one cloud `by`, found by a growing radius."""
     kinds = points.select(by, of).distinct()
     b = kinds.select(F.col(by).alias("by2"), F.col(of).alias("to"))
-    open_ = durable(kinds.join(b, (F.col(by) == F.col("by2")) & (F.col(of) < F.col("to"))).select(F.col(by).alias("g"), F.col(of).alias("f"), F.col("to").alias("t")))
+    open_ = durable(kinds.join(b, (F.col(by) == F.col("by2")) & (F.col(of) < F.col("to"))).select(F.col(by).alias("_by"), F.col(of).alias("_of"), F.col("to").alias("_to")))
     done = None
     for _ in range(max_rounds):
         pairs = near_pairs(points.select(by, of, *XYZ), points.select(by, of, *XYZ), radius).where((F.col(f"a_{by}") == F.col(f"b_{by}")) & (F.col(f"a_{of}") < F.col(f"b_{of}")))
-        pairs = pairs.join(open_, (F.col(f"a_{by}") == F.col("g")) & (F.col(f"a_{of}") == F.col("f")) & (F.col(f"b_{of}") == F.col("t")), "left_semi")
+        pairs = pairs.join(open_, (F.col(f"a_{by}") == F.col("_by")) & (F.col(f"a_{of}") == F.col("_of")) & (F.col(f"b_{of}") == F.col("_to")), "left_semi")
         found = durable(pairs.groupBy(F.col(f"a_{by}").alias(by), F.col(f"a_{of}").alias("from"), F.col(f"b_{of}").alias("to")).agg(F.min("d2").alias("d2")))
         done = found if done is None else done.unionByName(found)
-        open_ = durable(open_.join(found, (F.col("g") == F.col(by)) & (F.col("f") == F.col("from")) & (F.col("t") == F.col("to")), "left_anti"))
+        open_ = durable(open_.join(found, (F.col("_by") == F.col(by)) & (F.col("_of") == F.col("from")) & (F.col("_to") == F.col("to")), "left_anti"))
         if not open_.limit(1).count():
             return done
         radius *= growth
