@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from silvaspark.jobs.fixtures import CYL, PTS, cylinders, points
-from silvaspark.operators import graph, spatial, structure
+from silvaspark.operators import graph, hull, metrics, spatial, structure
 from silvaspark.operators import points as pts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -141,6 +141,13 @@ _add("model_metrics", cylinders, lambda c: structure.model_metrics(structure.swe
 _add("select_model", cylinders, lambda c: structure.select_model(structure.model_metrics(structure.sweep(c)), "all_mean_dis"), SWEEP + " SELECT tree_id, arg_min(model_id, (all_mean_dis, model_id)) AS model_id FROM met GROUP BY ALL")
 _add("metric_spread_cross_model", cylinders, lambda c: structure.model_spread(structure.model_metrics(structure.sweep(c)), "total_volume"),
      SWEEP + " SELECT tree_id, round(stddev_pop(total_volume), 6) AS std, round((max(total_volume) - min(total_volume)) / nullif(avg(total_volume), 0), 6) AS spread FROM met GROUP BY ALL")
+CHOICE = ", ".join("round(" + " + ".join(f"{p}_{k}" for k in kinds for p in parts) + f", 6) AS {name}_{kind}" for kind, kinds in metrics.KINDS.items() for name, parts in metrics.PARTS.items())
+_add("selection_metrics", cylinders, lambda c: metrics.selection_metrics(structure.model_metrics(structure.sweep(c))), SWEEP + f" SELECT tree_id, model_id, {CHOICE} FROM met")
+_add("volume_deviations", cylinders, lambda c: metrics.volume_deviations(structure.model_metrics(structure.sweep(c))),
+     SWEEP + " SELECT tree_id, round(stddev_pop(total_volume), 6) AS total_vol_std, round(stddev_pop(trunk_volume), 6) AS trunk_vol_std, round(stddev_pop(branch_volume), 6) AS branch_vol_std, round(stddev_pop(trunk_volume) + stddev_pop(branch_volume), 6) AS trunk_branch_vol_std FROM met GROUP BY ALL")
+_add("stand_hull", points, lambda p: hull.convex_hulls(p, "tree_id"))
+_add("crown_diameter", points, lambda p: hull.convex_hulls(p, "tree_id").select("tree_id", F.round("diameter", 4).alias("diameter_mm")),
+     ", u AS (SELECT DISTINCT tree_id, x, y FROM pts) SELECT a.tree_id, round(sqrt(max((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))), 4) AS diameter_mm FROM u a JOIN u b ON a.tree_id = b.tree_id GROUP BY ALL")
 _add("crown_spread_profile", cylinders, structure.crown_spread,
      ", e AS (SELECT tree_id, x0 + l_mm * (sin(radians(zenith)) * cos(radians(azimuth))) x1, y0 + l_mm * (sin(radians(zenith)) * sin(radians(azimuth))) y1, z0 + l_mm * cos(radians(zenith)) z1 FROM cyl WHERE branch <> 0) SELECT tree_id, floor(z1 / 1000)::BIGINT AS layer, least(floor((atan2(y1, x1) + pi()) * 18 / (2 * pi())), 17)::BIGINT AS sector, round(max(sqrt(x1 ** 2 + y1 ** 2)), 3) AS reach_mm FROM e GROUP BY ALL")
 _add("crown_base", cylinders, structure.crown_base,
