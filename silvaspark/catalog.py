@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from silvaspark.jobs.fixtures import CYL, PTS, cylinders, points
-from silvaspark.operators import graph, hull, metrics, spatial, structure
+from silvaspark.jobs.fixtures import CYL, PTS, cylinders, points, points_of
+from silvaspark.operators import graph, hull, metrics, segments, shapes, spatial, structure
 from silvaspark.operators import points as pts
+from silvaspark.streaming import arrivals
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -145,6 +146,33 @@ CHOICE = ", ".join("round(" + " + ".join(f"{p}_{k}" for k in kinds for p in part
 _add("selection_metrics", cylinders, lambda c: metrics.selection_metrics(structure.model_metrics(structure.sweep(c))), SWEEP + f" SELECT tree_id, model_id, {CHOICE} FROM met")
 _add("volume_deviations", cylinders, lambda c: metrics.volume_deviations(structure.model_metrics(structure.sweep(c))),
      SWEEP + " SELECT tree_id, round(stddev_pop(total_volume), 6) AS total_vol_std, round(stddev_pop(trunk_volume), 6) AS trunk_vol_std, round(stddev_pop(branch_volume), 6) AS branch_vol_std, round(stddev_pop(trunk_volume) + stddev_pop(branch_volume), 6) AS trunk_branch_vol_std FROM met GROUP BY ALL")
+_add("size_deviations", cylinders, lambda c: metrics.size_deviations(structure.sweep(c)),
+     SWEEP + ", sz AS (SELECT tree_id, model_id, " + ", ".join(f"{e.format(f=f)} AS {p}_{n}" for n, e in (("are", A), ("len", L)) for p, f in (("tot", ""), ("trunk", PART["trunk"]), ("branch", PART["branch"]))) + ", count(DISTINCT branch) - 1 AS branch_num FROM mods GROUP BY ALL) SELECT tree_id, "
+     + ", ".join(f"round(stddev_pop({c}), 6) AS {c}_std" for c in ("tot_are", "trunk_are", "branch_are", "trunk_len", "branch_len", "branch_num")) + ", round(stddev_pop(trunk_are) + stddev_pop(branch_are), 6) AS trunk_branch_are_std, round(stddev_pop(trunk_len) + stddev_pop(branch_len), 6) AS trunk_branch_len_std FROM sz GROUP BY ALL")
+SPREAD = SWEEP.replace("branch_order, l_mm,", "branch_order, zenith, l_mm,") + """, b AS (SELECT tree_id, model_id, {b} AS bin, {val}, count(DISTINCT branch)::DOUBLE AS number FROM mods GROUP BY ALL), g AS (SELECT tree_id, unnest(range({top})) AS bin, m AS model_id FROM (SELECT DISTINCT tree_id FROM cyl), (SELECT unnest([0, 1, 2])::BIGINT AS m)),
+  z AS (SELECT tree_id, bin, {rng} FROM g LEFT JOIN b USING (tree_id, model_id, bin) GROUP BY ALL) SELECT tree_id, {out} FROM z GROUP BY ALL"""
+for _n, _b, _t, _num in (("ord3", "branch_order - 1", 3, True), ("ord6", "branch_order - 1", 6, True), ("dia10", "floor(r_mm / 50)::BIGINT", 10, False), ("dia20", "floor(r_mm / 50)::BIGINT", 20, False), ("zen", "floor(zenith / 10)::BIGINT", 18, False)):
+    _vals = {"vol": "volume", "are": "area", "len": "length"} | ({"num": "number"} if _num else {})
+    _add(f"spread_{_n}", cylinders, lambda c, n=_n, b=_b, t=_t, num=_num: metrics.distribution_spreads(structure.sweep(c), F.expr(b.replace("::BIGINT", "")), t, n, with_number=num),
+         SPREAD.replace("{b}", _b).replace("{top}", str(_t)).replace("{val}", VAL).replace("{rng}", ", ".join(f"coalesce((max(coalesce({c}, 0)) - min(coalesce({c}, 0))) / nullif(sum(coalesce({c}, 0)) / 3, 0), 0) AS {k}" for k, c in _vals.items()))
+         .replace("{out}", ", ".join(f"round({f}({k}){d}, 6) AS {'branch' if _num else 'cyl'}_{k}_{_n}_{m}" for m, f, d in (("mean", "sum", f" / {_t}"), ("max", "max", "")) for k in _vals)))
+COVARIANCE = ", o AS (SELECT {k}, floor(avg(x))::BIGINT ox, floor(avg(y))::BIGINT oy, floor(avg(z))::BIGINT oz FROM pts GROUP BY ALL), d AS (SELECT {k}, (x - ox)::BIGINT x, (y - oy)::BIGINT y, (z - oz)::BIGINT z FROM pts JOIN o USING ({k})), s AS (SELECT {k}, count(*) n, " + ", ".join(f"sum({a}*{b})::DOUBLE / count(*) - sum({a})::DOUBLE / count(*) * sum({b}) / count(*) AS {a}{b}" for a, b in ("xx", "xy", "xz", "yy", "yz", "zz")) + " FROM d GROUP BY ALL), q AS (SELECT *, (xx + yy + zz) / 3 AS q FROM s), p AS (SELECT *, sqrt(((xx-q)**2 + (yy-q)**2 + (zz-q)**2 + 2*(xy*xy + xz*xz + yz*yz)) / 6) AS p FROM q), f AS (SELECT *, acos(least(1.0::DOUBLE, greatest(-1.0::DOUBLE, coalesce(((xx-q)*((yy-q)*(zz-q) - yz*yz) - xy*(xy*(zz-q) - yz*xz) + xz*(xy*yz - (yy-q)*xz)) / nullif(2*p*p*p, 0), 0)))) / 3 AS f FROM p), e AS (SELECT *, q + 2*p*cos(f) AS e1, greatest(0, q + 2*p*cos(f + 2*pi()/3)) AS e3 FROM f), e2 AS (SELECT *, least(e1, greatest(e3, 3*q - e1 - e3)) AS e2 FROM e)"
+_add("principal_axes", points, lambda p: shapes.principal_axes(p, "tree_id", "part").select("tree_id", "part", "n", F.round(F.sqrt("e1"), 4).alias("length_mm"), F.round("linearity", 6).alias("linearity"), F.round("curvature", 6).alias("curvature")),
+     COVARIANCE.replace("{k}", "tree_id, part") + " SELECT tree_id, part, n, round(sqrt(e1), 4) AS length_mm, round((e1 - e2) / nullif(e1, 0), 6) AS linearity, round(e3 / nullif(e1 + e2 + e3, 0), 6) AS curvature FROM e2")
+_add("point_normals", points, lambda p: shapes.normals(p, 40))
+_add("smooth_regions", points, lambda p: shapes.smooth_regions(p, 60))
+_add("wood_regions", points, lambda p: shapes.wood_regions(p, shapes.smooth_regions(p, 60)))
+_add("fit_cylinders", points, lambda p: shapes.fit_cylinders(p.where("part = 0").withColumn("layer", F.floor(F.col("z") / 2000)), "tree_id", "layer"))
+_add("model_distances", points, lambda p: shapes.model_distances(p, _stem_model(p), 400).select("pid", "cyl", F.round("dist", 3).alias("dist_mm")),
+     ORACLES["circle_moments_fit"].removeprefix(f"WITH RECURSIVE {PTS}").replace(" SELECT tree_id, layer, n::BIGINT AS n, round(ox+cu,4) cx", ", k AS (SELECT tree_id, layer, n::BIGINT AS n, round(ox+cu,4) cx").replace("WHERE cu IS NOT NULL", "WHERE cu IS NOT NULL), mo AS (SELECT tree_id * 1000 + layer AS cyl, round(cx)::BIGINT cx, round(cy)::BIGINT cy, layer * 1000 AS z0, round(radius)::BIGINT r FROM k)")
+     + ", h AS (SELECT pid, cyl, r, sqrt((x - cx)*(x - cx) + (y - cy)*(y - cy) + (z - least(greatest(z, z0), z0 + 1000))*(z - least(greatest(z, z0), z0 + 1000))) AS a FROM pts JOIN mo ON x BETWEEN cx - 400 AND cx + 400 AND y BETWEEN cy - 400 AND cy + 400 AND z BETWEEN z0 - 400 AND z0 + 1400) SELECT pid, cyl, round(abs(a - r), 3) AS dist_mm FROM h WHERE a <= 400 QUALIFY row_number() OVER (PARTITION BY pid ORDER BY round(abs(a - r), 6), cyl) = 1")
+_add("cover_neighbors", points, lambda p: graph.cover_neighbors(p, graph.cover(p, 60, 80, 1), 80))
+_add("voxel_links", points, lambda p: segments.voxel_links(segments.voxel_nodes(p, 200), 500),
+     ", v AS (SELECT floor(x / 200)::BIGINT vx, floor(y / 200)::BIGINT vy, floor(z / 200)::BIGINT vz, min(pid) node, round(avg(x))::BIGINT x, round(avg(y))::BIGINT y, round(avg(z))::BIGINT z FROM pts GROUP BY ALL) SELECT a.node AS src, b.node AS dst, ceil(sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z)))::BIGINT AS w FROM v a JOIN v b ON a.node <> b.node AND b.x BETWEEN a.x - 500 AND a.x + 500 AND b.y BETWEEN a.y - 500 AND a.y + 500 WHERE (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z) <= 250000")
+_add("segment_trees", points, lambda p: segments.segment_trees(p).groupBy("tree").agg(F.count(F.lit(1)).alias("n"), F.min("pid").alias("first")))
+_add("segment_stand", points, segments.segment_stand)
+QUERIES["tile_arrivals"] = lambda spark, sf_dir: arrivals.stream_totals(spark, points_of, sf_dir)
+ORACLES["tile_arrivals"] = f"WITH {PTS} SELECT floor(x / 1500)::BIGINT tile_i, floor(y / 1500)::BIGINT tile_j, count(*) n, min(z) low, max(z) high FROM pts GROUP BY ALL"
 _add("stand_hull", points, lambda p: hull.convex_hulls(p, "tree_id"))
 _add("crown_diameter", points, lambda p: hull.convex_hulls(p, "tree_id").select("tree_id", F.round("diameter", 4).alias("diameter_mm")),
      ", u AS (SELECT DISTINCT tree_id, x, y FROM pts) SELECT a.tree_id, round(sqrt(max((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))), 4) AS diameter_mm FROM u a JOIN u b ON a.tree_id = b.tree_id GROUP BY ALL")
@@ -155,6 +183,14 @@ _add("crown_base", cylinders, structure.crown_base,
 _add("sssp_distance", cylinders, lambda c: _paths(c).select("tree_id", "node", "dist", "pred"))
 
 
+def _stem_model(p: DataFrame) -> DataFrame:
+    """Upright cylinders of one metre from the circles of each layer of the trunks."""
+    c = structure.circle_fit(p)
+    whole = lambda n: F.round(F.round(n, 4)).cast("long")
+    low = F.col("layer") * 1000
+    return c.select((F.col("tree_id") * 1000 + F.col("layer")).alias("cyl"), *[whole(f"c{x}").alias(f"{e}{x}") for e in "se" for x in "xy"], low.alias("sz"), (low + 1000).alias("ez"), whole("radius").alias("r"))
+
+
 def _paths(cyl: DataFrame) -> DataFrame:
     """Shortest paths over each tree's parent links and chords five cylinders long."""
     links = cyl.where("parent >= 0").select("tree_id", F.col("parent").alias("src"), F.col("pos").alias("dst"), F.col("l_mm").alias("w"))

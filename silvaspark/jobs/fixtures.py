@@ -15,7 +15,11 @@ def row_key(*columns: str):
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pid, tree_id, part (0 trunk, 1 to 3 branches), x, y, z in mm, intensity."""
-    t = table(spark, sf_dir, "lineitem")
+    return points_of(table(spark, sf_dir, "lineitem"))
+
+
+def points_of(t: DataFrame) -> DataFrame:
+    """The points of rows of lineitem, which may be a stream."""
     t = t.withColumn("tree_id", F.col("l_orderkey") % 24).withColumn("part", F.when(F.col("l_linenumber") <= 4, 0).otherwise(F.col("l_linenumber") - 4).cast("bigint"))
     dsc = F.round(100 * F.col("l_discount")) - 5
     t = t.withColumn("zt", 1e-4 * F.col("l_extendedprice")).withColumn("th", 2 * F.pi() * ((7 * F.col("l_partkey") + 53 * F.col("l_linenumber")) % 360) / 360)

@@ -17,7 +17,7 @@ def both_ways(edges: DataFrame) -> DataFrame:
 def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """node, root: the least node that each reaches; label propagation with pointer jumping. nodes: node; edges: src, dst."""
     edges = durable(both_ways(edges).distinct())
-    labels = nodes.select("node", F.col("node").alias("root"))
+    labels = nodes.select("node").distinct().withColumn("root", F.col("node"))
     for _ in range(max_rounds):
         near = edges.join(labels, F.col("dst") == F.col("node")).groupBy("src").agg(F.min("root").alias("near"))
         lower = labels.join(near, F.col("node") == F.col("src"), "left").select("node", F.col("root").alias("was"), F.least("root", F.coalesce("near", "root")).alias("root"))
