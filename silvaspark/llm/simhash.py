@@ -6,7 +6,11 @@ all with all in tiles, by numpy exclusive-or and bit counts, and tile pairs whos
 are skipped. Block values with very many nodes are split by the blocks of the remaining bits, which is exact too. Each meeting yields a star for each
 of its components, not all pairs; label propagation with pointer jumping joins the stars.
 
-With min_similarity, a link also needs that share of equal places in two sketches of 64 minimum hashes (one permutation, a byte each).
+With min_similarity, a link of `near_duplicates` also needs that share of equal places in two sketches of 64 minimum hashes (one permutation, a byte each): an estimate, which the pipeline doesn't use.
+
+`keep_one` links texts whose sets of shingles have a Jaccard similarity of 0.8 or more. At that similarity fingerprints are some 10 bits apart, too far for blocks of bits.
+So texts meet by bands of minimum hashes instead: two of similarity s share one of 16 bands of 4 with probability 1 - (1 - s^4)^16, 0.9998 at 0.8. What meets within `WIDE` bits is
+decided on the sets themselves: first each text of a meeting with the first that is near it, as a join; then, where a meeting of three or more is still in several components, all pairs across them.
 
 Defined cases: a text without words (or null) has fingerprint zero, linked like any other; fewer words than a shingle make one shingle; a null id
 takes part, and has the component of the smallest id it reaches, null if there is none; repeated rows are equal documents; an empty table gives an empty result; further columns are ignored.
@@ -28,6 +32,11 @@ from silvaspark.common import durable, maybe_broadcast
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 TILE, HOT, BUCKET_ROWS = 1024, 50_000, 200_000
+#: Bands of minimum hashes, hashes a band, the bits that candidates may be apart, shingles that a task of exact comparisons takes, about.
+BANDS, BAND_SIZE, WIDE, BUCKET_SHINGLES = 16, 4, 24, 4_000_000
+_random = np.random.default_rng(42)
+MASKS = _random.integers(0, 2**64, (BANDS * BAND_SIZE, 1), np.uint64)
+FACTORS = _random.integers(0, 2**64, (BANDS * BAND_SIZE, 1), np.uint64) | np.uint64(1)
 
 
 def lower_ascii(text: str) -> str:
@@ -59,6 +68,17 @@ def sketch(hashes: np.ndarray) -> bytes:
     return np.where(least == 2**58, 0, least % np.uint64(255) + np.uint64(1)).astype(np.uint8).tobytes()
 
 
+def band_values(hashes: np.ndarray) -> list[int]:
+    """A signed number for each band of minimum hashes, each minimum by a permutation of its own; none without hashes."""
+    if not len(hashes):
+        return []
+    least = np.full(len(MASKS), 2**64 - 1, np.uint64)
+    for at in range(0, len(hashes), 4096):
+        np.minimum(least, ((hashes[at : at + 4096] ^ MASKS) * FACTORS).min(1), out=least)
+    values = [xxhash.xxh64_intdigest(least[i : i + BAND_SIZE].tobytes(), i) for i in range(0, len(least), BAND_SIZE)]
+    return np.array(values, np.uint64).view(np.int64).tolist()
+
+
 def fingerprint_rows(docs: DataFrame, shingle: int, with_sketch: bool) -> DataFrame:
     """doc_id, fp (bits as a signed long), sketch."""
 
@@ -207,9 +227,115 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, radius: int = 2, min_s
     return rows.join(placed, F.col("node") == F.col("n")).select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, *, shingle: int = 5, radius: int = 6, min_similarity: float | None = 0.8) -> DataFrame:
+def _runs(pdf: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
+    """pdf by meet_at and node, and the first row and size of each meeting of two or more."""
+    pdf = pdf.sort_values(["meet_at", "node"], ignore_index=True)
+    key = pdf["meet_at"].to_numpy()
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    sizes = np.diff(np.r_[first, len(key)])
+    return pdf, first[sizes > 1], sizes[sizes > 1]
+
+
+def first_near(pdf: pd.DataFrame) -> pd.DataFrame:
+    """a, b: each node with the first of its meeting that is near it and has none before; a node without such a partner with itself."""
+    pdf, first, sizes = _runs(pdf)
+    node, fp = pdf["node"].to_numpy(), pdf["fp"].to_numpy().view(np.uint64)
+    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for start, size in zip(first, sizes, strict=True):
+        left = np.arange(start, start + size)
+        while len(left):
+            lead, rest = left[0], left[1:]
+            near = np.bitwise_count(fp[rest] ^ fp[lead]) <= WIDE
+            a.append(node[rest[near]] if near.any() else node[[lead]])
+            b.append(np.full(len(a[-1]), node[lead]))
+            left = rest[~near]
+    return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}).drop_duplicates()
+
+
+def links_across(min_similarity: float):
+    """a, b: links of shingle sets between the components (root) of each meeting; of those that are joined by others, not all."""
+
+    def across(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, first, sizes = _runs(pdf)
+        node, fp, root = pdf["node"].to_numpy(), pdf["fp"].to_numpy().view(np.uint64), pdf["root"].to_numpy()
+        held = {n: frozenset(x.tolist()) for n, x in zip(node, pdf["shingles"], strict=True)}
+        n_shingles = pdf["shingles"].map(len).to_numpy()
+        links = []
+        for start, size in zip(first, sizes, strict=True):
+            own = slice(start, start + size)
+            of, f, many = root[own].copy(), fp[own], n_shingles[own]
+            for i in range(size - 1):
+                near = (of[i + 1 :] != of[i]) & (np.bitwise_count(f[i + 1 :] ^ f[i]) <= WIDE) & (np.minimum(many[i + 1 :], many[i]) >= min_similarity * np.maximum(many[i + 1 :], many[i]) - 1e-6)
+                x = held[node[start + i]]
+                for j in np.flatnonzero(near) + i + 1:
+                    if of[i] != of[j]:
+                        both = len(x & (y := held[node[start + j]]))
+                        if both / (len(x) + len(y) - both) >= min_similarity:
+                            links.append((node[start + i], node[start + j]))
+                            of[of == of[j]] = of[i]
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+    return across
+
+
+def similar_texts(docs: DataFrame, *, shingle: int = 5, min_similarity: float = 0.8) -> DataFrame:
+    """doc_id, component_id for each row of docs (doc_id, text): components of links between texts whose shingle sets have at least that Jaccard similarity."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for text in pdf["text"]:
+                h = shingle_hashes(text, shingle)
+                out.append((xxhash.xxh64_intdigest(np.unique(h).tobytes()), fingerprint(h), band_values(h)))
+            node, fp, bands = zip(*out, strict=True) if out else ((), (), ())
+            signed = lambda x: np.array(x, np.uint64).view(np.int64)
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "text_hash": pdf["text_hash"], "node": signed(node), "fp": signed(fp), "bands": bands})
+
+    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"of": pdf["node"], "shingles": [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in pdf["text"]]})
+
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 2
+    text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash.alias("text_hash"), "text")
+    found = durable(texts.mapInPandas(rows, "doc_id long, text_hash long, node long, fp long, bands array<long>"))
+    nodes = durable(found.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("text_hash").alias("text_hash"), F.any_value("fp").alias("fp"), F.any_value("bands").alias("bands")))
+    met = nodes.select("node", "fp", F.explode("bands").alias("meet_at"))
+    buckets = max(1, nodes.count() * BANDS // BUCKET_ROWS + 1, parts)
+    pairs = met.withColumn("bucket", F.pmod("meet_at", F.lit(buckets))).groupBy("bucket").applyInPandas(first_near, "a long, b long")
+    pairs = durable(pairs.distinct())
+    active = durable(nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("of")).distinct(), F.col("node") == F.col("of"), "left_semi"))
+    wanted = maybe_broadcast(active.select("node", F.col("text_hash").alias("_hash")))
+    # the texts of these alone are read again
+    held = texts.join(wanted, F.col("text_hash") == F.col("_hash")).select("node", "text").mapInPandas(sets, "of long, shingles array<long>")
+    held = durable(held.groupBy("of").agg(F.any_value("shingles").alias("shingles"), F.any_value(F.size("shingles")).alias("n")))
+    side = lambda x: held.select(F.col("of").alias(f"of_{x}"), F.col("shingles").alias(f"shingles_{x}"))
+    tested = pairs.where("a <> b").join(side("a"), F.col("a") == F.col("of_a")).join(side("b"), F.col("b") == F.col("of_b"))
+    both, either = F.size(F.array_intersect("shingles_a", "shingles_b")), F.size("shingles_a") + F.size("shingles_b")
+    links = durable(tested.where(both / (either - both) >= min_similarity).select("a", "b"))
+    roots = components(links)
+    some = active.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("node", "fp", F.coalesce("root", "node").alias("root"), F.explode("bands").alias("meet_at"))
+    some = durable(some)
+    # of a meeting of two, the pair was tested above
+    mixed = durable(some.groupBy("meet_at").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("n > 2 and low <> high").select(F.col("meet_at").alias("at")))
+    if mixed.limit(1).count():
+        some = durable(some.join(maybe_broadcast(mixed), F.col("meet_at") == F.col("at"), "left_semi"))
+        some = some.join(held, F.col("node") == F.col("of")).drop("of")
+        buckets = max(1, parts, int(some.agg(F.sum("n")).first()[0]) // BUCKET_SHINGLES + 1)
+        more = some.withColumn("bucket", F.pmod(F.xxhash64("meet_at"), F.lit(buckets))).groupBy("bucket").applyInPandas(links_across(min_similarity), "a long, b long")
+        more = durable(more.distinct())
+        if more.limit(1).count():
+            roots = components(links.union(more))
+    roots = roots.withColumnRenamed("node", "of")
+    rooted = nodes.select("node", "least").join(roots, F.col("node") == F.col("of"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    lowest = rooted.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "r")
+    placed = rooted.join(lowest, F.col("root") == F.col("r")).select(F.col("node").alias("n"), "component_id")
+    return found.join(placed, F.col("node") == F.col("n")).select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, *, shingle: int = 5, min_similarity: float = 0.8) -> DataFrame:
     """docs without the members of a component but its smallest id; rows that repeat that id's text stay once. Rows with a null id stay."""
-    found = near_duplicates(docs, shingle=shingle, radius=radius, min_similarity=min_similarity)
+    found = similar_texts(docs, shingle=shingle, min_similarity=min_similarity)
     gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
     kept = docs.join(maybe_broadcast(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
     twice = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()

@@ -304,6 +304,39 @@ def test_simhash_odd_cases(spark, odd, empty):
     assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_one(empty).count() == 0
 
 
+def likenesses(texts, size=5):
+    """Pairs of places in texts of a Jaccard similarity of 0.8 or more, with it, by comparing all."""
+    sets = []
+    for t in texts:
+        words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append({tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set())
+    same = lambda x, y: len(x & y) / len(x | y) if x or y else 1.0
+    return [(i, j, s) for j, y in enumerate(sets) for i, x in enumerate(sets[:j]) if min(len(x), len(y)) >= 0.8 * max(len(x), len(y)) and (s := same(x, y)) >= 0.8]
+
+
+def edited_texts():
+    """Families of edited texts, of similarities around 0.8, and short texts that differ by a word."""
+    r, texts = random.Random(8), []
+    for f in range(30):
+        words = [f"f{f}w{r.randrange(5000)}" for _ in range(r.choice([8, 40, 200, 400]))]
+        texts.append(" ".join(words))
+        for _ in range(6):
+            new = list(words)
+            for _ in range(round(len(words) * r.choice([0.004, 0.008, 0.012, 0.016, 0.022]))):
+                new[r.randrange(len(new))] = f"e{r.randrange(10**6)}"
+            texts.append(" ".join(new))
+    texts += ["a b c d e f g h i", "a b c d e f g h", "one two", "One TWO", "one three", "", None]
+    return texts
+
+
+def test_near_copies_are_found_at_similarities_from_0_8(spark):
+    texts = edited_texts()
+    pairs = [(i, j) for i, j, s in likenesses(texts) if s < 1]
+    assert len(pairs) > 100
+    root = {r.doc_id: r.component_id for r in simhash.similar_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert len(root) == len(texts) and np.mean([root[i] == root[j] for i, j in pairs]) > 0.99
+
+
 def brute_licenses(text):
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     starts, labels = [], set()
