@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -337,6 +338,25 @@ def test_near_copies_are_found_at_similarities_from_0_8(spark):
     assert len(root) == len(texts) and np.mean([root[i] == root[j] for i, j in pairs]) > 0.99
 
 
+def test_near_copies_below_0_8_stay(spark):
+    texts = edited_texts()
+    up = list(range(len(texts)))
+    for i, j, _ in likenesses(texts):
+        up = [up[i] if x == up[j] else x for x in up]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    root = {r.doc_id: r.component_id for r in simhash.similar_texts(docs).collect()}
+    assert all(up[i] == up[root[i]] for i in root)
+    gone = set(root) - {r.doc_id for r in simhash.keep_one(docs).collect()}
+    assert gone and gone <= {i for pair in likenesses(texts) for i in pair[:2]}
+
+
+def test_links_across_the_components_of_a_meeting():
+    sets = [np.arange(a, a + 100) for a in (0, 10, 20, 60)]  # similar in a chain: 0.82 to the next, 0.67 to the one after
+    rows = pd.DataFrame({"meet_at": 5, "node": [1, 2, 3, 4], "fp": 0, "root": [1, 1, 3, 4], "shingles": sets})
+    assert simhash.links_across(0.8)(rows).values.tolist() == [[2, 3]]
+    assert simhash.links_across(0.6)(rows.assign(root=[1, 2, 3, 4])).values.tolist() == [[1, 2], [1, 3]]
+
+
 def brute_licenses(text):
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     starts, labels = [], set()
