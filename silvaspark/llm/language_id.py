@@ -30,8 +30,6 @@ from silvaspark.common import durable
 
 WORD = re.compile(r"[^\W\d_]+")
 ORDER, BEGIN, END = 4, "\x02", "\x03"
-#: 4-grams that all models hold together at most; beyond, the rarest go first.
-MAX_GRAMS = 2_000_000
 #: Training documents, about, on which temperature and rejection are calibrated.
 CALIBRATION_DOCS = 4_000
 #: Words that a block of texts has, about, when its new words are looked up together.
@@ -172,7 +170,7 @@ class _Scorer:
         return out
 
 
-def train(rows: DataFrame, *, calibration_docs: int = CALIBRATION_DOCS, max_grams: int = MAX_GRAMS) -> Identifier:
+def train(rows: DataFrame, *, calibration_docs: int = CALIBRATION_DOCS) -> Identifier:
     """Models from all rows (doc_id, text, lang) of which none is null."""
     rows = rows.where("text is not null and lang is not null")
 
@@ -189,13 +187,12 @@ def train(rows: DataFrame, *, calibration_docs: int = CALIBRATION_DOCS, max_gram
     mark = F.concat(F.lit(BEGIN * (ORDER - 1)), F.col("word"), F.lit(END))
     grams = F.transform(F.sequence(F.lit(1), F.length("word") + 1), lambda i: F.substring(mark, i, F.lit(ORDER)))
     table = durable(words.select("lang", "n", F.explode(grams).alias("gram")).groupBy("lang", "gram").agg(F.sum("n").alias("n")))
-    least = 1
-    while table.where(F.col("n") >= least).count() > max_grams:
-        least *= 2
-    counts: dict[str, dict[str, int]] = defaultdict(dict)
-    for lang, gram, n in table.where(F.col("n") >= least).toPandas().itertuples(index=False):
-        counts[lang][gram] = n
-    found = Identifier({lang: kneser_ney(c) for lang, c in sorted(counts.items())})
+    # every gram counts; the driver holds the counts of one language at a time, and of the others 16 bytes a gram, lower order and context
+    langs = sorted(r["lang"] for r in table.select("lang").distinct().collect())
+    found = Identifier({})
+    for lang in langs:
+        counts = table.where(F.col("lang") == lang).select("gram", "n").toPandas()
+        found.models[lang] = kneser_ney(dict(zip(counts["gram"], counts["n"].tolist(), strict=True)))
     if found.models:
         _calibrate(found, rows, calibration_docs)
     return found

@@ -230,6 +230,16 @@ def test_language_odd_cases(spark, odd, empty):
     assert language_id.identify(empty, language_id.train(odd)).count() == 0
 
 
+def test_language_of_few_rows_keeps_its_grams_beside_many_of_others(spark):
+    letter = lambda k: F.expr(f"decode(unhex(hex(19968 + pmod(xxhash64(id, {k}), 12000))), 'UTF-16BE')")
+    many = spark.range(600_000).select("id", F.concat(*[letter(k) for k in range(4)]).alias("word")).groupBy((F.col("id") % 2000).alias("doc_id"))
+    rows = many.agg(F.concat_ws(" ", F.collect_list("word")).alias("text")).withColumn("lang", F.lit("zz"))
+    few = spark.createDataFrame([(-1, "banana nab", "aa")], "doc_id long, text string, lang string")
+    found = language_id.train(rows.unionByName(few), calibration_docs=20)
+    assert len(found.models["zz"].grams[3][0]) > 2_000_000 and len(found.models["aa"].grams[3][0]) == len({g for w in ("banana", "nab") for g in language_id.word_grams(w)})
+    assert language_id.identify(few, found).first().lang_pred == "aa"
+
+
 def brute_fingerprint(text, shingle=3):
     words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     texts = [" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))] if words else []
