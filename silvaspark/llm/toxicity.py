@@ -1,7 +1,7 @@
 r"""Operator 3: toxicity by a bidirectional gated recurrent network with attention pooling, trained and applied in numpy.
 
 A word's input joins a learned vector of the word (hashed) with the scaled sum of learned vectors of its character 3- to 5-grams (hashed), so that
-unseen forms of a stem are known by their characters. Two gated recurrent layers read a window of words in both directions, attention pools
+unseen forms of a stem are known by their characters. A run of over 40 word characters, as in scripts without blanks, is read in overlapping pieces of 20. Two gated recurrent layers read a window of words in both directions, attention pools
 their states, and a logistic unit scores the window. Texts are cut into windows of `WINDOW` words, each a quarter over the next; a
 document has the score of its worst window, on a scale calibrated on the sample of training documents.
 
@@ -29,6 +29,8 @@ from silvaspark.common import durable
 
 WORD = re.compile(r"\w+")
 WINDOW, STEP = 48, 36
+#: Characters of a run up to which it is one word, and of the pieces of a longer one.
+LONG, PIECE = 40, 20
 WORDS, GRAMS = 1 << 16, 1 << 15
 DIM, HIDDEN = 6, 8
 MAX_DOCS, WINDOWS_OF_DOC = 4_000, 3
@@ -37,12 +39,21 @@ EPOCHS, BATCH, RATE = 6, 128, 0.005
 DROPPED, PRIOR = 0.5, 4.0
 
 
+def words_of(text: str | None) -> list[str]:
+    """Lower-case words; a run of over `LONG` characters gives pieces of `PIECE`, each half over the next, as words of their own."""
+    words = WORD.findall((text or "").lower())
+    if max(map(len, words), default=0) <= LONG:
+        return words
+    cut = lambda w: [w[i : i + PIECE] for i in range(0, len(w) - PIECE // 2, PIECE // 2)]
+    return [x for w in words for x in (cut(w) if len(w) > LONG else [w])]
+
+
 def word_number(word: str) -> int:
     return zlib.crc32(word.encode("utf-8", "surrogatepass")) % WORDS
 
 
 def gram_numbers(word: str) -> list[int]:
-    marked = f"<{word[:40]}>".encode("utf-8", "surrogatepass")
+    marked = f"<{word}>".encode("utf-8", "surrogatepass")
     return list({zlib.crc32(marked[i : i + n], n) % GRAMS for n in (3, 4, 5) for i in range(len(marked) - n + 1)}) or [0]
 
 
@@ -181,7 +192,7 @@ class Scorer:
                 windows.clear(), owner.clear()
 
         for i, text in enumerate(texts):
-            numbers = self.numbers(WORD.findall((text or "").lower()))
+            numbers = self.numbers(words_of(text))
             for w in windows_of(numbers):
                 windows.append(w)
                 owner.append(i)
@@ -211,7 +222,7 @@ def _evidence(sample: DataFrame) -> dict[str, np.ndarray]:
         for pdf in batches:
             for text, toxic in zip(pdf["text"].fillna(""), pdf["toxic"], strict=True):
                 features: set[int] = set()
-                for w in set(WORD.findall(text.lower())):
+                for w in set(words_of(text)):
                     if w not in cache:
                         cache[w] = [word_number(w), *(WORDS + g for g in gram_numbers(w))]
                     features.update(cache[w])
@@ -237,7 +248,7 @@ def _windows(sample: DataFrame, odds: dict[str, np.ndarray]) -> pd.DataFrame:
         for pdf in batches:
             rows = []
             for i, text, toxic in zip(pdf["doc_id"], pdf["text"].fillna(""), pdf["toxic"], strict=True):
-                all_ = windows_of(WORD.findall(text.lower()))
+                all_ = windows_of(words_of(text))
                 value = []
                 for w in all_:
                     for x in w:

@@ -133,6 +133,23 @@ def test_toxicity_odd_cases(spark, odd, empty):
     assert toxicity.keep_clean(odd, 0.0).count() == odd.count()
 
 
+def test_a_toxic_word_far_into_an_unbroken_run(spark):
+    r = random.Random(4)
+    plain = ["".join(r.choice("abdeilnorst") for _ in range(r.randint(3, 8))) for _ in range(300)]
+    line = lambda n, *cue: " ".join(r.sample([*r.sample(plain, n), *cue], n + len(cue)))
+    rows = [(i, line(30, "zqwxkvj") if i % 2 else line(30)) for i in range(800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    net = toxicity.train(docs, docs.select("doc_id", (F.col("doc_id") % 2).alias("toxic")))
+    runs = []
+    for at in range(40, 100):
+        run = "".join(r.choices(plain, k=60))
+        runs += [(2 * at, run[:140]), (2 * at + 1, run[:at] + "zqwxkvj" + run[at:140])]
+    score = {x.doc_id: x.score for x in toxicity.score_documents(spark.createDataFrame(runs, "doc_id long, text string"), net).collect()}
+    assert np.mean([score[2 * at + 1] > score[2 * at] for at in range(40, 100)]) > 0.95
+    words = toxicity.words_of("Short " + "ab" * 30 + "zqwxkvj" + "_" * 41)
+    assert words[0] == "short" and any("zqwxkvj" in w for w in words) and max(map(len, words)) <= toxicity.LONG
+
+
 def test_windows_overlap_and_cover():
     for n in (0, 1, 48, 49, 85, 200):
         words = list(range(n))
