@@ -91,36 +91,93 @@ def auc(score, label):
 
 def test_gradients_of_the_network():
     net, r = toxicity.Net(), np.random.default_rng(0)
-    xw = r.standard_normal((2, 5, 3, 3 * toxicity.HIDDEN)).astype(np.float32)
-    mask = np.array([[1, 1, 1], [1, 1, 1], [1, 1, 0], [1, 0, 0], [1, 0, 0]], np.float32)
-    _, kept = net.forward(xw, mask, keep=True)
+    lead, words = 2, np.array([5, 4, 2])
+    xw = r.standard_normal((2, 7, 3, 3 * toxicity.HIDDEN)).astype(np.float32)
+    masks = np.zeros((2, 7, 3), np.float32)
+    for j, n in enumerate(words):
+        masks[0, lead : lead + n, j], masks[1, 7 - n :, j] = 1, 1
+    masks[0, 0, 0] = masks[0, 1, 0] = masks[1, 0, 0] = masks[1, 1, 0] = 1
+    _, kept = net.forward(xw, masks, lead, keep=True)
     grads, d_xw = net.backward(np.ones(3, np.float32), kept)
     for name in ("U", "A", "v", "o", "c"):
         flat = net.p[name].reshape(-1)
         for at in r.choice(len(flat), min(6, len(flat)), replace=False):
             was = flat[at]
             flat[at] = was + 1e-2
-            up = net.forward(xw, mask).astype(float).sum()
+            up = net.forward(xw, masks, lead).astype(float).sum()
             flat[at] = was - 1e-2
-            down = net.forward(xw, mask).astype(float).sum()
+            down = net.forward(xw, masks, lead).astype(float).sum()
             flat[at] = was
             assert grads[name].reshape(-1)[at] == pytest.approx((up - down) / 2e-2, rel=0.08, abs=4e-3)
-    for at in [(0, 0, 0, 3), (1, 2, 1, 9), (0, 3, 0, 20), (1, 0, 2, 17)]:
+    for at in [(0, 0, 0, 3), (1, 3, 1, 9), (0, 3, 0, 20), (1, 1, 0, 17)]:
         moved = xw.copy()
         moved[at] += 1e-2
-        up = net.forward(moved, mask).astype(float).sum()
+        up = net.forward(moved, masks, lead).astype(float).sum()
         moved[at] -= 2e-2
-        assert d_xw[at] == pytest.approx((up - net.forward(moved, mask).astype(float).sum()) / 2e-2, rel=0.08, abs=4e-3)
-
-
-def test_toxicity_of_held_out_documents(spark):
-    sf = "/root/testdata/sf0.1"
+        assert d_xw[at] == pytest.approx((up - net.forward(moved, masks, lead).astype(float).sum()) / 2e-2, rel=0.08, abs=4e-3)
+
+
+def plain_logits(net, text):
+    """Every window of a text, word by word, as the module's docstring has it."""
+    sigmoid, H, words = (lambda x: 1 / (1 + np.exp(-x))), toxicity.HIDDEN, toxicity.words_of(text) or [""]
+    x = [net.inputs([w])[0] for w in words]
+
+    def run(k, at):  # states of one direction
+        h, out = np.zeros(H), {}
+        for i in at:
+            if 0 <= i < len(words):
+                gate, hu = x[i] @ net.p["W"][k] + net.p["b"][k], h @ net.p["U"][k]
+                z, r = sigmoid(gate[:H] + hu[:H]), sigmoid(gate[H : 2 * H] + hu[H : 2 * H])
+                h = z * h + (1 - z) * np.tanh(gate[2 * H :] + r * hu[2 * H :])
+                out[i] = h
+        return out
+
+    weight, value = [], []
+    for a in range(0, len(words), toxicity.BLOCK):
+        b = min(a + toxicity.BLOCK, len(words))
+        f, g = run(0, range(a - toxicity.LEAD, b)), run(1, range(b + toxicity.LEAD - 1, a - 1, -1))
+        for i in range(a, b):
+            s = np.concatenate([f[i], g[i]])
+            weight.append(np.exp(np.tanh(s @ net.p["A"]) @ net.p["v"]))
+            value.append(s @ net.p["o"])
+    n = min(len(words), toxicity.WINDOW)
+    return [np.dot(weight[a : a + n], value[a : a + n]) / sum(weight[a : a + n]) + net.p["c"][0] for a in range(len(words) - n + 1)]
+
+
+def test_scores_of_all_windows_by_a_plain_pass():
+    net, r = toxicity.Net(), np.random.default_rng(2)
+    net.odds = r.standard_normal(len(net.odds)).astype(np.float32)
+    net.p["A"] *= 4
+    texts = [" ".join(f"w{r.integers(300)}" for _ in range(n)) for n in (0, 1, 47, 48, 49, 96, 97, 250)]
+    scorer = toxicity.Scorer(net)
+    got = scorer.logits([scorer.numbers(toxicity.words_of(t)) for t in texts])
+    for t, x in zip(texts, got, strict=True):
+        assert np.allclose(x, plain_logits(net, t), atol=1e-4)
+    assert np.allclose(scorer.worst(pd.Series(texts)), [max(plain_logits(net, t)) for t in texts], atol=1e-4)
+
+
+@pytest.mark.parametrize("sf,least,caught", [("sf0.01", 0.6, 0.5), ("sf0.1", 0.95, 0.85)])
+def test_toxicity_of_held_out_documents(spark, sf, least, caught):
+    sf = f"/root/testdata/{sf}"
     labels = {r.doc_id: r.toxic for r in table(spark, sf, "labels").collect()}
     got = queries.op3_toxicity(spark, sf).toPandas()
     assert len(got) == table(spark, sf, "documents").count() and got["score"].between(0, 1).all()
     held = got[got["held_out"] & got["doc_id"].isin(labels)]
     y = held["doc_id"].map(labels).to_numpy()
-    assert auc(held["score"].to_numpy(), y) > 0.95 and (held["predicted"] == y).mean() > 0.95
+    assert auc(held["score"].to_numpy(), y) > least and (held["predicted"] == y).mean() > 0.95
+    assert held["predicted"][y == 1].mean() > caught and (held["predicted"][y == 0] == 0).mean() > 0.97
+
+
+def test_one_passage_at_every_offset(spark):
+    sf = "/root/testdata/sf0.01"
+    net = toxicity.train(table(spark, sf, "documents"), table(spark, sf, "labels"))
+    docs = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
+    clean = [r.text for r in docs.where("toxic = 0 and lang = 'en'").orderBy("doc_id").limit(12).collect()]
+    around = [w for t in clean for w in toxicity.words_of(t)][:400]
+    passage = "idiot the in moron of and stupid the with trash".split()
+    found = toxicity.Scorer(net).worst(pd.Series([" ".join([*around[:i], *passage, *around[i:]]) for i in range(0, 300)]))
+    score = 1 / (1 + np.exp(-(net.slope * found + net.shift)))
+    assert (score >= 0.5).all()
 
 
 def test_toxicity_odd_cases(spark, odd, empty):
@@ -150,14 +207,6 @@ def test_a_toxic_word_far_into_an_unbroken_run(spark):
     assert words[0] == "short" and any("zqwxkvj" in w for w in words) and max(map(len, words)) <= toxicity.LONG
 
 
-def test_windows_overlap_and_cover():
-    for n in (0, 1, 48, 49, 85, 200):
-        words = list(range(n))
-        got = toxicity.windows_of(words)
-        assert sorted({w for x in got for w in x}) == words and all(len(x) == min(n, toxicity.WINDOW) for x in got)
-        assert all(b[0] <= a[-1] for a, b in zip(got, got[1:], strict=False))
-
-
 def brute_removal(rows, window=20):
     """Rows in order of id and text: (id, words, removed, kept)."""
     seen, out = set(), []
