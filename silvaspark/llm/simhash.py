@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from silvaspark.common import durable, maybe_broadcast
@@ -279,7 +279,7 @@ def links_across(min_similarity: float):
 
 
 def similar_texts(docs: DataFrame, *, shingle: int = 5, min_similarity: float = 0.8) -> DataFrame:
-    """doc_id, component_id for each row of docs (doc_id, text): components of links between texts whose shingle sets have at least that Jaccard similarity."""
+    """doc_id, text_hash, root, component_id for each row of docs (doc_id, text): components of links between texts whose shingle sets have at least that Jaccard similarity."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -329,17 +329,22 @@ def similar_texts(docs: DataFrame, *, shingle: int = 5, min_similarity: float =
     roots = roots.withColumnRenamed("node", "of")
     rooted = nodes.select("node", "least").join(roots, F.col("node") == F.col("of"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "r")
-    placed = rooted.join(lowest, F.col("root") == F.col("r")).select(F.col("node").alias("n"), "component_id")
-    return found.join(placed, F.col("node") == F.col("n")).select("doc_id", "component_id")
+    placed = rooted.join(lowest, F.col("root") == F.col("r")).select(F.col("node").alias("n"), "root", "component_id")
+    return found.join(placed, F.col("node") == F.col("n")).select("doc_id", "text_hash", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, *, shingle: int = 5, min_similarity: float = 0.8) -> DataFrame:
-    """docs without the members of a component but its smallest id; rows that repeat that id's text stay once. Rows with a null id stay."""
-    found = similar_texts(docs, shingle=shingle, min_similarity=min_similarity)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(maybe_broadcast(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
-    twice = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    if not twice:
-        return kept
-    some = kept.where("doc_id is not null").withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("_n = 1").drop("_n")
-    return some.unionByName(kept.where("doc_id is null"))
+    """docs with one row of each component: that of the smallest (doc_id, hash of the text), null ids last. Rows that agree in id and text count as one, and one of them stays."""
+    found = durable(similar_texts(docs, shingle=shingle, min_similarity=min_similarity))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
+    best = found.groupBy("root").agg(first).select(F.col("root").alias("of"), "first")
+    rows = found.groupBy("root", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).join(best, F.col("root") == F.col("of"))
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
+    marked = durable(rows.select(F.struct("doc_id", "text_hash", stays.alias("stays"), "n").alias("mark")).where("not mark.stays or mark.n > 1"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    keyed = docs.select(row, F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"))
+    met = keyed.join(maybe_broadcast(marked), F.col("id").eqNullSafe(F.col("mark.doc_id")) & (F.col("hash") == F.col("mark.text_hash")), "left")
+    out = met.where("mark is null").select("row")
+    if marked.where("mark.stays").limit(1).count():  # rows that repeat each other meet map-side
+        out = out.unionByName(met.where("mark.stays").groupBy("id", "hash").agg(F.first("row").alias("row")).select("row"))
+    return out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
