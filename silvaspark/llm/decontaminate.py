@@ -5,7 +5,7 @@ k = floor(m * max_error) edits. It is cut into k + 1 pieces: where the item occu
 An Aho-Corasick automaton finds all pieces in one pass over a text; each hit fixes where the item would lie, and Myers' bit-parallel
 distance decides, first of the stretches of the item around the piece, with their shares of the budget, then of the whole. Items are the query set: they go to the executors in blocks of bounded size, and each block meets all documents.
 
-Defined cases: a null or empty text holds no item; a null item, or one of fewer than `min_chars` characters, is in no document; equal items are all
+Defined cases: a null or empty text holds no item; a null item, or one without letters and digits, is in no document; one of under `EDITED_CHARS` characters must occur as it is, as whole words; equal items are all
 reported; a repeated row is reported as often; an empty table on either side gives no match; further columns are ignored, or kept by `clean`.
 """
 
@@ -20,7 +20,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_ERROR, MIN_CHARS = 0.1, 24
+MAX_ERROR = 0.1
+#: Characters from which an item may have edits; a shorter one is looked for as it is, between words, since a tenth of so little makes other words of it.
+EDITED_CHARS = 24
 #: Characters of all items of a block: the automaton takes some 100 bytes for each.
 BLOCK_CHARS = 1_000_000
 OTHER = re.compile(r"[\W_]+")
@@ -59,7 +61,13 @@ def myers(pattern: str, text: str, most: int, at: dict[str, int] | None = None)
 
 
 def budget(item: str, max_error: float) -> int:
-    return int(len(item) * max_error)
+    """Edits that an item may have."""
+    return int(len(item) * max_error) if len(item) >= EDITED_CHARS else 0
+
+
+def _alone(text: str, start: int, end: int) -> bool:
+    """Whether a stretch begins and ends where words do."""
+    return (start <= 0 or text[start - 1] == " ") and (end >= len(text) or text[end] == " ")
 
 
 def parts(a: int, b: int, k: int, above: tuple[tuple[int, int, int], ...] = ()) -> Iterator[tuple[int, int, tuple[tuple[int, int, int], ...]]]:
@@ -104,6 +112,8 @@ def _starts(text: str, items: Items, max_error: float) -> dict[int, set[int]]:
     for last, (length, places) in _automaton(items, max_error).iter(text):
         for n, at, near, checks in places:
             start = last + 1 - length - at
+            if len(items[n][1]) < EDITED_CHARS and not _alone(text, start, last + 1):
+                continue
             have = starts.get(n)
             if have is not None and start in have:
                 continue
@@ -142,12 +152,12 @@ def matches(text: str, items: Items, max_error: float) -> Iterator[tuple[int, in
             yield n, distance, end - (back[1] if back else len(item)), end
 
 
-def blocks(benchmark: DataFrame, min_chars: int, block_chars: int = BLOCK_CHARS) -> Iterator[Items]:
+def blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[Items]:
     """Items in blocks of bounded size; the driver holds one block at a time."""
     block, size = [], 0
     for row in benchmark.select("item_id", "text").where("text is not null").orderBy("item_id", "text").toLocalIterator():
         item = normal(row["text"])
-        if len(item) >= min_chars:
+        if item:
             if block and size + len(item) > block_chars:
                 yield tuple(block)
                 block, size = [], 0
@@ -157,7 +167,7 @@ def blocks(benchmark: DataFrame, min_chars: int, block_chars: int = BLOCK_CHARS)
         yield tuple(block)
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, *, max_error: float = MAX_ERROR, min_chars: int = MIN_CHARS) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, *, max_error: float = MAX_ERROR) -> DataFrame:
     """doc_id, item_id, distance, first_char, end_char: the best place in the normal text, for each pair of a document and an item it holds."""
     schema = "doc_id long, item_id long, distance int, first_char int, end_char int"
 
@@ -170,11 +180,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, max_error: float = MAX_
         return find
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
-    found = [slim.mapInPandas(finder(items), schema) for items in blocks(benchmark, min_chars)]
+    found = [slim.mapInPandas(finder(items), schema) for items in blocks(benchmark)]
     return reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], schema)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, *, max_error: float = MAX_ERROR, min_chars: int = MIN_CHARS) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, *, max_error: float = MAX_ERROR) -> DataFrame:
     """docs without the rows that hold an item."""
 
     def tester(items: Items):
@@ -184,6 +194,6 @@ def clean(docs: DataFrame, benchmark: DataFrame, *, max_error: float = MAX_ERROR
 
         return holds
 
-    for items in blocks(benchmark, min_chars):
+    for items in blocks(benchmark):
         docs = docs.where(~tester(items)(F.col("text")))
     return docs
