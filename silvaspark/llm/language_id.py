@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from silvaspark.common import durable
 
-WORD = re.compile(r"[^\W\d_]+")
+WORD = re.compile(r"[^\W\d_]+")  # with numerals such as ½ and Ⅷ, which words_of leaves out where they stand alone
 ORDER, BEGIN, END = 4, "\x02", "\x03"
 #: Training documents, about, on which temperature and rejection are calibrated.
 CALIBRATION_DOCS = 4_000
@@ -36,6 +36,12 @@ CALIBRATION_DOCS = 4_000
 BLOCK_WORDS = 200_000
 
 
+def words_of(text: str | None) -> list[str]:
+    """Runs of letters in lower case; one letter at least is in each."""
+    words = WORD.findall((text or "").lower())
+    return words if not text or text.isascii() else [w for w in words if w.isalpha() or any(map(str.isalpha, w))]
+
+
 def gram_hash(gram: str) -> int:
     return xxhash.xxh3_64_intdigest(gram)
 
@@ -158,7 +164,7 @@ class _Scorer:
         out = np.full((len(texts), len(self.langs)), np.nan)
         at, held, size = [], [], 0
         for i, text in enumerate(texts):
-            if words := WORD.findall((text or "").lower()):
+            if words := words_of(text):
                 at.append(i)
                 held.append(words)
                 size += len(words)
@@ -178,7 +184,7 @@ def train(rows: DataFrame, *, calibration_docs: int = CALIBRATION_DOCS) -> Ident
         for pdf in batches:
             by: dict[str, Counter] = defaultdict(Counter)
             for text, lang in zip(pdf["text"], pdf["lang"], strict=True):
-                by[lang].update(WORD.findall(text.lower()))
+                by[lang].update(words_of(text))
             for lang, words in by.items():
                 if words:
                     yield pd.DataFrame({"lang": lang, "word": list(words), "n": list(words.values())})
