@@ -110,10 +110,10 @@ def edited_likeness(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFr
     links = durable(successors(ids))
     repeated = links.where("copies > 1").limit(1).count() > 0
     # both uses of met take the same columns of rows, so that texts are dealt out once
-    met = rows.select("key", "text").join(links.withColumnRenamed("key", "at").hint("shuffle_hash"), F.col("key") == F.col("at"))
+    met = rows.select("key", "text").join(links.withColumnRenamed("key", "at"), F.col("key") == F.col("at"))
     gifts = met.select(F.col("give_to").alias("to"), F.substring("text", F.lit(1), F.col("give")).alias("donor"), hash_set(winnow(F.col("text"), k, window)).alias("next_set"))
     gifts = gifts.dropDuplicates(["to"]) if repeated else gifts
-    both = met.select("key", "doc_id", "text").join(gifts.hint("shuffle_hash"), F.col("key") == F.col("to"))
+    both = met.select("key", "doc_id", "text").join(gifts, F.col("key") == F.col("to"))
     n = F.length("text")
     edited = F.concat(F.substring("text", F.lit(1), (n - F.floor(n / 4)).cast("int")), F.col("donor"))
     both = both.select("doc_id", n.alias("n_chars"), edited.alias("edited"), "next_set", winnow(F.col("text"), k, window).alias("choices"))
