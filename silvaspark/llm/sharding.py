@@ -46,12 +46,12 @@ def slot_of(key: Column, size: int = TABLE_SIZE) -> Column:
 def assign_shards(docs: DataFrame, n_shards: int = SHARDS, *, key: str = "doc_id", table_size: int = TABLE_SIZE) -> DataFrame:
     """docs with shard (int)."""
     slots = lookup_table([f"shard-{i}" for i in range(n_shards)], table_size)
-    spark = docs.sparkSession
-    table = spark.range(1).select(F.posexplode(F.split(F.lit(",".join(map(str, slots))), ",")).alias("_slot", "_shard"))
-    table = F.broadcast(table.select(F.col("_slot").cast("bigint").alias("_slot"), F.col("_shard").cast("int").alias("_shard")))
     keep = [c for c in docs.columns if c != "shard"]
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], slot_of(F.col(key), table_size).alias("_at"))
-    return rows.join(table, F.col("_at") == F.col("_slot")).select(*[F.col(f"`{c}`") for c in keep], F.col("_shard").alias("shard"))
+    table = docs.sparkSession.range(1).select(F.posexplode(F.split(F.lit(",".join(map(str, slots))), ",")).alias("slot", "of"))
+    table = F.broadcast(table.select(F.col("slot").cast("bigint").alias("slot"), F.col("of").cast("int").alias("of")))
+    # the row is one value, so that its names meet no others
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), slot_of(F.col(f"`{key}`"), table_size).alias("at"))
+    return rows.join(table, F.col("at") == F.col("slot")).select(*[F.col("row").getField(c).alias(c) for c in keep], F.col("of").alias("shard"))
 
 
 def oracle() -> str:

@@ -322,17 +322,17 @@ def _grid(windows: list[tuple[list[int], int, int]]) -> tuple[np.ndarray, np.nda
 
 def _fit(net: Net, windows: pd.DataFrame, odds: np.ndarray) -> None:
     """Adam on the mean logistic loss; either label has half the weight. Evidence stays as it is."""
-    held = [[(f, x) for x in w.split()] for w, f in zip(windows["words"], windows["fold"], strict=True)]
-    if not held:
+    vocabulary = {(0, ""): 0}
+    number = lambda f, text: [vocabulary.setdefault((f, x), len(vocabulary)) for x in text.split()]
+    numbers = [(number(f, w), b, s) for w, f, b, s in zip(windows["words"], windows["fold"], windows["before"], windows["size"], strict=True)]
+    if not numbers:
         return
-    vocabulary = {w: i for i, w in enumerate(dict.fromkeys([(0, ""), *(x for t in held for x in t)]))}
     fold = np.array([f for f, _ in vocabulary])
     words = np.array([word_number(w) for _, w in vocabulary])
     flat, first, size = grams_of([w for _, w in vocabulary])
     known = odds[np.repeat(fold, size), WORDS + flat]
     root = np.sqrt(size)[:, None].astype(np.float32)
     evidence = odds[fold, words], np.add.reduceat(known, first) / root[:, 0], np.maximum.reduceat(known, first)
-    numbers = [([vocabulary[x] for x in t], b, s) for t, b, s in zip(held, windows["before"], windows["size"], strict=True)]
     y = windows["toxic"].to_numpy(np.float32)
     weight = np.where(y > 0, 0.5 / max(y.mean(), 1e-6), 0.5 / max(1 - y.mean(), 1e-6)).astype(np.float32)
     state = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}

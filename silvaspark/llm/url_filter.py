@@ -22,7 +22,7 @@ RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "exa
 
 def url_parts(url: Column) -> tuple[Column, Column]:
     """Host in lower case and path of a URL."""
-    after = F.when(F.instr(url, "://") > 0, F.expr("substring(url, instr(url, '://') + 3)")).otherwise(F.lit(""))
+    after = F.when(F.instr(url, "://") > 0, F.substring(url, F.instr(url, "://") + 3, F.length(url))).otherwise(F.lit(""))
     host = F.translate(F.regexp_extract(after, r"(?s)\A([^/?#]*)", 1), UPPER, LOWER)
     path = F.regexp_extract(after, r"(?s)\A[^/?#]*([^?#]*)", 1)
     return host, path
