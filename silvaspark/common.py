@@ -17,11 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder that the cluster names in spark.checkpoint.dir; only where there is none, as in tests, a folder of our own."""
+    """Use the folder that the cluster names in spark.checkpoint.dir. Where there is none: a folder of our own in local mode, an error on a cluster, whose machines can't read it."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="silvaspark-checkpoints-"))
 
 
