@@ -2,27 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from silvaspark.jobs.fixtures import CYL, PTS, cylinders, points, points_of
+from silvaspark.jobs.fixtures import PTS, cylinders, points, points_of
 from silvaspark.operators import graph, hull, metrics, segments, shapes, spatial, structure
 from silvaspark.operators import points as pts
+from silvaspark.registry import ORACLES, QUERIES
+from silvaspark.registry import register as _add
 from silvaspark.streaming import arrivals
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def _add(name: str, source: Callable, job: Callable[[DataFrame], DataFrame], sql: str | None = None) -> None:
-    QUERIES[name] = lambda spark, sf_dir: job(source(spark, sf_dir))
-    if sql:
-        ORACLES[name] = f"WITH RECURSIVE {PTS if source is points else CYL}{sql if sql.startswith(',') else ' ' + sql}"
-
-
 _add("pts_scan", points, lambda p: p.groupBy("tree_id", "part").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"sum_{c}") for c in "xyz"], F.min("z").alias("min_z"), F.max("z").alias("max_z")),
      "SELECT tree_id, part, count(*) AS n, sum(x)::BIGINT AS sum_x, sum(y)::BIGINT AS sum_y, sum(z)::BIGINT AS sum_z, min(z) AS min_z, max(z) AS max_z FROM pts GROUP BY ALL")
 _add("intensity_filter", points, lambda p: pts.intensity_filter(p, 32500).groupBy("tree_id").agg(F.count(F.lit(1)).alias("n"), F.sum("intensity").alias("total")),
@@ -75,10 +64,12 @@ _add("cover_representatives", points, lambda p: p.groupBy(*pts.voxel(400)).agg(*
      "SELECT floor(x / 400)::BIGINT vx, floor(y / 400)::BIGINT vy, floor(z / 400)::BIGINT vz, min(x) x, min(y) y, min(z) z, min(intensity) intensity FROM pts GROUP BY ALL")
 _add("dbscan", points, lambda p: graph.dbscan(p, 30, 5))
 _add("cover_uniform", points, lambda p: graph.cover(p, 60, 80, 1))
-_add("closest_pair", points, lambda p: spatial.closest_between(p, "tree_id", "part", 20).select("tree_id", "from", "to", "d2"))
+_add("closest_pair", points, lambda p: spatial.closest_between(p, "tree_id", "part", 20).select("tree_id", "from", "to", "d2"),
+     "SELECT a.tree_id, a.part AS \"from\", b.part AS \"to\", min((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) AS d2 FROM pts a JOIN pts b ON a.tree_id = b.tree_id AND a.part < b.part GROUP BY ALL")
 _add("circle_moments_fit", points, lambda p: structure.circle_fit(p).select("tree_id", "layer", "n", *[F.round(c, 4).alias(c) for c in ("cx", "cy", "radius")]),
      ", t AS (SELECT *, floor(z / 1000)::BIGINT AS layer FROM pts WHERE part = 0), m AS (SELECT tree_id, layer, count(*) n, floor(avg(x))::BIGINT ox, floor(avg(y))::BIGINT oy FROM t GROUP BY ALL HAVING count(*) >= 3), p AS (SELECT tree_id, layer, n, ox, oy, (x - ox)::BIGINT u, (y - oy)::BIGINT v FROM t JOIN m USING (tree_id, layer)), s AS (SELECT tree_id, layer, any_value(n)::DOUBLE n, any_value(ox) ox, any_value(oy) oy, sum(u)::DOUBLE su, sum(v)::DOUBLE sv, sum(u*u)::DOUBLE suu, sum(v*v)::DOUBLE svv, sum(u*v)::DOUBLE suv, sum(u*(u*u+v*v))::DOUBLE sp, sum(v*(u*u+v*v))::DOUBLE sq FROM p GROUP BY ALL), c AS (SELECT *, n*suu-su*su a, n*suv-su*sv b, n*svv-sv*sv c, 0.5::DOUBLE*(n*sp-su*(suu+svv)) d, 0.5::DOUBLE*(n*sq-sv*(suu+svv)) e FROM s), f AS (SELECT *, (d*c-e*b)/nullif(a*c-b*b,0) cu, (a*e-b*d)/nullif(a*c-b*b,0) cv FROM c) SELECT tree_id, layer, n::BIGINT AS n, round(ox+cu,4) cx, round(oy+cv,4) cy, round(sqrt((suu+svv-2*cu*su-2*cv*sv)/n+cu*cu+cv*cv),4) radius FROM f WHERE cu IS NOT NULL")
-_add("circle_fit_error", points, lambda p: structure.circle_error(p, structure.circle_fit(p)))
+_add("circle_fit_error", points, lambda p: structure.circle_error(p, structure.circle_fit(p)),
+     ORACLES["circle_moments_fit"].removeprefix(f"WITH RECURSIVE {PTS}").split(" SELECT tree_id, layer, n::BIGINT")[0] + ", k AS (SELECT tree_id, layer, ox + cu AS cx, oy + cv AS cy, sqrt((suu+svv-2*cu*su-2*cv*sv)/n+cu*cu+cv*cv) AS radius FROM f WHERE cu IS NOT NULL) SELECT tree_id, layer, round(sqrt(avg((sqrt((x - cx) ** 2 + (y - cy) ** 2) - radius) ** 2)) / any_value(radius), 5) AS error FROM t JOIN k USING (tree_id, layer) GROUP BY ALL")
 _add("surface_coverage", points, lambda p: structure.surface_coverage(p),
      ", m AS (SELECT tree_id, avg(x) mx, avg(y) my, min(z) low, max(z) high FROM pts WHERE part = 0 GROUP BY ALL), c AS (SELECT DISTINCT tree_id, floor((z - low) / 500)::BIGINT layer, least(floor((atan2(y - my, x - mx) + pi()) * 36 / (2 * pi())), 35)::BIGINT sector, floor((high - low) / 500)::BIGINT + 1 AS layers FROM pts JOIN m USING (tree_id) WHERE part = 0) SELECT tree_id, count(*)::DOUBLE / (max(layers) * 36) AS coverage FROM c GROUP BY ALL")
 _add("accuracy_indicators", points, lambda p: structure.accuracy(p, F.col("part") == 0, F.col("intensity") >= 30000),
@@ -142,7 +133,7 @@ _add("model_metrics", cylinders, lambda c: structure.model_metrics(structure.swe
 _add("select_model", cylinders, lambda c: structure.select_model(structure.model_metrics(structure.sweep(c)), "all_mean_dis"), SWEEP + " SELECT tree_id, arg_min(model_id, (all_mean_dis, model_id)) AS model_id FROM met GROUP BY ALL")
 _add("metric_spread_cross_model", cylinders, lambda c: structure.model_spread(structure.model_metrics(structure.sweep(c)), "total_volume"),
      SWEEP + " SELECT tree_id, round(stddev_pop(total_volume), 6) AS std, round((max(total_volume) - min(total_volume)) / nullif(avg(total_volume), 0), 6) AS spread FROM met GROUP BY ALL")
-CHOICE = ", ".join("round(" + " + ".join(f"{p}_{k}" for k in kinds for p in parts) + f", 6) AS {name}_{kind}" for kind, kinds in metrics.KINDS.items() for name, parts in metrics.PARTS.items())
+CHOICE = ", ".join(" + ".join(f"{p}_{k}" for k in kinds for p in parts) + f" AS {name}_{kind}" for kind, kinds in metrics.KINDS.items() for name, parts in metrics.PARTS.items())
 _add("selection_metrics", cylinders, lambda c: metrics.selection_metrics(structure.model_metrics(structure.sweep(c))), SWEEP + f" SELECT tree_id, model_id, {CHOICE} FROM met")
 _add("volume_deviations", cylinders, lambda c: metrics.volume_deviations(structure.model_metrics(structure.sweep(c))),
      SWEEP + " SELECT tree_id, round(stddev_pop(total_volume), 6) AS total_vol_std, round(stddev_pop(trunk_volume), 6) AS trunk_vol_std, round(stddev_pop(branch_volume), 6) AS branch_vol_std, round(stddev_pop(trunk_volume) + stddev_pop(branch_volume), 6) AS trunk_branch_vol_std FROM met GROUP BY ALL")
@@ -162,7 +153,8 @@ _add("principal_axes", points, lambda p: shapes.principal_axes(p, "tree_id", "pa
 _add("point_normals", points, lambda p: shapes.normals(p, 40))
 _add("smooth_regions", points, lambda p: shapes.smooth_regions(p, 60))
 _add("wood_regions", points, lambda p: shapes.wood_regions(p, shapes.smooth_regions(p, 60)))
-_add("fit_cylinders", points, lambda p: shapes.fit_cylinders(p.where("part = 0").withColumn("layer", F.floor(F.col("z") / 2000)), "tree_id", "layer"))
+_layered = lambda p: p.withColumn("layer", F.when(F.col("part") == 0, F.floor(F.col("z") / 2000)).otherwise(F.lit(0)))
+_add("fit_cylinders", points, lambda p: shapes.fit_cylinders(_layered(p), "tree_id", "part", "layer", start=shapes.box_axes(_layered(p), "tree_id", "part", "layer")))
 _add("model_distances", points, lambda p: shapes.model_distances(p, _stem_model(p), 400).select("pid", "cyl", F.round("dist", 3).alias("dist_mm")),
      ORACLES["circle_moments_fit"].removeprefix(f"WITH RECURSIVE {PTS}").replace(" SELECT tree_id, layer, n::BIGINT AS n, round(ox+cu,4) cx", ", k AS (SELECT tree_id, layer, n::BIGINT AS n, round(ox+cu,4) cx").replace("WHERE cu IS NOT NULL", "WHERE cu IS NOT NULL), mo AS (SELECT tree_id * 1000 + layer AS cyl, round(cx)::BIGINT cx, round(cy)::BIGINT cy, layer * 1000 AS z0, round(radius)::BIGINT r FROM k)")
      + ", h AS (SELECT pid, cyl, r, sqrt((x - cx)*(x - cx) + (y - cy)*(y - cy) + (z - least(greatest(z, z0), z0 + 1000))*(z - least(greatest(z, z0), z0 + 1000))) AS a FROM pts JOIN mo ON x BETWEEN cx - 400 AND cx + 400 AND y BETWEEN cy - 400 AND cy + 400 AND z BETWEEN z0 - 400 AND z0 + 1400) SELECT pid, cyl, round(abs(a - r), 3) AS dist_mm FROM h WHERE a <= 400 QUALIFY row_number() OVER (PARTITION BY pid ORDER BY round(abs(a - r), 6), cyl) = 1")
@@ -178,8 +170,6 @@ _add("crown_diameter", points, lambda p: hull.convex_hulls(p, "tree_id").select(
      ", u AS (SELECT DISTINCT tree_id, x, y FROM pts) SELECT a.tree_id, round(sqrt(max((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))), 4) AS diameter_mm FROM u a JOIN u b ON a.tree_id = b.tree_id GROUP BY ALL")
 _add("crown_spread_profile", cylinders, structure.crown_spread,
      ", e AS (SELECT tree_id, x0 + l_mm * (sin(radians(zenith)) * cos(radians(azimuth))) x1, y0 + l_mm * (sin(radians(zenith)) * sin(radians(azimuth))) y1, z0 + l_mm * cos(radians(zenith)) z1 FROM cyl WHERE branch <> 0) SELECT tree_id, floor(z1 / 1000)::BIGINT AS layer, least(floor((atan2(y1, x1) + pi()) * 18 / (2 * pi())), 17)::BIGINT AS sector, round(max(sqrt(x1 ** 2 + y1 ** 2)), 3) AS reach_mm FROM e GROUP BY ALL")
-_add("crown_base", cylinders, structure.crown_base,
-     ", s AS (SELECT tree_id, pos, r_mm, sum(l_mm) OVER (PARTITION BY tree_id ORDER BY pos) AS s FROM cyl WHERE branch = 0), h AS (SELECT tree_id, 2 * coalesce(arg_min(r_mm, pos) FILTER (s >= 1300), arg_max(r_mm, pos)) AS dbh FROM s GROUP BY ALL), b AS (SELECT c.tree_id, c.branch FROM cyl c JOIN h USING (tree_id) WHERE c.branch_order = 1 AND c.pib = 0 AND 2 * c.r_mm > 0.05::DOUBLE * h.dbh) SELECT tree_id, min(z0) AS base_mm FROM cyl JOIN b USING (tree_id, branch) GROUP BY ALL")
 _add("sssp_distance", cylinders, lambda c: _paths(c).select("tree_id", "node", "dist", "pred"))
 
 
@@ -199,3 +189,6 @@ def _paths(cyl: DataFrame) -> DataFrame:
     one = links.unionByName(chords)
     edges = one.unionByName(one.select("tree_id", F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
     return graph.shortest_paths(edges, cyl.where("pos = 0").select("tree_id", F.col("pos").alias("node")), "tree_id")
+
+
+from silvaspark import catalog_rules  # noqa: E402, F401  (registers its queries beside these)

@@ -59,7 +59,7 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, by: str, max_rounds: in
     raise RuntimeError("paths did not settle")
 
 
-def cover(points: DataFrame, patch: int, ball: int, min_points: int = 1, max_rounds: int = 100) -> DataFrame:
+def cover(points: DataFrame, patch: int, ball: int, min_points: int = 1, max_rounds: int = 1000) -> DataFrame:
     """pid, center (null: in no ball): centres are the first independent set, in the order of a hash, of points closer than the patch; each point goes to its nearest centre within the ball."""
     pairs = near_pairs(points.select("pid", *XYZ), points.select("pid", *XYZ), max(patch, ball)).select("a_pid", "b_pid", "d2")
     pairs = durable(pairs.where(F.col("d2") < max(patch, ball) ** 2).withColumn("rank", F.xxhash64("b_pid")))
@@ -76,6 +76,8 @@ def cover(points: DataFrame, patch: int, ball: int, min_points: int = 1, max_rou
         open_ = durable(open_.join(covered, F.col("pid") == F.col("gone"), "left_anti"))
         if not open_.limit(1).count():
             break
+    else:
+        raise RuntimeError("centres did not settle")
     centers = durable(centers)
     c = centers.withColumnRenamed("pid", "c")
     near = pairs.where(F.col("d2") < ball * ball).join(c, F.col("b_pid") == F.col("c")).groupBy("a_pid").agg(F.min(F.struct("d2", "rank", "c")).alias("m"))

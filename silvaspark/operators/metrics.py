@@ -21,7 +21,7 @@ KINDS = {"mean_dis": ("mean_dis",), "max_dis": ("max_dis",), "mean_max_dis": ("m
 def selection_metrics(metrics: DataFrame) -> DataFrame:
     """The 45 metrics of distance and surface coverage of each model: nine combinations of parts by five kinds."""
     of = lambda kinds, parts: reduce(add, [F.col(f"{p}_{k}") for k in kinds for p in parts])
-    return metrics.select("tree_id", "model_id", *[F.round(of(kinds, parts), 6).alias(f"{name}_{kind}") for kind, kinds in KINDS.items() for name, parts in PARTS.items()])
+    return metrics.select("tree_id", "model_id", *[of(kinds, parts).alias(f"{name}_{kind}") for kind, kinds in KINDS.items() for name, parts in PARTS.items()])
 
 
 def volume_deviations(metrics: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from silvaspark.common import durable, maybe_broadcast
@@ -134,16 +134,27 @@ def _step(tolerance: float):
     return step
 
 
-def fit_cylinders(points: DataFrame, *by: str, rounds: int = 20, tolerance: float = 1e-3) -> DataFrame:
-    """by, n, place (cx, cy, cz), axis (wx, wy, wz), radius and mean absolute distance (mad) of the least-squares cylinder of each group, from an upright start.
+def fit_cylinders(points: DataFrame, *by: str, start: DataFrame | None = None, rounds: int = 50, tolerance: float = 1e-3) -> DataFrame:
+    """by, n, place (cx, cy, cz), axis (wx, wy, wz), radius, mean absolute distance (mad) and settled of the least-squares cylinder of each group, from axes of start (by, axis_x to axis_z), upright where it has none.
 
     A Gauss-Newton step needs twenty sums of each group, which Spark adds up map-side; only they meet the solver. Groups of fewer than six points are left out;
     names of by must not begin with a, b or an underscore."""
     key = list(by)
-    p = points.select(*key, *XYZ)
+    p = durable(points.select(*key, *XYZ))
     state = p.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(n) for c, n in zip(XYZ, C, strict=True)]).where("n >= 6")
-    fixed = dict(zip((*W, *U, *V), (0.0, 0.0, 1.0, 0.0, -1.0, 0.0, 1.0, 0.0, 0.0), strict=True))
-    state = durable(state.select("*", *[F.lit(v).alias(k) for k, v in fixed.items()], F.lit(0.0).alias("_r"), F.lit(False).alias("_done")))
+    if start is None:
+        state = state.select("*", *[F.lit(v).alias(n) for n, v in zip(W, (0.0, 0.0, 1.0), strict=True)])
+    else:
+        given = F.col("axis_z").isNotNull()
+        state = state.join(start.select(*key, *[f"axis_{c}" for c in XYZ]), key, "left").select(*key, "n", *C, *[F.when(given, F.col(f"axis_{c}")).otherwise(F.lit(v)).alias(n) for n, c, v in zip(W, XYZ, (0.0, 0.0, 1.0), strict=True)])
+    x, y, z = (F.col(n) for n in W)
+    steep = F.abs(z) < 0.9
+    u = (F.when(steep, y).otherwise(0.0), F.when(steep, -x).otherwise(z), F.when(steep, 0.0).otherwise(-y))
+    long = F.sqrt(sum((v * v for v in u), F.lit(0.0)))
+    state = state.select("*", *[(v / long).alias(n) for n, v in zip(U, u, strict=True)])
+    ux, uy, uz = (F.col(n) for n in U)
+    state = state.select("*", *[v.alias(n) for n, v in zip(V, (y * uz - z * uy, z * ux - x * uz, x * uy - y * ux), strict=True)])
+    state = durable(state.select(*key, "n", *STATE, F.lit(0.0).alias("_r"), F.lit(False).alias("_done")))
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in state.schema.fields)
     done = None
 
@@ -166,7 +177,7 @@ def fit_cylinders(points: DataFrame, *by: str, rounds: int = 20, tolerance: floa
             break
     end = placed(done.unionByName(state)).withColumn("_e", F.abs(F.col("_d") - F.col("_r")))
     names = dict(zip((*C, *W, "_r"), ("cx", "cy", "cz", "wx", "wy", "wz", "radius"), strict=True))
-    return end.groupBy(*key).agg(F.first("n").alias("n"), *[F.first(k).alias(v) for k, v in names.items()], F.avg("_e").alias("mad"))
+    return end.groupBy(*key).agg(F.first("n").alias("n"), *[F.first(k).alias(v) for k, v in names.items()], F.avg("_e").alias("mad"), F.first("_done").alias("settled"))
 
 
 def model_distances(points: DataFrame, model: DataFrame, reach: int) -> DataFrame:
@@ -189,3 +200,21 @@ def model_distances(points: DataFrame, model: DataFrame, reach: int) -> DataFram
     j = j.withColumn("_a", F.sqrt(sum((o * o for o in off), F.lit(0.0)))).where(F.col("_a") <= reach)
     best = j.groupBy("pid").agg(F.min(F.struct(F.abs(F.col("_a") - F.col("r")).alias("dist"), "cyl")).alias("b"))
     return best.select("pid", "b.cyl", "b.dist")
+
+
+def distance_summary(distances: DataFrame, share: float = 0.95, least: int = 20) -> DataFrame:
+    """tree_id, n_cyl, mean_mm, max_mm, median_mm, std_mm over the cylinders' trimmed mean distances. distances: tree_id, cyl, pid, d."""
+    w = Window.partitionBy("cyl")
+    r = distances.withColumn("rn", F.row_number().over(w.orderBy("d", "pid"))).withColumn("m", F.count(F.lit(1)).over(w))
+    c = r.where((F.col("m") < least) | (F.col("rn") <= F.floor(share * F.col("m")))).groupBy("tree_id", "cyl").agg(F.avg("d").alias("d"))
+    stats = {"mean": F.avg("d"), "max": F.max("d"), "median": F.median("d"), "std": F.stddev_pop("d")}
+    return c.groupBy("tree_id").agg(F.count(F.lit(1)).alias("n_cyl"), *[F.round(v, 4).alias(f"{k}_mm") for k, v in stats.items()])
+
+
+def box_axes(points: DataFrame, *by: str) -> DataFrame:
+    """by, axis_x to axis_z, normal_x to normal_z: unit vectors of the greatest and the least spread of each group; null where open."""
+    key = list(by)
+    mid = points.groupBy(*key).agg(*[F.floor(F.avg(c)).alias(f"_o{c}") for c in XYZ])
+    p = points.select(*key, *XYZ).join(mid, key)
+    d = durable(_eigenvalues(_spread(p, key, {c: F.col(c) - F.col(f"_o{c}") for c in XYZ})))
+    return _eigenvector(_eigenvector(d, "e1", "axis"), "e3", "normal").select(*key, *[f"{n}_{c}" for n in ("axis", "normal") for c in XYZ])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from silvaspark.common import durable
+
 LITRE, AREA, METRE = 1e6, 1e6, 1000.0
 
 
@@ -76,15 +78,23 @@ def positions(cyl: DataFrame) -> DataFrame:
     return cyl.select("tree_id", "pos", "branch", (F.row_number().over(w) - 1).cast("long").alias("position"), mid.alias("mid_mm"))
 
 
-def branch_orders(cyl: DataFrame, max_hops: int = 64) -> DataFrame:
-    """Order of each branch by its parents: the parent branch's and one more. Pointer jumping: rounds grow with the logarithm of the depth."""
-    of = cyl.select("tree_id", F.col("pos").alias("p"), F.col("branch").alias("up"))
-    first = cyl.where("pib = 0").join(of.withColumnRenamed("tree_id", "t"), (F.col("tree_id") == F.col("t")) & (F.col("parent") == F.col("p")), "left")
-    hop = first.select("tree_id", "branch", "up", F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("order"))
-    for _ in range(max_hops.bit_length() - 1):
-        nxt = hop.select(F.col("tree_id").alias("t"), F.col("branch").alias("b"), F.col("up").alias("up2"), F.col("order").alias("more"))
-        hop = hop.join(nxt, (F.col("tree_id") == F.col("t")) & (F.col("up") == F.col("b")), "left").select("tree_id", "branch", F.col("up2").alias("up"), (F.col("order") + F.coalesce("more", F.lit(0))).alias("order"))
-    return hop.select("tree_id", "branch", "order")
+def summed_to_root(links: DataFrame, node: str, value: str, max_rounds: int = 64) -> DataFrame:
+    """tree_id, node, value: what links (tree_id, node, up, value) add up to on the way to the root, null ends. Pointer jumping, each round written: rounds grow with the logarithm of the depth."""
+    hop = durable(links.select("tree_id", node, "up", value))
+    for _ in range(max_rounds):
+        if not hop.where("up is not null").limit(1).count():
+            return hop.select("tree_id", node, value)
+        nxt = hop.select(F.col("tree_id").alias("t"), F.col(node).alias("n"), F.col("up").alias("up2"), F.col(value).alias("more"))
+        hop = hop.join(nxt, (F.col("tree_id") == F.col("t")) & (F.col("up") == F.col("n")), "left")
+        hop = durable(hop.select("tree_id", node, F.col("up2").alias("up"), (F.col(value) + F.coalesce("more", F.lit(0))).alias(value)))
+    raise RuntimeError("parents go round in a circle")
+
+
+def branch_orders(cyl: DataFrame) -> DataFrame:
+    """Order of each branch by its parents: the parent branch's and one more."""
+    of = cyl.select(F.col("tree_id").alias("t"), F.col("pos").alias("p"), F.col("branch").alias("up"))
+    first = cyl.where("pib = 0").join(of, (F.col("tree_id") == F.col("t")) & (F.col("parent") == F.col("p")), "left")
+    return summed_to_root(first.select("tree_id", "branch", "up", F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("order")), "branch", "order")
 
 
 def branch_rollup(cyl: DataFrame) -> DataFrame:
@@ -240,15 +250,6 @@ def crown_spread(cyl: DataFrame, layer: int = 1000, sectors: int = 18) -> DataFr
     return c.groupBy("tree_id", "layer", "sector").agg(F.round(F.max("reach"), 3).alias("reach_mm"))
 
 
-def crown_base(cyl: DataFrame) -> DataFrame:
-    """Lowest start among the first-order branches at least 5 % as thick as the stem at breast height, and their offspring."""
-    dbh = breast_height_diameter(cyl)
-    big = cyl.where("branch_order = 1 and pib = 0").join(dbh, "tree_id").where(2 * F.col("r_mm") > 0.05 * F.col("dbh_mm"))
-    ids = big.select("tree_id", F.col("branch").alias("b"))
-    low = cyl.join(ids, (cyl["tree_id"] == ids["tree_id"]) & (F.col("branch") == F.col("b")), "left_semi")
-    return low.groupBy("tree_id").agg(F.min("z0").alias("base_mm"))
-
-
 def sweep(cyl: DataFrame) -> DataFrame:
     """Three models of each tree: radius factor 9, 10 and 11 tenths, distances a tenth larger each time; in tenths and hundredths."""
     return cyl.withColumn("model_id", F.explode(F.array(*[F.lit(i).cast("long") for i in range(3)]))).withColumn("r_mm", F.col("r_mm") * (9 + F.col("model_id"))).withColumn("dist_mm", F.col("dist_mm") * (10 + F.col("model_id")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__
@@ -13,7 +14,7 @@ TABLES = "lineitem".split()
 
 def rows_of(frame):
     frame = frame[sorted(frame.columns)]
-    plain = lambda v: None if v is None or v != v else round(float(v), 6) if isinstance(v, float) else int(v)
+    plain = lambda v: None if pd.isna(v) else v if isinstance(v, str) else round(float(v), 6)
     return sorted((tuple(plain(v) for v in r) for r in frame.astype(object).itertuples(index=False)), key=repr)
 
 
