@@ -2,8 +2,8 @@
 
 A document's key is -ln(u) / quality, u a reproducible uniform hash of its id. Each source has a budget of
 words. Whole epochs of a source come first; what is left of the budget takes documents in ascending key order until the
-running sum of sizes meets it. The running sum is found in two steps, so that no source, however large, meets in one task: sums
-per (source, key bucket), then a window inside the one bucket of each source where the budget ends. The result is a cut-off key
+running sum of sizes meets it. The running sum is found from coarse to fine, so that no source, however large, meets in one task: sums over 256
+stretches of keys tell in which the budget ends, that stretch is cut again, whatever the keys' distribution, and a window orders the last one, which has few rows. The result is a cut-off key
 per source, and each document is decided where it lies; texts are never shuffled.
 
 Defined cases: a null or empty text has size 0 and is taken 0 times; a null source is a source of its own, ranked last; a null
@@ -34,11 +34,11 @@ def text_quality(text: Column, words: Column) -> Column:
 
 
 def _keyed(docs: DataFrame, size: Column, quality: Column, seed: str) -> DataFrame:
-    """docs with _mix: the id, source, size and sampling key of each row."""
+    """row (the row of docs), doc_id, source, size, quality and mix, the sampling key with what breaks its ties."""
     quality = F.greatest(F.coalesce(quality, F.lit(1.0)), F.lit(1e-6))
-    key = -F.log(uniform_hash(seed, F.col("doc_id"))) / quality
-    docs = docs.withColumn("_size", size)
-    return docs.withColumn("_quality", quality).withColumn("_mix", F.struct(key.alias("key"), F.col("doc_id").alias("id"), F.col("_size").alias("size")))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "source", size.alias("size"), quality.alias("quality"))
+    key = -F.log(uniform_hash(seed, F.col("doc_id"))) / F.col("quality")
+    return keyed.withColumn("mix", F.struct(key.alias("key"), F.col("doc_id").alias("id"), F.col("size").alias("size")))
 
 
 def source_targets(slim: DataFrame, share: float = 1.0, cycle: int = 3) -> DataFrame:
@@ -63,56 +63,66 @@ def source_targets(slim: DataFrame, share: float = 1.0, cycle: int = 3) -> DataF
     return s.withColumn("target", target).select("source", "source_size", "n_docs", "quality_sum", "weight", "target")
 
 
-def _cutoffs(slim: DataFrame, targets: DataFrame, bucket_rows: int) -> DataFrame:
-    """source, source_size, target, epochs, cutoff: the last _mix that the fractional part of each budget takes (null: none)."""
+def _cutoffs(slim: DataFrame, targets: DataFrame, bucket_rows: int, parts: int = 256, max_rounds: int = 40) -> DataFrame:
+    """source, source_size, target, epochs, low, cutoff: of each source what is taken beyond whole epochs: keys under low, and up to the last mix that the budget takes (null: none).
+
+    The stretch of keys in which the budget ends is cut into parts, whose sums tell the part to go on with, until it has few rows or one key."""
     t = targets.withColumn("epochs", F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(MAX_EPOCHS))).otherwise(F.lit(0)).cast("long"))
     t = t.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
-    t = t.withColumn("n_buckets", F.greatest(F.lit(1), F.ceil(F.col("n_docs") / bucket_rows)).cast("long")).withColumn("rate", F.col("quality_sum") / F.col("n_docs"))
-    named = maybe_broadcast(t.select(F.col("source").alias("of"), "n_buckets", "rate", "rest"))
-    rows = slim.join(named, F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    bucket = F.least(F.floor(F.col("n_buckets") * (1 - F.exp(-F.col("mix.key") * F.col("rate")))), F.col("n_buckets") - 1)
-    rows = rows.withColumn("bucket", bucket.cast("long"))
-    sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("in_bucket"), F.first("rest").alias("budget_left"))
-    upto = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("before", F.coalesce(F.sum("in_bucket").over(upto), F.lit(0)))
-    last = sums.where((F.col("before") <= F.col("budget_left")) & (F.col("in_bucket") > 0)).groupBy("source").agg(F.max(F.struct("bucket", "before")).alias("last"))
-    last = last.select(F.col("source").alias("of"), F.col("last.bucket").alias("of_bucket"), F.col("last.before").alias("before"))
-    edge = rows.join(maybe_broadcast(last), F.col("source").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("of_bucket")))
-    inside = Window.partitionBy("source", "bucket").orderBy("mix").rowsBetween(Window.unboundedPreceding, -1)
-    edge = edge.withColumn("sum_before", F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    edge = edge.where((F.col("size") > 0) & (F.col("sum_before") + F.col("size") / 2 <= F.col("rest")))
-    inner = edge.groupBy("source").agg(F.max("mix").alias("cutoff"))
-    # when not even the first document of the edge bucket fits, all buckets before it do
-    prior = last.select(F.col("of").alias("source"), F.struct(F.col("of_bucket"), F.col("before")).alias("edge"))
-    t = t.join(maybe_broadcast(inner.withColumnRenamed("source", "of")), F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
-    t = t.join(maybe_broadcast(prior.withColumnRenamed("source", "of")), F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
-    return t.select("source", "source_size", "target", "epochs", "n_buckets", "rate", "cutoff", "edge.of_bucket")
+    some = slim.where("size > 0").select("source", "size", "mix")
+    ends = some.groupBy("source").agg(F.min("mix.key").alias("low"), F.max("mix.key").alias("high"), F.count(F.lit(1)).alias("n"))
+    ends = ends.join(t.select(F.col("source").alias("of"), "rest"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    edge = durable(ends.select("source", "low", "high", F.lit(0).cast("long").alias("before"), "n", "rest"))
+
+    def inside() -> DataFrame:
+        e = maybe_broadcast(edge.select(F.struct(*edge.columns).alias("e")))
+        return some.join(e, F.col("source").eqNullSafe(F.col("e.source")) & F.col("mix.key").between(F.col("e.low"), F.col("e.high")))
+
+    for _ in range(max_rounds):
+        if not edge.where((F.col("n") > bucket_rows) & (F.col("low") < F.col("high"))).limit(1).count():
+            break
+        share = (F.col("mix.key") - F.col("e.low")) / F.nullif(F.col("e.high") - F.col("e.low"), F.lit(0.0))
+        part = F.least(F.floor(F.coalesce(share, F.lit(0.0)) * parts), F.lit(parts - 1))
+        sums = inside().groupBy("source", part.alias("part")).agg(F.first("e").alias("e"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"), F.min("mix.key").alias("low"), F.max("mix.key").alias("high"))
+        upto = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        sums = sums.withColumn("before", F.col("e.before") + F.coalesce(F.sum("size").over(upto), F.lit(0)))
+        last = sums.where(F.col("before") <= F.col("e.rest")).groupBy("source").agg(F.max(F.struct("part", "low", "high", "before", "n", "e.rest")).alias("m"))
+        edge = durable(last.select("source", "m.low", "m.high", "m.before", "m.n", "m.rest"))
+    else:
+        raise RuntimeError("edges of budgets did not settle")
+    # rows of one key, id and size are one place in the order
+    places = inside().groupBy("source", "mix").agg(F.first("e").alias("e"), F.sum("size").alias("size"))
+    order = Window.partitionBy("source").orderBy("mix").rowsBetween(Window.unboundedPreceding, -1)
+    places = places.withColumn("sum_before", F.col("e.before") + F.coalesce(F.sum("size").over(order), F.lit(0)))
+    cut = places.where(F.col("sum_before") + F.col("mix.size") / 2 <= F.col("e.rest")).groupBy(F.col("source").alias("of")).agg(F.max("mix").alias("cutoff"))
+    low = edge.select(F.col("source").alias("from"), "low")
+    t = t.join(maybe_broadcast(cut), F.col("source").eqNullSafe(F.col("of")), "left").join(maybe_broadcast(low), F.col("source").eqNullSafe(F.col("from")), "left")
+    return t.select("source", "source_size", "target", "epochs", "low", "cutoff")
 
 
 def _decided(docs: DataFrame, size: Column, quality: Column, seed: str, share: float, bucket_rows: int) -> DataFrame:
     keyed = _keyed(docs, size, quality, seed)
-    slim = durable(keyed.select("source", F.col("_size").alias("size"), F.col("_quality").alias("quality"), F.col("_mix").alias("mix")))
+    slim = durable(keyed.select("source", "size", "quality", "mix"))
     cut = durable(_cutoffs(slim, durable(source_targets(slim, share)), bucket_rows))
-    cut = cut.select(F.struct(*cut.columns).alias("_of"))
-    rows = keyed.join(maybe_broadcast(cut), F.col("source").eqNullSafe(F.col("_of.source")))
-    bucket = F.least(F.floor(F.col("_of.n_buckets") * (1 - F.exp(-F.col("_mix.key") * F.col("_of.rate")))), F.col("_of.n_buckets") - 1)
-    within = (bucket < F.col("_of.of_bucket")) | F.coalesce(F.col("_mix") <= F.col("_of.cutoff"), F.lit(False))
-    copies = F.col("_of.epochs") + F.coalesce(within & (F.col("_size") > 0), F.lit(False)).cast("long")
-    return rows.withColumn("_copies", F.when(F.col("_size") > 0, copies).otherwise(F.lit(0)).cast("long"))
+    cut = cut.select(F.struct(*cut.columns).alias("of"))
+    rows = keyed.join(maybe_broadcast(cut), F.col("source").eqNullSafe(F.col("of.source")))
+    within = F.coalesce(F.col("mix.key") < F.col("of.low"), F.lit(False)) | F.coalesce(F.col("mix") <= F.col("of.cutoff"), F.lit(False))
+    return rows.withColumn("copies", F.when(F.col("size") > 0, F.col("of.epochs") + within.cast("long")).otherwise(F.lit(0)).cast("long"))
 
 
 def mix_decisions(docs: DataFrame, *, size: Column | None = None, quality: Column | None = None, seed: str = "mix", share: float = 1.0, bucket_rows: int = 50_000) -> DataFrame:
-    """doc_id, source, size, quality, source_size, target, copies, taken for each row of docs (doc_id, source, text)."""
+    """doc_id, source, size, quality, source_size, target, copies, taken for each row of docs (doc_id, source, text). size and quality: columns of docs, by default the words and the shape of the text."""
     size = word_count(F.col("text")) if size is None else size
-    quality = text_quality(F.col("text"), F.col("_size")) if quality is None else quality
-    rows = _decided(docs, size, quality, seed, share, bucket_rows)
-    return rows.select("doc_id", "source", F.col("_size").alias("size"), F.col("_quality").alias("quality"), F.col("_of.source_size").alias("source_size"), F.col("_of.target").alias("target"), F.col("_copies").alias("copies"), (F.col("_copies") * F.col("_size")).alias("taken"))
+    rows = _decided(docs, size, text_quality(F.col("text"), size) if quality is None else quality, seed, share, bucket_rows)
+    return rows.select("doc_id", "source", "size", "quality", "of.source_size", "of.target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-def mix_documents(docs: DataFrame, *, seed: str = "mix", share: float = 1.0, bucket_rows: int = 50_000) -> DataFrame:
-    """The mix itself: each row of docs as often as it is taken, with the columns of docs."""
-    rows = _decided(docs, word_count(F.col("text")), text_quality(F.col("text"), F.col("_size")), seed, share, bucket_rows).where(F.col("_copies") > 0)
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int"))).alias("_copy")).drop("_copy")
+def mix_documents(docs: DataFrame, *, size: Column | None = None, quality: Column | None = None, seed: str = "mix", share: float = 1.0, bucket_rows: int = 50_000) -> DataFrame:
+    """The mix itself: each row of docs as often as it is taken, with the columns of docs, whatever their names."""
+    size = word_count(F.col("text")) if size is None else size
+    rows = _decided(docs, size, text_quality(F.col("text"), size) if quality is None else quality, seed, share, bucket_rows).where("copies > 0")
+    rows = rows.select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
+    return rows.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 ORACLE = r"""

@@ -20,8 +20,8 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
-from itertools import chain
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -63,11 +63,15 @@ def gram_numbers(word: str) -> list[int]:
     return list({zlib.crc32(marked[i : i + n], n) % GRAMS for n in (3, 4, 5) for i in range(len(marked) - n + 1)}) or [0]
 
 
-def grams_of(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def grams_of(words: Iterable[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Gram numbers of words one after another, the first place of each word's, and their number."""
-    each = [gram_numbers(w) for w in words]
-    size = np.fromiter(map(len, each), np.int64, len(each))
-    return np.fromiter(chain.from_iterable(each), np.int64, int(size.sum())), np.cumsum(size) - size, size
+    flat, size = array("i"), array("i")
+    for w in words:
+        grams = gram_numbers(w)
+        flat.extend(grams)
+        size.append(len(grams))
+    size = np.frombuffer(size, np.int32)
+    return np.frombuffer(flat, np.int32), np.cumsum(size) - size, size
 
 
 def sums_of(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
@@ -257,7 +261,7 @@ def _evidence(sample: DataFrame) -> np.ndarray:
     """(FOLDS + 1, features): log-odds, scaled, of each hashed word and gram, from the numbers of documents of either label that have it: those outside each fold, then all."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, cache = np.zeros((FOLDS, 2, WORDS + GRAMS), np.int64), {}
+        total, cache = np.zeros((FOLDS, 2, WORDS + GRAMS), np.int32), {}
         for pdf in batches:
             for text, toxic, fold in zip(pdf["text"].fillna(""), pdf["toxic"], pdf["fold"], strict=True):
                 features: set[int] = set()
@@ -269,9 +273,13 @@ def _evidence(sample: DataFrame) -> np.ndarray:
         at = np.nonzero(total)
         yield pd.DataFrame({"fold": at[0], "toxic": at[1], "feature": at[2], "n": total[at]})
 
-    rows = sample.mapInPandas(count, "fold int, toxic int, feature long, n long").groupBy("fold", "toxic", "feature").agg(F.sum("n").alias("n")).toPandas()
+    of = [(f, t) for f in range(FOLDS) for t in (0, 1)]
+    sums = [F.sum(F.when((F.col("fold") == f) & (F.col("toxic") == t), F.col("n"))).cast("int").alias(f"n{f}{t}") for f, t in of]
+    rows = sample.mapInPandas(count, "fold int, toxic int, feature int, n int").groupBy("feature").agg(*sums).toPandas()
     n = np.zeros((FOLDS, 2, WORDS + GRAMS))
-    n[rows["fold"], rows["toxic"], rows["feature"]] = rows["n"]
+    for f, t in of:
+        n[f, t, rows["feature"]] = rows[f"n{f}{t}"].fillna(0)
+    del rows
     docs = np.zeros((FOLDS, 2, 1))
     for r in sample.groupBy("fold", "toxic").agg(F.count(F.lit(1)).alias("n")).collect():  # two rows a fold
         docs[r["fold"], r["toxic"]] = r["n"]
@@ -327,12 +335,14 @@ def _fit(net: Net, windows: pd.DataFrame, odds: np.ndarray) -> None:
     numbers = [(number(f, w), b, s) for w, f, b, s in zip(windows["words"], windows["fold"], windows["before"], windows["size"], strict=True)]
     if not numbers:
         return
-    fold = np.array([f for f, _ in vocabulary])
-    words = np.array([word_number(w) for _, w in vocabulary])
-    flat, first, size = grams_of([w for _, w in vocabulary])
+    fold = np.fromiter((f for f, _ in vocabulary), np.int8, len(vocabulary))
+    words = np.fromiter((word_number(w) for _, w in vocabulary), np.int32, len(vocabulary))
+    flat, first, size = grams_of(w for _, w in vocabulary)
     known = odds[np.repeat(fold, size), WORDS + flat]
     root = np.sqrt(size)[:, None].astype(np.float32)
     evidence = odds[fold, words], np.add.reduceat(known, first) / root[:, 0], np.maximum.reduceat(known, first)
+    vocabulary.clear()
+    del known
     y = windows["toxic"].to_numpy(np.float32)
     weight = np.where(y > 0, 0.5 / max(y.mean(), 1e-6), 0.5 / max(1 - y.mean(), 1e-6)).astype(np.float32)
     state = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
