@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from silvaspark.common import table
-from silvaspark.llm import fingerprint, mixing, queries, sharding, url_filter
+from silvaspark.llm import fingerprint, mixing, queries, sharding, simhash, toxicity, url_filter
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -157,3 +157,11 @@ def test_fingerprint_odd_cases(spark, odd, empty):
     assert fingerprint.edited_likeness(odd).count() == odd.count() and fingerprint.edited_likeness(empty).count() == 0
     one = fingerprint.edited_likeness(odd.where("doc_id = 5").limit(1)).first()
     assert one.near_next == 1.0
+
+
+def test_names_that_clash_stay_as_they_are(spark):
+    names = ["_at", "_slot", "_of", "_size", "_copies", "_mix", "_quality", "_gone", "_shard", "row", "of", "at", "slot", "size", "copies", "mix", "quality", "mark", "id", "hash", "e", "low", "fp", "node", "root"]
+    rows = [(i, f"alpha beta {'gamma ' * (i + 3)}{i}", f"s{i % 2}", *range(7, 7 + len(names))) for i in range(12)]
+    docs = spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", "source string", *(f"`{n}` long" for n in names)]))
+    for got in (mixing.mix_documents(docs), sharding.assign_shards(docs).drop("shard"), simhash.keep_one(docs), toxicity.keep_clean(docs, 0.0), fingerprint.fingerprints(docs).drop("fingerprint")):
+        assert got.columns == docs.columns and {tuple(r[3:]) for r in got.collect()} == {tuple(range(7, 7 + len(names)))}
