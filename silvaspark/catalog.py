@@ -154,7 +154,7 @@ _add("point_normals", points, lambda p: shapes.normals(p, 40))
 _add("smooth_regions", points, lambda p: shapes.smooth_regions(p, 60))
 _add("wood_regions", points, lambda p: shapes.wood_regions(p, shapes.smooth_regions(p, 60)))
 _layered = lambda p: p.withColumn("layer", F.when(F.col("part") == 0, F.floor(F.col("z") / 2000)).otherwise(F.lit(0)))
-_add("fit_cylinders", points, lambda p: shapes.fit_cylinders(_layered(p), "tree_id", "part", "layer", start=shapes.box_axes(_layered(p), "tree_id", "part", "layer")))
+_add("fit_cylinders", points, lambda p: shapes.fit_cylinders(_layered(p), "tree_id", "part", "layer", start=shapes.box_axes(_layered(p), "tree_id", "part", "layer"), rounds=20))
 _add("model_distances", points, lambda p: shapes.model_distances(p, _stem_model(p), 400).select("pid", "cyl", F.round("dist", 3).alias("dist_mm")),
      ORACLES["circle_moments_fit"].removeprefix(f"WITH RECURSIVE {PTS}").replace(" SELECT tree_id, layer, n::BIGINT AS n, round(ox+cu,4) cx", ", k AS (SELECT tree_id, layer, n::BIGINT AS n, round(ox+cu,4) cx").replace("WHERE cu IS NOT NULL", "WHERE cu IS NOT NULL), mo AS (SELECT tree_id * 1000 + layer AS cyl, round(cx)::BIGINT cx, round(cy)::BIGINT cy, layer * 1000 AS z0, round(radius)::BIGINT r FROM k)")
      + ", h AS (SELECT pid, cyl, r, sqrt((x - cx)*(x - cx) + (y - cy)*(y - cy) + (z - least(greatest(z, z0), z0 + 1000))*(z - least(greatest(z, z0), z0 + 1000))) AS a FROM pts JOIN mo ON x BETWEEN cx - 400 AND cx + 400 AND y BETWEEN cy - 400 AND cy + 400 AND z BETWEEN z0 - 400 AND z0 + 1400) SELECT pid, cyl, round(abs(a - r), 3) AS dist_mm FROM h WHERE a <= 400 QUALIFY row_number() OVER (PARTITION BY pid ORDER BY round(abs(a - r), 6), cyl) = 1")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from silvaspark.jobs.fixtures import cylinders, points
 from silvaspark.operators import points as pts
-from silvaspark.operators import rules, segments, shapes, spatial, structure
+from silvaspark.operators import models, rules, segments, shapes, spatial, structure
 from silvaspark.registry import ORACLES, QUERIES, register, register_both
 
 UZ = ("sin(radians(zenith)) * cos(radians(azimuth))", "sin(radians(zenith)) * sin(radians(azimuth))", "cos(radians(zenith))")
@@ -161,3 +161,40 @@ def _distance_summary(p):
     d = shapes.model_distances(p, _stem_model(p), 400).select("pid", "cyl", F.round("dist", 3).alias("d"))
     return shapes.distance_summary(d.withColumn("tree_id", F.floor(F.col("cyl") / 1000)))
 
+
+register("base_sets", points, models.base_sets,
+         ", v AS (SELECT min(pid) node, round(avg(x))::BIGINT x, round(avg(y))::BIGINT y, round(avg(z))::BIGINT z FROM pts GROUP BY floor(x / 200), floor(y / 200), floor(z / 200)), tr AS (SELECT pid AS node, any_value(tree_id) AS tree_id FROM pts GROUP BY pid), s AS (SELECT v.*, tree_id FROM v JOIN tr USING (node)), t0 AS (SELECT tree_id, min(z) low, max(z) - min(z) tall, greatest(max(x) - min(x), max(y) - min(y)) whole FROM s GROUP BY ALL)"
+         ", t1 AS (SELECT *, CASE WHEN k = 0 THEN least(1500.0::DOUBLE, 0.02::DOUBLE * tall) ELSE greatest(least(1500.0::DOUBLE, 0.02::DOUBLE * tall) - 50 * k, 50.0::DOUBLE) END AS base FROM t0, (SELECT unnest([0, 1, 2, 3, 4, 5]) AS k)), f AS (SELECT tree_id, k, any_value(base) base, any_value(whole) whole, count(*) n, greatest(max(x) - min(x), max(y) - min(y)) width FROM s JOIN t1 USING (tree_id) WHERE z < low + base GROUP BY ALL)"
+         " SELECT tree_id, round(base, 4) AS base_mm, n, width AS width_mm FROM f QUALIFY row_number() OVER (PARTITION BY tree_id ORDER BY CASE WHEN width <= 0.3::DOUBLE * whole OR k = 5 THEN 0 ELSE 1 END, k) = 1")
+
+
+def _steps(rounds: int, free: bool) -> str:
+    """The unrolled Gauss-Newton steps of circles in SQL, from the circles k0."""
+    out = ""
+    for i in range(rounds):
+        mean = "avg(g) OVER (PARTITION BY tree_id, layer)" if free else "r"
+        a, b, c = ("a - su * su / n", "b - su * sv / n", "c - sv * sv / n") if free else ("a", "b", "c")
+        out += (
+            f", g{i} AS (SELECT tree_id, layer, cx, cy, r, x, y, greatest(sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy)), 1e-9::DOUBLE) AS g FROM t JOIN k{i} USING (tree_id, layer)), h{i} AS (SELECT tree_id, layer, cx, cy, (x - cx) / g AS u, (y - cy) / g AS v, g, {mean} AS r FROM g{i})"
+            f", w{i} AS (SELECT tree_id, layer, any_value(cx) cx, any_value(cy) cy, any_value(r) r, count(*) n, sum(u) su, sum(v) sv, sum(u * u) a, sum(u * v) b, sum(v * v) c, sum(u * (g - r)) d, sum(v * (g - r)) f FROM h{i} GROUP BY tree_id, layer), z{i} AS (SELECT tree_id, layer, cx, cy, r, {a} AS a, {b} AS b, {c} AS c, d, f FROM w{i})"
+            f", k{i + 1} AS (SELECT tree_id, layer, cx + coalesce((d * c - f * b) / nullif(a * c - b * b, 0), 0) AS cx, cy + coalesce((a * f - b * d) / nullif(a * c - b * b, 0), 0) AS cy, r FROM z{i})"
+        )
+    return out
+
+
+_START = ", k0 AS (SELECT tree_id, layer, ox + cu AS cx, oy + cv AS cy, sqrt((suu+svv-2*cu*su-2*cv*sv)/n+cu*cu+cv*cv) AS r FROM f WHERE cu IS NOT NULL AND n >= 10)"
+for _name, _rounds, _free in (("circle_centres", 4, False), ("circle_least_squares", 4, True)):
+    QUERIES[_name] = lambda spark, sf_dir, k=_rounds, free=_free: (lambda p: models.circle_steps(p, structure.circle_fit(p).where("n >= 10"), rounds=k, free=free).select("tree_id", "layer", *[F.round(c, 2).alias(c) for c in ("cx", "cy", "radius")]))(points(spark, sf_dir))
+    ORACLES[_name] = _FIT + _START + _steps(_rounds, _free) + f" SELECT tree_id, layer, round(cx, 2) cx, round(cy, 2) cy, round(r, 2) radius FROM k{_rounds}"
+
+
+def _stem_diameters(p):
+    """Diameters of the trunks' circles from one to two metres."""
+    return structure.circle_fit(p).where("layer = 1").select("tree_id", (2 * F.col("radius")).alias("dbh_mm"))
+
+
+QUERIES["breast_height_cylinders"] = lambda spark, sf_dir: (lambda p: models.breast_height_cylinders(p, _stem_diameters(p)))(points(spark, sf_dir))
+register("plausible_segments", points, models.plausible_segments)
+register("box_volumes", points, lambda p: models.box_volumes(p, (-3000, -3000, 1000), (12000, 9000, 5000)))
+register("cylinders_of_cloud", points, models.cylinders_of)
+register("qsm_single", points, lambda p: models.tree_rows(models.cylinders_of(p)))

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from silvaspark import catalog
-from silvaspark.operators import rules, shapes, spatial, structure
+from silvaspark.operators import models, rules, shapes, spatial, structure
 
 POINT = "pid long, x long, y long, z long, rel_size int"
 
@@ -130,3 +130,45 @@ def test_deep_chains_have_their_order(spark):
 def test_cover_query_at_small_scale(spark, sf):
     got = catalog.QUERIES["cover_variable"](spark, sf)
     assert got.where("center is not null").count() > 0.5 * got.count() and got.join(got.select(F.col("pid").alias("p"), F.col("center").alias("c")), F.col("center") == F.col("p")).where("c is null").count() == 0
+
+
+def test_model_of_a_stand_has_its_known_sizes(spark):
+    p = catalog.points(spark, "/root/testdata/sf0.01")
+    c = models.cylinders_of(p)
+    trunk = c.where("part = 0 and n >= 40").toPandas()
+    want = 150 - 0.01 * (trunk["start_z"] + trunk["length"] / 2 * trunk["axis_z"])  # radii fall by 10 mm a metre
+    assert len(trunk) > 300 and (trunk["radius"] - want).abs().quantile(0.95) < 6 and trunk["axis_z"].abs().min() > 0.95
+    branch = c.where("part > 0 and n >= 40").toPandas()
+    assert (branch["radius"] - 30).abs().quantile(0.9) < 4 and branch["axis_z"].abs().quantile(0.9) < 0.1 and set(branch["parent_part"]) <= {0, 1, 2, 3}
+    roots = c.where("parent_layer is null").toPandas()
+    assert set(roots["part"]) == {0} and len(roots) == 24
+    rows = models.tree_rows(c).toPandas()
+    assert len(rows) == 24 and (rows["n_branches"] == 3).all() and rows["dbh_mm"].between(250, 300).all()
+    tall = rows["trunk_mm"] / 1000
+    solid = math.pi * 1000 * ((0.15**3 - (0.15 - 0.01 * tall) ** 3) / 0.03)  # litres of the tapered trunk
+    assert (rows["trunk_litres"] / solid).between(0.9, 1.1).all()
+
+
+def test_volumes_in_a_box_and_plausible_segments(spark):
+    r = np.random.default_rng(2)
+    rows = []
+    for part, (n, radius, length) in enumerate(((2000, 50, 2000), (40, 60, 4000))):
+        t, a = r.random(n) * length, r.random(n) * 2 * math.pi
+        rows += [(10_000 * part + i, 1, part, int(1000 * part + radius * math.cos(v)), int(radius * math.sin(v)), int(u), 1) for i, (u, v) in enumerate(zip(t, a, strict=True))]
+    df = spark.createDataFrame(rows, "pid long, tree_id long, part long, x long, y long, z long, intensity long")
+    got = {x.part: x for x in models.box_volumes(df, (-500, -500, 500), (500, 500, 1500)).collect()}
+    assert set(got) == {0} and got[0].radius_mm == pytest.approx(50, rel=0.05) and got[0].length_mm == pytest.approx(900, rel=0.05)
+    assert {x.part: x.label for x in models.plausible_segments(df).collect()} == {0: 4, 1: -2}
+
+
+def test_circles_by_plain_least_squares(spark):
+    r = np.random.default_rng(4)
+    a = r.random(200) * 2 * math.pi
+    x, y = (300 * np.cos(a) + 40 + r.normal(0, 5, 200)).round().astype(int), (300 * np.sin(a) - 70 + r.normal(0, 5, 200)).round().astype(int)
+    df = spark.createDataFrame([(i, 1, 0, int(u), int(v), 10) for i, (u, v) in enumerate(zip(x, y, strict=True))], "pid long, tree_id long, part long, x long, y long, z long")
+    start = spark.createDataFrame([(1, 0, 20.0, -20.0, 280.0)], "tree_id long, layer long, cx double, cy double, radius double")
+    loss = lambda cx, cy, rad: ((np.hypot(x - cx, y - cy) - rad) ** 2).sum()
+    for free in (False, True):
+        g = models.circle_steps(df, start, rounds=12, free=free).first()
+        near = [loss(g.cx + i, g.cy + j, g.radius + k) for i in (-0.5, 0.5, 0) for j in (-0.5, 0.5, 0) for k in ((-0.5, 0.5, 0) if free else (0,))]
+        assert loss(g.cx, g.cy, g.radius) <= min(near) and (free or g.radius == 280.0)
