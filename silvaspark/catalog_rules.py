@@ -128,6 +128,13 @@ register("parabola_taper", cylinders, rules.parabola_taper,
          ", r1 AS (SELECT tree_id, branch, pos, sc, nc, u, low, r AS was, CASE WHEN r > u AND sc < 0.7::DOUBLE THEN u + (r - u) * sc / 0.7::DOUBLE ELSE r END AS r FROM l), r2 AS (SELECT tree_id, branch, pos, sc, nc, low, was, CASE WHEN r > 1.333::DOUBLE * u AND sc >= 0.7::DOUBLE THEN u + (r - u) * sc ELSE r END AS r FROM r1) SELECT tree_id, branch, pos, round(CASE WHEN nc <= 4 THEN was WHEN (r < low AND sc < 0.7::DOUBLE) OR r < 0.5::DOUBLE * low THEN low ELSE r END, 4) AS radius_mm FROM r2")
 register("growth_volumes", cylinders, rules.growth_volumes,
          ", a AS (SELECT tree_id, pos AS of, pos, parent, r_mm * r_mm * l_mm AS v FROM cyl UNION ALL SELECT a.tree_id, c.pos, a.pos, c.parent, a.v FROM a JOIN cyl c ON a.tree_id = c.tree_id AND a.parent = c.pos) SELECT tree_id, of AS pos, pi() * sum(v)::BIGINT / 1e6::DOUBLE AS volume FROM a GROUP BY ALL")
+GROWN = ORACLES["growth_volumes"].split(", a AS (SELECT tree_id, pos AS of", 1)[1].rsplit(" SELECT tree_id, of AS pos", 1)
+register("growth_corrected", cylinders, lambda c: rules.growth_corrected(c, rules.growth_volumes(c)),
+         ", a AS (SELECT tree_id, pos AS of" + GROWN[0] + ", gv AS (SELECT tree_id, of AS pos" + GROWN[1] + "), cc AS (SELECT c.tree_id, c.pos, c.r_mm::DOUBLE AS r, volume, NOT EXISTS (SELECT 1 FROM cyl i WHERE i.tree_id = c.tree_id AND i.parent = c.pos) AS tip FROM cyl c JOIN gv ON c.tree_id = gv.tree_id AND c.pos = gv.pos), e AS (SELECT *, k, pow(volume, k / 20) AS p FROM cc, (SELECT unnest(range(1, 21)) AS k)), s AS (SELECT tree_id, k, count(*) n, sum(p) sp, sum(p * p) spp, sum(r) sr, sum(r * p) srp, sum(r * r) srr FROM e GROUP BY ALL)"
+         ", l AS (SELECT *, (n * srp - sr * sp) / nullif(n * spp - sp * sp, 0) AS b FROM s), m AS (SELECT tree_id, k, b, (sr - b * sp) / n AS c, round(srr - b * srp - (sr - b * sp) / n * sr, 3) AS loss FROM l WHERE b IS NOT NULL QUALIFY row_number() OVER (PARTITION BY tree_id ORDER BY round(srr - b * srp - (sr - b * sp) / n * sr, 3), k) = 1), f AS (SELECT tree_id, pos, k, r, tip, greatest(2.5::DOUBLE, b * pow(volume, k / 20) + c) AS fit FROM cc JOIN m USING (tree_id))"
+         " SELECT tree_id, pos, k / 20 AS exponent, round(CASE WHEN r > 1.5::DOUBLE * fit OR (r < fit / 1.5::DOUBLE AND NOT tip) THEN fit ELSE r END, 3) AS radius_mm FROM f")
+register("parent_candidates", cylinders, rules.parent_candidates,
+         ", f AS (SELECT c.tree_id, c.branch, c.x0, c.y0, c.z0, p.branch AS up FROM cyl c JOIN cyl p ON c.tree_id = p.tree_id AND c.parent = p.pos WHERE c.pib = 0), m AS (SELECT f.tree_id, f.branch, c.pos, (c.x0 - f.x0) * (c.x0 - f.x0) + (c.y0 - f.y0) * (c.y0 - f.y0) + (c.z0 - f.z0) * (c.z0 - f.z0) AS d2 FROM f JOIN cyl c ON c.tree_id = f.tree_id AND c.branch = f.up) SELECT tree_id, branch, row_number() OVER (PARTITION BY tree_id, branch ORDER BY d2, pos)::INTEGER AS rank, pos, d2 FROM m QUALIFY rank <= 4")
 register("height_classes", cylinders, rules.height_classes,
          AXES + ", lo AS (SELECT tree_id, min(z0) bottom, ceil((max(greatest(z0, z1)) - min(z0)) / 1000)::BIGINT AS bins FROM ax GROUP BY ALL), c AS (SELECT tree_id, r_mm, l_mm, (z0 - bottom) / 1000 AS b, (z1 - bottom) / 1000 AS t, bins FROM ax JOIN lo USING (tree_id)), e AS (SELECT *, unnest(list_distinct([floor(b), floor(t)]))::BIGINT AS bin FROM c WHERE abs(floor(t) - floor(b)) <= 1), s AS (SELECT *, CASE WHEN floor(b) = floor(t) THEN 1 ELSE (least(greatest(b, t), bin + 1) - greatest(least(b, t), bin)) / abs(t - b) END AS share FROM e WHERE bin >= 0 AND bin < bins)"
          ", g AS (SELECT tree_id, bin, round(pi() * sum(r_mm * r_mm * l_mm * share) / 1e6::DOUBLE, 4) volume, round(2 * pi() * sum(r_mm * l_mm * share) / 1e6::DOUBLE, 4) area, round(sum(l_mm * share) / 1000, 4) length FROM s GROUP BY ALL), n AS (SELECT tree_id, unnest(range(0, bins)) AS bin FROM lo) SELECT tree_id, bin, coalesce(volume, 0) volume, coalesce(area, 0) area, coalesce(length, 0) length FROM n LEFT JOIN g USING (tree_id, bin)")
@@ -148,7 +155,7 @@ ORACLES["distance_table"] = _SWEEP + " SELECT tree_id, model_id, " + ", ".join(f
 QUERIES["retained_models"] = lambda spark, sf_dir: (lambda m: rules.retained(m, structure.select_model(structure.model_metrics(m), "all_mean_dis")).groupBy("tree_id", "model_id").agg(F.count(F.lit(1)).alias("n"), F.sum("r_mm").alias("r_sum")))(structure.sweep(cylinders(spark, sf_dir)))
 ORACLES["retained_models"] = _SWEEP + ", ch AS (SELECT tree_id, arg_min(model_id, (all_mean_dis, model_id)) AS model_id FROM met GROUP BY ALL) SELECT tree_id, model_id, count(*) n, sum(r_mm)::BIGINT AS r_sum FROM mods JOIN ch USING (tree_id, model_id) GROUP BY ALL"
 register("tree_data", cylinders, lambda c: rules.tree_data(structure.tree_rollup(c), structure.breast_height_diameter(c), _crown(c), rules.crown_diameters(c)),
-         CROWN + WIDTHS + f", ro AS (SELECT tree_id, {ORACLES['tree_rollup'].rsplit('SELECT tree_id, ', 1)[1]}) SELECT ro.*, dbh_mm, base_mm, round(height - base_mm / 1000, 4) AS crown_length, round((height - base_mm / 1000) / nullif(height, 0), 6) AS crown_ratio, mean_mm AS crown_mean_mm, max_mm AS crown_max_mm FROM ro JOIN dbh USING (tree_id) LEFT JOIN ww USING (tree_id) LEFT JOIN ba USING (tree_id)")
+         CROWN + WIDTHS + f", ro AS (SELECT tree_id, {ORACLES['tree_rollup'].rsplit('SELECT tree_id, ', 1)[1]}) SELECT ro.*, dbh_mm, base_mm, round(height - base_mm / 1000, 8) AS crown_length, round((height - base_mm / 1000) / nullif(height, 0), 6) AS crown_ratio, mean_mm AS crown_mean_mm, max_mm AS crown_max_mm FROM ro JOIN dbh USING (tree_id) LEFT JOIN ww USING (tree_id) LEFT JOIN ba USING (tree_id)")
 QUERIES["model_distance_summary"] = lambda spark, sf_dir: _distance_summary(points(spark, sf_dir))
 _NEAR = ORACLES["model_distances"].rsplit(" SELECT pid, cyl, round(abs(a - r), 3) AS dist_mm", 1)
 ORACLES["model_distance_summary"] = _NEAR[0] + ", nd AS (SELECT pid, cyl, round(abs(a - r), 3) AS dist_mm" + _NEAR[1] + "), rk AS (SELECT cyl, dist_mm, row_number() OVER (PARTITION BY cyl ORDER BY dist_mm, pid) rn, count(*) OVER (PARTITION BY cyl) m FROM nd), tm AS (SELECT cyl, max(m) AS n, avg(dist_mm) FILTER (m < 20 OR rn <= floor(0.95::DOUBLE * m)) AS d FROM rk GROUP BY ALL) SELECT cyl // 1000 AS tree_id, count(*) AS n_cyl, round(avg(d), 4) mean_mm, round(max(d), 4) max_mm, round(median(d), 4) median_mm, round(stddev_pop(d), 4) std_mm FROM tm GROUP BY ALL"
