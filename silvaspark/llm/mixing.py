@@ -20,6 +20,8 @@ from silvaspark.common import durable, maybe_broadcast, uniform_hash
 
 WORD = r"[^\x20\x09-\x0D]+"
 MAX_EPOCHS = 3
+#: Rows of a source, but for those of one key, up to which the edge of its budget is ordered in one task.
+EDGE_ROWS = 4_000
 
 
 def word_count(text: Column) -> Column:
@@ -110,14 +112,14 @@ def _decided(docs: DataFrame, size: Column, quality: Column, seed: str, share: f
     return rows.withColumn("copies", F.when(F.col("size") > 0, F.col("of.epochs") + within.cast("long")).otherwise(F.lit(0)).cast("long"))
 
 
-def mix_decisions(docs: DataFrame, *, size: Column | None = None, quality: Column | None = None, seed: str = "mix", share: float = 1.0, bucket_rows: int = 50_000) -> DataFrame:
+def mix_decisions(docs: DataFrame, *, size: Column | None = None, quality: Column | None = None, seed: str = "mix", share: float = 1.0, bucket_rows: int = EDGE_ROWS) -> DataFrame:
     """doc_id, source, size, quality, source_size, target, copies, taken for each row of docs (doc_id, source, text). size and quality: columns of docs, by default the words and the shape of the text."""
     size = word_count(F.col("text")) if size is None else size
     rows = _decided(docs, size, text_quality(F.col("text"), size) if quality is None else quality, seed, share, bucket_rows)
     return rows.select("doc_id", "source", "size", "quality", "of.source_size", "of.target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-def mix_documents(docs: DataFrame, *, size: Column | None = None, quality: Column | None = None, seed: str = "mix", share: float = 1.0, bucket_rows: int = 50_000) -> DataFrame:
+def mix_documents(docs: DataFrame, *, size: Column | None = None, quality: Column | None = None, seed: str = "mix", share: float = 1.0, bucket_rows: int = EDGE_ROWS) -> DataFrame:
     """The mix itself: each row of docs as often as it is taken, with the columns of docs, whatever their names."""
     size = word_count(F.col("text")) if size is None else size
     rows = _decided(docs, size, text_quality(F.col("text"), size) if quality is None else quality, seed, share, bucket_rows).where("copies > 0")
