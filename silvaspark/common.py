@@ -27,6 +27,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="silvaspark-checkpoints-"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt out where it comes in fewer partitions than there are cores, as from one small file; else df."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and go on from there: a lost executor costs no earlier work."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from silvaspark.common import table
+from silvaspark.common import spread, table
 
 
 def row_key(*columns: str):
@@ -15,7 +15,8 @@ def row_key(*columns: str):
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pid, tree_id, part (0 trunk, 1 to 3 branches), x, y, z in mm, intensity."""
-    return points_of(table(spark, sf_dir, "lineitem"))
+    columns = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount")
+    return points_of(spread(table(spark, sf_dir, "lineitem").select(*columns)))
 
 
 def points_of(t: DataFrame) -> DataFrame:
