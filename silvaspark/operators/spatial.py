@@ -57,10 +57,10 @@ def _nearest(met: DataFrame, k: int) -> DataFrame:
     return few.withColumn("rank", F.row_number().over(w())).where(F.col("rank") <= k).select("a_pid", "b_pid", "d2", "rank")
 
 
-def hybrid_knn(points: DataFrame, radius: int, k: int) -> DataFrame:
-    """a_pid, b_pid, d2, rank: the k nearest within the radius, itself included, ties by pid."""
-    p = points.select("pid", *XYZ)
-    return _nearest(_met(p, p, radius), k)
+def hybrid_knn(points: DataFrame, radius: int, k: int, on: tuple[str, ...] = ()) -> DataFrame:
+    """a_pid, b_pid, d2, rank: the k nearest within the radius, itself included, of equal columns `on`, ties by pid."""
+    p = points.select("pid", *on, *XYZ)
+    return _nearest(_met(p, p, radius, on), k)
 
 
 def knn(queries: DataFrame, points: DataFrame, k: int, radius: int, growth: int = 2, max_rounds: int = 30) -> DataFrame:
