@@ -1,37 +1,12 @@
-"""Leaf and wood of a tree whose trunk and leaves are known, and the rules over links by hand."""
+"""The rules of leaf and wood over links by hand, and clouds of no tree."""
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-from pyspark.sql import functions as F
-
 from silvaspark.operators import leaves
 
 POINT = "pid long, tree_id long, x long, y long, z long"
 
 
-def a_tree():
-    """Trunk of 2 m and 150 mm radius, and a cloud of leaves beside its top: rows and the pids of the trunk."""
-    trunk = [(150 * math.cos(a), 150 * math.sin(a), z) for z in range(0, 2000, 40) for a in np.linspace(0, 2 * math.pi, 24, endpoint=False)]
-    r = np.random.default_rng(5)
-    crown = [tuple(c) for c in r.uniform((350, -500, 1300), (1350, 500, 2300), (400, 3))]
-    rows = [(i, 7, *(round(float(c)) for c in p)) for i, p in enumerate(trunk + crown)]
-    return rows, set(range(len(trunk)))
-
-
-def test_trunk_is_wood_and_leaves_are_leaf(spark):
-    rows, trunk = a_tree()
-    cloud = spark.createDataFrame(rows, POINT).withColumn("wood", F.lit("x")).withColumn("node", F.lit(1)).withColumn("w", F.lit(2))
-    got = leaves.leaf_and_wood(cloud, size=100, reach=300, k=12, intervals=(300,))
-    assert got.columns == ["pid", "wood"]
-    got = got.collect()
-    assert sorted(r.pid for r in got) == [r[0] for r in rows]
-    wood = {r.pid for r in got if r.wood}
-    assert len(wood & trunk) >= 0.97 * len(trunk) and len(wood - trunk) <= 0.3 * (len(rows) - len(trunk))
-
-
 def test_nothing_and_nulls(spark):
     assert leaves.leaf_and_wood(spark.createDataFrame([], POINT), size=100).count() == 0
     one = leaves.leaf_and_wood(spark.createDataFrame([(1, 7, 0, 0, 0), (2, 7, None, 0, 0), (3, 7, 90_000, 0, 90_000)], POINT), size=100, intervals=(300,)).collect()
