@@ -1,4 +1,4 @@
-"""The ten operators as queries over the given tables, with the columns of their contracts, and SQL for those that it can express.
+"""The operators as queries over the given tables, with the columns of their contracts, and SQL for those that it can express.
 
 Nulls, ties, repeated rows, empty tables and extra columns are as the operators' modules define them; a query adds columns but neither drops nor adds rows.
 """
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from silvaspark.common import table
-from silvaspark.llm import decontaminate, fingerprint, language_id, license_scan, mixing, sharding, simhash, substring_dedup, toxicity, url_filter
+from silvaspark.llm import decontaminate, fingerprint, language_id, license_scan, merkle, mixing, sharding, simhash, substring_dedup, toxicity, url_filter
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,12 +76,17 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("n_chars").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), fingerprint.as_string(F.col("choices")).alias("fingerprint"), fingerprint.as_string(F.col("edited_choices")).alias("edited_fingerprint"), "near_edited", "near_next")
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document; rows without a source come first, rows without an id are first in their source and not tampered with; equal rows are leaves of their own."""
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_mixing, op2_decontamination, op3_toxicity, op4_substring_dedup, op5_sharding, op6_language_id, op7_simhash, op8_url_filter, op9_license_scan, op10_fingerprint)
+    for f in (op1_mixing, op2_decontamination, op3_toxicity, op4_substring_dedup, op5_sharding, op6_language_id, op7_simhash, op8_url_filter, op9_license_scan, op10_fingerprint, op11_merkle)
 } | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {"op1_mixing": mixing.ORACLE, "op5_sharding": sharding.oracle(), "op8_url_filter": url_filter.ORACLE}
+    found = {"op1_mixing": mixing.ORACLE, "op5_sharding": sharding.oracle(), "op8_url_filter": url_filter.ORACLE, "op11_merkle": merkle.ORACLE}
     return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
