@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from silvaspark.common import table
-from silvaspark.llm import decontaminate, fingerprint, language_id, license_scan, merkle, mixing, sharding, simhash, substring_dedup, topk, toxicity, url_filter
+from silvaspark.llm import collocation, decontaminate, fingerprint, language_id, license_scan, merkle, mixing, sharding, simhash, substring_dedup, topk, toxicity, url_filter
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,12 +86,17 @@ def op12_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
+def op13_collocation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to 2000 rows for each language; null texts have no words, null languages are `und`; repeated rows count as often as they are there."""
+    return collocation.mine(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_mixing, op2_decontamination, op3_toxicity, op4_substring_dedup, op5_sharding, op6_language_id, op7_simhash, op8_url_filter, op9_license_scan, op10_fingerprint, op11_merkle, op12_topk)
+    for f in (op1_mixing, op2_decontamination, op3_toxicity, op4_substring_dedup, op5_sharding, op6_language_id, op7_simhash, op8_url_filter, op9_license_scan, op10_fingerprint, op11_merkle, op12_topk, op13_collocation)
 } | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {"op1_mixing": mixing.ORACLE, "op5_sharding": sharding.oracle(), "op8_url_filter": url_filter.ORACLE, "op11_merkle": merkle.ORACLE, "op12_topk": topk.ORACLE}
+    found = {"op1_mixing": mixing.ORACLE, "op5_sharding": sharding.oracle(), "op8_url_filter": url_filter.ORACLE, "op11_merkle": merkle.ORACLE, "op12_topk": topk.ORACLE, "op13_collocation": collocation.ORACLE}
     return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
