@@ -9,8 +9,8 @@ candidates in a task of its own, where candidates are evaluated in the order of
 Bounds are taken with a margin over their rounding, and products are exact: in float32 or float64 while the norms show that all sums are whole there, else in 64-bit integers.
 
 Defined cases: a null vector, or one with null, NaN or infinite components, takes no part; shorter vectors are as if filled up with zeros; vectors whose squared norm passes 2^62 raise an error,
-for scores could pass 64 bits; a null id is no query, and the last of its ties as a candidate; rows of one id are no candidates of each other, queries of their own, and candidates as often
-as they are there; fewer candidates than k are all returned; an empty table gives an empty result; further columns are ignored.
+for scores could pass 64 bits; a null id is no query, and the last of its ties as a candidate; rows that agree in id and vector are queries of their own, but no candidates of each other, and of others as often
+as they are there; a row of the same id with another vector is a candidate like any; fewer candidates than k are all returned; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -169,7 +169,7 @@ def _meet(dim: int, k: int):
 
 
 def exact_top_k(rows: DataFrame, *, k: int = K, every: int = EVERY, pivots: int = PIVOTS, sample: int = SAMPLE, block: int = BLOCK, small_block: int = SMALL_BLOCK) -> DataFrame:
-    """query_id, rank, vec_id, score: the k highest of each row of rows (vec_id, embedding) whose id is divisible by `every`, against all rows but those of its id; ties to the smaller id."""
+    """query_id, rank, vec_id, score: the k highest of each row of rows (vec_id, embedding) whose id is divisible by `every`, against all rows but those of its id and vector; ties to the smaller id."""
     asked = F.col("vec_id") % every == 0
     own = rows.select(F.col("vec_id").cast("long").alias("vec_id"), whole_numbers(F.col("embedding")).alias("v")).where("v is not null")
     classes = vector_classes(own, asked, k)
@@ -194,10 +194,10 @@ def exact_top_k(rows: DataFrame, *, k: int = K, every: int = EVERY, pivots: int
     best = met.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k + 1).select("query", "cls", "score")
     # ids of the best classes: at most k + 1 of each of k + 1
     named = best.join(classes.select(F.col("cls").alias("_c"), F.explode("ids").alias("i")), F.col("cls") == F.col("_c"))
-    lists = named.groupBy("query").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("below"), "i.none", "i.vec_id", "i.n"))), 1, k + 1).alias("found"))
+    lists = named.groupBy("query").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("below"), "i.none", "i.vec_id", "i.n", (F.col("query") == F.col("cls")).alias("own")))), 1, k + 1).alias("found"))
     lists = durable(lists.join(classes.select("cls", "v"), F.col("query") == F.col("cls")).select(F.col("v").alias("_v"), "found"))
     each = own.where(asked).select(F.col("vec_id").alias("query_id"), "v").join(lists, F.col("v") == F.col("_v")).select("query_id", "found")
-    others = F.filter("found", lambda f: ~f["vec_id"].eqNullSafe(F.col("query_id")))
+    others = F.filter("found", lambda f: ~(f["own"] & f["vec_id"].eqNullSafe(F.col("query_id"))))
     repeated = F.flatten(F.transform(others, lambda f: F.array_repeat(f, F.least(f["n"], F.lit(k)).cast("int"))))
     top = each.select("query_id", F.posexplode(F.slice(repeated, 1, k)).alias("at", "f"))
     return top.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), "f.vec_id", (-F.col("f.below")).alias("score"))
@@ -207,7 +207,7 @@ ORACLE = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id IS DISTINCT FROM c.vec_id OR q.e <> c.e WHERE q.vec_id % 20 = 0
 ), r AS (
   SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s
 )
