@@ -196,7 +196,8 @@ def word_counts(texts: DataFrame) -> DataFrame:
         def all_() -> Iterator[pd.DataFrame]:
             for lang, c in found.items():
                 c.pop(BREAK, None)
-                yield pd.DataFrame({"lang": lang, "phrase": [w.decode("utf-8", "surrogatepass") for w in c], "n": list(c.values())})
+                if c:
+                    yield pd.DataFrame({"lang": lang, "phrase": [w.decode("utf-8", "surrogatepass") for w in c], "n": list(c.values())})
             found.clear()
 
         for pdf in batches:
