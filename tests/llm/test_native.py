@@ -55,6 +55,20 @@ def test_mixing_meets_targets(spark, sf, bucket_rows):
         assert not more or not less or max(more) < min(less)
 
 
+@pytest.mark.parametrize("bucket_rows", [4000, 5])
+def test_mixing_meets_targets_where_rows_repeat(spark, bucket_rows):
+    """One id in all rows of a source, null ids in another: such rows are taken one by one."""
+    text = "ten words that are said here again and again now"
+    rows = [(1, "a", text)] * 1000 + [(i, "b", text) for i in range(3000)] + [(None, "c", text)] * 700 + [(5, "c", text)] * 300
+    got = mixing.mix_decisions(spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(6), bucket_rows=bucket_rows).collect()
+    taken, target = Counter(), {}
+    for r in got:
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+        assert r.copies <= 3
+    assert len(got) == len(rows) and all(abs(taken[s] - target[s]) <= 10 for s in "abc"), (taken, target)
+
+
 def test_mixing_is_the_same_for_any_bucket_size(spark, sf):
     docs = table(spark, sf, "documents")
     one, other = ({r.doc_id: r.copies for r in mixing.mix_decisions(docs, bucket_rows=b).collect()} for b in (50_000, 3))
