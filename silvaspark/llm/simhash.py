@@ -9,8 +9,8 @@ of its components, not all pairs; label propagation with pointer jumping joins t
 With min_similarity, a link of `near_duplicates` also needs that share of equal places in two sketches of 64 minimum hashes (one permutation, a byte each): an estimate, which the pipeline doesn't use.
 
 `keep_one` links texts whose sets of shingles have a Jaccard similarity of 0.8 or more. At that similarity fingerprints are some 10 bits apart, too far for blocks of bits.
-So texts meet by bands of minimum hashes instead: two of similarity s share one of 16 bands of 4 with probability 1 - (1 - s^4)^16, 0.9998 at 0.8. What meets within `WIDE` bits is
-decided on the sets themselves: first each text of a meeting with the first that is near it, as a join; then, where a meeting of three or more is still in several components, all pairs across them.
+So texts meet by bands of minimum hashes instead: two of similarity s share one of 16 bands of 4 with probability 1 - (1 - s^4)^16, 0.9998 at 0.8. What meets with fingerprints within `WIDE` bits,
+taken from the sets, so that repeated shingles count once, as in the similarity, is decided on the sets themselves: first each text of a meeting with the first that is near it, as a join; then, where a meeting of three or more is still in several components, all pairs across them.
 
 Defined cases: a text without words (or null) has fingerprint zero, linked like any other; fewer words than a shingle make one shingle; a null id
 takes part, and has the component of the smallest id it reaches, null if there is none; repeated rows are equal documents; an empty table gives an empty result; further columns are ignored.
@@ -33,7 +33,7 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 TILE, HOT, BUCKET_ROWS = 1024, 50_000, 200_000
 #: Bands of minimum hashes, hashes a band, the bits that candidates may be apart, shingles that a task of exact comparisons takes, about.
-BANDS, BAND_SIZE, WIDE, BUCKET_SHINGLES = 16, 4, 24, 4_000_000
+BANDS, BAND_SIZE, WIDE, BUCKET_SHINGLES = 16, 4, 28, 4_000_000
 _random = np.random.default_rng(42)
 MASKS = _random.integers(0, 2**64, (BANDS * BAND_SIZE, 1), np.uint64)
 FACTORS = _random.integers(0, 2**64, (BANDS * BAND_SIZE, 1), np.uint64) | np.uint64(1)
@@ -285,8 +285,8 @@ def similar_texts(docs: DataFrame, *, shingle: int = 5, min_similarity: float =
         for pdf in batches:
             out = []
             for text in pdf["text"]:
-                h = shingle_hashes(text, shingle)
-                out.append((xxhash.xxh64_intdigest(np.unique(h).tobytes()), fingerprint(h), band_values(h)))
+                h = np.unique(shingle_hashes(text, shingle))
+                out.append((xxhash.xxh64_intdigest(h.tobytes()), fingerprint(h), band_values(h)))
             node, fp, bands = zip(*out, strict=True) if out else ((), (), ())
             signed = lambda x: np.array(x, np.uint64).view(np.int64)
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "text_hash": pdf["text_hash"], "node": signed(node), "fp": signed(fp), "bands": bands})
@@ -334,7 +334,9 @@ def similar_texts(docs: DataFrame, *, shingle: int = 5, min_similarity: float =
 
 
 def keep_one(docs: DataFrame, *, shingle: int = 5, min_similarity: float = 0.8) -> DataFrame:
-    """docs with one row of each component: that of the smallest (doc_id, hash of the text), null ids last. Rows that agree in id and text count as one, and one of them stays."""
+    """docs with one row of each component: that of the smallest (doc_id, hash of the text), null ids last. Rows that agree in id and text count as one, and one of them stays.
+
+    A component is what links reach: a chain of near texts is one group, of which one document stays, though its ends may be unlike."""
     found = durable(similar_texts(docs, shingle=shingle, min_similarity=min_similarity))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
     best = found.groupBy("root").agg(first).select(F.col("root").alias("of"), "first")

@@ -434,6 +434,21 @@ def test_near_copies_are_found_at_similarities_from_0_8(spark):
     assert len(root) == len(texts) and np.mean([root[i] == root[j] for i, j in pairs]) > 0.99
 
 
+@pytest.mark.parametrize("repeated", ["word", "phrase", "lines"])
+def test_near_copies_with_repeats_are_found(spark, repeated):
+    """Similarity is of sets, so a word, phrase or line that one of two copies repeats often changes little of it."""
+    r, texts = random.Random(len(repeated)), []
+    for f in range(100):
+        words = [f"f{f}w{i}" for i in range(60)]
+        more = {"word": ["again"] * 150, "phrase": ["so", "on"] * r.randint(10, 40), "lines": ([*words[:12]] * 20)}[repeated]
+        texts += [" ".join(words), " ".join(words + more)]
+    pairs = [(i, j) for i, j, s in likenesses(texts) if s < 1]
+    assert len(pairs) >= 90
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {x.doc_id for x in simhash.keep_one(docs).collect()}
+    assert len(kept) == len(texts) - len(pairs) and all(i in kept and j not in kept for i, j in pairs)
+
+
 def test_near_copies_below_0_8_stay(spark):
     texts = edited_texts()
     up = list(range(len(texts)))
