@@ -205,25 +205,26 @@ def test_phrases_of_odd_tables(spark, odd, empty):
     assert collocation.mine(empty).count() == 0 and collocation.mine(odd.where("text is null")).count() == 0
 
 
-def test_buffers_and_slices_split_no_phrase(monkeypatch):
+def test_blocks_hold_every_phrase(monkeypatch):
+    """Slices of texts, blocks and forgotten words change no count."""
     everything = np.full(1 << (collocation.BITS - 6), 2**64 - 1, np.uint64)
-    texts = [t for _, t in prose(9, 30)]
-    want = Counter()
-    for mode, sizes in (("pairs", (2,)), ("grow", (3, 4, 5)), ("check", (2, 3, 4))):
-        for tokens, piece, vocabulary in ((2_000_000, 1_000_000, 400_000), (9, 5, 400_000), (13, 40, 20)):
-            for name, value in (("TOKENS", tokens), ("SLICE", piece), ("VOCABULARY", vocabulary)):
-                monkeypatch.setattr(collocation, name, value)
-            c, got = collocation.Corpus("en", everything, everything, mode), Counter()
-            for t in texts:
-                c.add(t)
-            c.finish()
-            found = c.take()
-            for phrase, n in zip(found["phrase"], found["n"], strict=True):
-                got[phrase] += n
-            if tokens == 2_000_000:
-                want = got
-                assert {len(p.split(" ")) for p in got} == set(sizes)
-            assert got == want
+    texts, want = [t for _, t in prose(9, 30)], {}
+    for tokens, piece, vocabulary in ((2_000_000, 1_000_000, 400_000), (9, 5, 400_000), (13, 40, 20)):
+        monkeypatch.setattr(collocation, "SLICE", piece)
+        monkeypatch.setattr(collocation, "VOCABULARY", vocabulary)
+        e, blocks = collocation.Encoder("en", everything, b""), []
+        for t in texts:
+            e.add(t)
+            if e.size >= tokens:
+                blocks.append(e.take())
+        blocks.append(e.take())
+        for mode, sizes in (("pairs", {2}), ("grow", {3, 4, 5}), ("check", {2, 3, 4})):
+            got = Counter()
+            for block in filter(None, blocks):
+                for found in collocation.block_grams(np.frombuffer(block, np.uint64), collocation.start_of("en"), everything, mode):
+                    for row in zip(found["k"].tolist(), *(found[w].tolist() for w in collocation.WORDS), found["n"].tolist(), strict=True):
+                        got[row[:-1]] += row[-1]
+            assert {x[0] for x in got} == sizes and got == want.setdefault(mode, got)
 
 
 def test_scores_past_64_bits(spark):
