@@ -120,7 +120,8 @@ _add("order123_descendants", cylinders, lambda c: graph.descendants(structure.br
 _add("taper_fit", cylinders, structure.taper_fit,
      ", s AS (SELECT tree_id, branch, r_mm AS r, surf_pct + 1 AS w, 2 * coalesce(sum(l_mm) OVER (PARTITION BY tree_id, branch ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT + l_mm AS s FROM cyl), g AS (SELECT tree_id, branch, sum(w)::DOUBLE s0, sum(w*s)::DOUBLE s1, sum(w*s*s)::DOUBLE s2, sum(w*r)::DOUBLE t0, sum(w*s*r)::DOUBLE t1 FROM s GROUP BY ALL) SELECT tree_id, branch, round(2 * ((s0 * t1 - s1 * t0) / nullif(s0 * s2 - s1 * s1, 0)), 6) AS slope, round((s2 * t0 - s1 * t1) / nullif(s0 * s2 - s1 * s1, 0), 4) AS start_mm FROM g")
 _add("radius_clamp", cylinders, structure.clamp_radii,
-     "SELECT c.tree_id, c.pos, greatest(CASE WHEN c.pib = 0 AND p.r_mm IS NOT NULL THEN least(c.r_mm::DOUBLE, 0.95::DOUBLE * p.r_mm) ELSE c.r_mm::DOUBLE END, 2.5) AS radius_mm FROM cyl c LEFT JOIN cyl p ON c.tree_id = p.tree_id AND c.parent = p.pos")
+     ", g AS (SELECT tree_id, list({'pos': pos, 'pib': pib, 'parent': parent, 'r': r_mm::DOUBLE} ORDER BY pos) AS a FROM cyl GROUP BY tree_id), u AS (SELECT tree_id, a, unnest(a) AS c FROM g)"
+     " SELECT tree_id, c.pos AS pos, greatest(CASE WHEN c.pib = 0 AND c.parent >= 0 THEN least(c.r, 0.95::DOUBLE * a[c.parent + 1].r) ELSE c.r END, 2.5) AS radius_mm FROM u")
 _add("taper_linear", cylinders, structure.linear_taper,
      ", e AS (SELECT tree_id, branch, arg_min(r_mm, pos) a, arg_max(r_mm, pos) b, count(*) n FROM cyl GROUP BY ALL) SELECT tree_id, pos, CASE WHEN n = 1 THEN a::DOUBLE ELSE a + (b - a) * pib / (n - 1) END AS radius_mm FROM cyl JOIN e USING (tree_id, branch)")
 SLICES = {"all": "", "trunk": " FILTER (branch = 0)", "branch": " FILTER (branch <> 0)", "order1": " FILTER (branch_order = 1)", "order2": " FILTER (branch_order = 2)"}

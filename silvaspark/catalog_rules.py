@@ -75,7 +75,8 @@ _U, _P = [f"u{c}" for c in "xyz"], [f"{r} - {c}0::DOUBLE" for r, c in zip(RAY, "
 register("line_distances", cylinders, lambda c: rules.line_distances(c, RAY, WAY),
          AXES + f", l AS (SELECT *, {_dot(_D, _U)} AS b, {_dot(_D, _P)} AS d, {_dot(_U, _P)} AS e FROM ax), s AS (SELECT *, coalesce((b * e - d) / nullif(1 - b * b, 0), 0) AS s, coalesce((e - b * d) / nullif(1 - b * b, 0), e) AS t FROM l), g AS (SELECT *, "
          + ", ".join(f"{p} + s * {d} - t * {u} AS g{c}" for p, d, u, c in zip(_P, _D, _U, "xyz", strict=True)) + " FROM s) SELECT tree_id, pos, round(sqrt(gx * gx + gy * gy + gz * gz), 3) AS dist, round(s, 3) AS on_ray, round(t, 3) AS on_line FROM g")
-register("parent_angles", cylinders, rules.parent_angles, AXES + " SELECT c.tree_id, c.pos, round(degrees(acos(least(1.0::DOUBLE, abs(c.ux * p.ux + c.uy * p.uy + c.uz * p.uz)))), 3) AS angle FROM ax c JOIN ax p ON c.tree_id = p.tree_id AND c.parent = p.pos")
+register("parent_angles", cylinders, rules.parent_angles, AXES + ", g AS (SELECT tree_id, list({'pos': pos, 'parent': parent, 'ux': ux, 'uy': uy, 'uz': uz} ORDER BY pos) AS a FROM ax GROUP BY tree_id), u AS (SELECT tree_id, a, unnest(a) AS c FROM g), p AS (SELECT tree_id, c, a[c.parent + 1] AS p FROM u WHERE c.parent >= 0)"
+         " SELECT tree_id, c.pos AS pos, round(degrees(acos(least(1.0::DOUBLE, abs(c.ux * p.ux + c.uy * p.uy + c.uz * p.uz)))), 3) AS angle FROM p")
 _R = "CASE WHEN abs({v}) >= 1000 THEN round({v}) WHEN abs({v}) >= 100 THEN round({v}, 1) WHEN abs({v}) >= 10 THEN round({v}, 2) WHEN abs({v}) >= 1 THEN round({v}, 3) WHEN abs({v}) >= 0.1 THEN round({v}, 4) ELSE round({v}, 5) END AS {v}"
 register("rounded_values", cylinders, lambda c: structure.branch_rollup(c).select("tree_id", "branch", *[rules.rounded(F.col(v)).alias(v) for v in ("volume", "area")]),
          f", b AS (SELECT tree_id, branch, {VOLUME} AS volume, {AREA} AS area FROM cyl GROUP BY ALL) SELECT tree_id, branch, {_R.format(v='volume')}, {_R.format(v='area')} FROM b")

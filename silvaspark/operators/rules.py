@@ -339,12 +339,13 @@ def bucket_components(cyl: DataFrame, intervals: tuple[int, ...] = INTERVALS) ->
     j = j.join(up, (F.col("tree_id") == F.col("t")) & (F.col("parent") == F.col("p")) & (F.col("interval") == F.col("i")) & (F.col("bucket") == F.col("k")), "left")
     node = lambda c: F.struct("tree_id", "interval", F.col(c).alias("pos"))
     hop = durable(j.select(node("pos").alias("node"), F.when(F.col("p").isNotNull(), node("p")).otherwise(node("pos")).alias("root")))
-    while True:  # pointer jumping: rounds grow with the logarithm of a piece's depth
+    for _ in range(64):  # pointer jumping: rounds grow with the logarithm of a piece's depth
         over = hop.select(F.col("node").alias("n"), F.col("root").alias("r"))
         moved = durable(hop.join(over, F.col("root") == F.col("n")).select("node", F.col("root").alias("was"), F.col("r").alias("root")))
         hop = moved.select("node", "root")
         if not moved.where("was <> root").limit(1).count():
             return hop.select("node.tree_id", "node.interval", "node.pos", F.col("root.pos").alias("root"))
+    raise RuntimeError("ways to the foot did not settle: parents go round in a circle")
 
 
 def merged_boxes(overlaps: DataFrame, boxes: DataFrame, key: str) -> DataFrame:
