@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from silvaspark.jobs.fixtures import cylinders, points
 from silvaspark.operators import points as pts
-from silvaspark.operators import models, rules, segments, shapes, spatial, structure
+from silvaspark.operators import models, rules, segments, sets, shapes, spatial, structure
 from silvaspark.registry import ORACLES, QUERIES, register, register_both
 
 UZ = ("sin(radians(zenith)) * cos(radians(azimuth))", "sin(radians(zenith)) * sin(radians(azimuth))", "cos(radians(zenith))")
@@ -206,3 +206,17 @@ register("plausible_segments", points, models.plausible_segments)
 register("box_volumes", points, lambda p: models.box_volumes(p, (-3000, -3000, 1000), (12000, 9000, 5000)))
 register("cylinders_of_cloud", points, models.cylinders_of)
 register("qsm_single", points, lambda p: models.tree_rows(models.cylinders_of(p)))
+
+
+def _sets(p):
+    """Cover sets of 300 mm of each tree, their links and bases."""
+    s, _ = sets.sets_of_points(p, 300)
+    return s, sets.near_links(s, 525), sets.lowest_sets(s)
+
+
+register("trunk_sets", points, lambda p: sets.trunk_sets(*_sets(p), patch=300)[0])
+register("trunk_bridges", points, lambda p: sets.trunk_sets(*_sets(p), patch=300)[1])
+register("least_links", points, lambda p: sets.least_links(*_sets(p)[:2], radius=600))
+register("look_ahead_segments", points, lambda p: sets.look_ahead_segments(*_sets(p)))
+register("segmented_points", points, lambda p: sets.segmented_points(p, patch=300).groupBy("tree_id", "part").agg(F.count(F.lit(1)).alias("n"), F.min("z").alias("low"), F.max("z").alias("high")))
+register("qsm_from_cloud", points, lambda p: models.tree_rows(models.cylinders_of(sets.segmented_points(p, patch=300))))

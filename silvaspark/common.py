@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +40,30 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Rounds:
+    """Tables of the rounds of a loop, written as Parquet to a folder of their own under the shared checkpoint folder.
+
+    A checkpoint hands the estimated size of a join on to the next round's plan, where it is multiplied again: after some tens of rounds it has millions of digits, and planning takes all the time.
+    Files have the size that they have, so that small frontiers are also seen to be small. `last` leaves the loop with checkpoints and removes the folder."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        ensure_checkpoint_dir(spark)
+        self.spark, self.n = spark, 0
+        self.folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/rounds-{uuid.uuid4().hex}"
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        df.write.parquet(f"{self.folder}/{self.n}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{self.n}")
+
+    def last(self, *dfs: DataFrame):
+        """The tables, as one or a tuple, checkpointed; those of the rounds are gone."""
+        out = tuple(durable(df) for df in dfs)
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        return out if len(out) > 1 else out[0]
+
+
 def maybe_broadcast(df: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
     """Mark df for broadcast if a count finds it within bound; otherwise it is left to a shuffled join (AQE splits hot keys)."""
     return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from silvaspark.common import durable
+from silvaspark.common import Rounds, durable
 from silvaspark.operators.points import XYZ
 from silvaspark.operators.spatial import near_pairs
 
@@ -16,16 +16,17 @@ def both_ways(edges: DataFrame) -> DataFrame:
 
 def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """node, root: the least node that each reaches; label propagation with pointer jumping. nodes: node; edges: src, dst."""
-    edges = durable(both_ways(edges).distinct())
+    rounds = Rounds(nodes.sparkSession)
+    edges = rounds.keep(both_ways(edges).distinct())
     labels = nodes.select("node").distinct().withColumn("root", F.col("node"))
     for _ in range(max_rounds):
         near = edges.join(labels, F.col("dst") == F.col("node")).groupBy("src").agg(F.min("root").alias("near"))
         lower = labels.join(near, F.col("node") == F.col("src"), "left").select("node", F.col("root").alias("was"), F.least("root", F.coalesce("near", "root")).alias("root"))
         up = lower.select(F.col("node").alias("at"), F.col("root").alias("up"))
-        moved = durable(lower.join(up, F.col("root") == F.col("at")).select("node", "was", F.col("up").alias("root")))
+        moved = rounds.keep(lower.join(up, F.col("root") == F.col("at")).select("node", "was", F.col("up").alias("root")))
         labels = moved.select("node", "root")
         if not moved.where("was <> root").limit(1).count():
-            return labels
+            return rounds.last(labels)
     raise RuntimeError("components did not settle")
 
 

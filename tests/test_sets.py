@@ -8,7 +8,7 @@ from collections import defaultdict
 
 import pytest
 
-from silvaspark.operators import sets
+from silvaspark.operators import models, sets
 
 S, L, B = "tree_id long, node long, x long, y long, z long", "tree_id long, src long, dst long", "tree_id long, node long"
 
@@ -125,31 +125,24 @@ def chain(*nodes):
     return list(zip(nodes, nodes[1:], strict=False))
 
 
-def segments(spark, edges, **k):
-    """Segments as sets of nodes, by their least node, with that of the segment they come from."""
-    rows = sets.look_ahead_segments(*tree_of(spark, edges, **k)).collect()
-    own, parent = defaultdict(set), {}
-    for r in rows:
-        own[r.segment].add(r.node)
-        parent[r.segment] = r.parent_segment
-    least = {s: min(n) for s, n in own.items()}
-    return {least[s]: (n, least.get(parent[s])) for s, n in own.items()}
-
-
 def test_a_fork_a_tripod_a_ring_and_a_stub(spark):
-    # two sets a level, so that all six levels ahead are studied
+    # two sets a level, so that more levels ahead are studied
     wide = lambda nodes: [(a + i, b + j) for a, b in chain(*nodes) for i in (0, 1000) for j in (0, 1000)] + [(n, n + 1000) for n in nodes]
-    long, short = list(range(1, 15)), [20, 21, 22]
-    got = segments(spark, wide([0, *long]) + wide([3, *short, 23, 24, 25, 26]), base=(0, 1000))
-    assert set(got) == {0, 20} and got[20] == ({n + k for n in (20, 21, 22, 23, 24, 25, 26) for k in (0, 1000)}, 0)
-    tripod = segments(spark, wide([0, 1, 2]) + wide([2, *range(10, 20)]) + wide([2, *range(30, 42)]) + wide([2, *range(50, 58)]), base=(0, 1000))
-    assert {s: p for s, (_, p) in tripod.items()} in ({0: None, 30: 0, 50: 0}, {0: None, 10: 0, 50: 0}) and len(tripod) == 3
-    ring = segments(spark, wide([0, 1, 2, 3, 4, 9, 10]) + wide([1, 12, 13, 14, 9]), base=(0, 1000))
-    assert set(ring) == {0}  # both ways meet within the levels ahead
-    wide_ring = segments(spark, wide([0, 1, *range(10, 20), 40]) + wide([1, *range(20, 30), 40]), base=(0, 1000))
-    assert len(wide_ring) == 2
-    stub = segments(spark, wide([0, *range(1, 9)]) + [(3, 70)], base=(0, 1000))
-    assert set(stub) == {0}  # a small end is no branch
+    fork, tripod = wide(range(15)) + wide([3, *range(20, 27)]), wide([0, 1, 2]) + wide([2, *range(10, 20)]) + wide([2, *range(30, 42)]) + wide([2, *range(50, 58)])
+    ring, wide_ring = wide([0, 1, 2, 3, 4, 9, 10]) + wide([1, 12, 13, 14, 9]), wide([0, 1, *range(10, 20), 40]) + wide([1, *range(20, 30), 40])
+    stub = wide(range(9)) + [(3, 70)]
+    parts = [tree_of(spark, e, base=(0, 1000), tree=t) for t, e in enumerate((fork, tripod, ring, wide_ring, stub))]
+    joined = [parts[0][i].unionByName(parts[1][i]).unionByName(parts[2][i]).unionByName(parts[3][i]).unionByName(parts[4][i]) for i in range(3)]
+    own, parent = defaultdict(set), {}
+    for r in sets.look_ahead_segments(*joined).collect():
+        own[r.tree_id, r.segment].add(r.node)
+        parent[r.tree_id, r.segment] = r.parent_segment
+    of = lambda t: {s: (nodes, parent[t, s]) for (u, s), nodes in own.items() if u == t}
+    assert of(0) == {0: ({n + k for n in range(15) for k in (0, 1000)}, None), 20: ({n + k for n in range(20, 27) for k in (0, 1000)}, 0)}
+    assert {s: p for s, (_, p) in of(1).items()} == {0: None, 30: 0, 50: 0}
+    assert set(of(2)) == {0}  # both ways meet within the levels ahead
+    assert len(of(3)) == 2
+    assert set(of(4)) == {0}  # a small end is no branch
 
 
 def test_branches_of_branches_of_two_trees(spark):
@@ -175,3 +168,33 @@ def test_odd_tables(spark, kind):
     assert sorted(map(tuple, trunk.collect())) == ([] if kind == "empty" else [(1, 0), (1, 1)]) and bridges.count() == 0
     assert sets.least_links(s, e).count() == 0
     assert sorted((r.tree_id, r.node, r.level) for r in sets.look_ahead_segments(s, e, b).collect()) == ([] if kind == "empty" else [(1, 0, 0), (1, 1, 1)])
+
+
+def made_tree(seed, tree, x0):
+    """Points of a trunk of radius 100 mm, 3 m tall, with a gap, and two branches of radius 40 and lengths 1.2 and 0.9 m."""
+    r, rows = random.Random(seed), []
+    for _ in range(2500):
+        a, z = r.uniform(0, 2 * math.pi), r.uniform(0, 3000)
+        if not 1300 < z < 1750:
+            rows.append((x0 + 100 * math.cos(a), 100 * math.sin(a), z))
+    for length, z, way in ((1200, 1000, 1), (900, 2200, -1)):
+        for _ in range(700):
+            a, t = r.uniform(0, 2 * math.pi), r.uniform(100, length)
+            rows.append((x0 + way * t, 40 * math.cos(a), z + 40 * math.sin(a)))
+    return [(tree * 10_000 + i, tree, *map(round, p), 9) for i, p in enumerate(rows)]
+
+
+def test_model_of_a_cloud_without_segments(spark):
+    points = spark.createDataFrame(made_tree(1, 1, 0) + made_tree(2, 2, 5000), "pid long, tree_id long, x long, y long, z long, part long")
+    found = sets.segmented_points(points, patch=150).cache()
+    assert found.columns == ["pid", "tree_id", "x", "y", "z", "part"] and found.count() == points.count()
+    for t in (1, 2):
+        rows = [r for r in found.collect() if r.tree_id == t]
+        x0 = 0 if t == 1 else 5000
+        ends = {r.part for r in rows if abs(r.x - x0) > 400}
+        assert len(ends) == 2 and 0 not in ends  # two branches
+        stem = [r for r in rows if abs(r.x - x0) <= 110]
+        assert sum(r.part == 0 for r in stem) > 0.9 * len(stem)
+    row = {r.tree_id: r for r in models.tree_rows(models.cylinders_of(found)).collect()}
+    for t in (1, 2):
+        assert 85 < row[t].trunk_litres < 120 and 2800 < row[t].height_mm < 3200 and 170 < row[t].dbh_mm < 260
