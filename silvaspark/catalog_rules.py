@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from silvaspark.jobs.fixtures import cylinders, points
 from silvaspark.operators import points as pts
-from silvaspark.operators import models, rules, segments, sets, shapes, spatial, structure
+from silvaspark.operators import models, robust, rules, segments, sets, shapes, spatial, structure
 from silvaspark.registry import ORACLES, QUERIES, register, register_both
 
 UZ = ("sin(radians(zenith)) * cos(radians(azimuth))", "sin(radians(zenith)) * sin(radians(azimuth))", "cos(radians(zenith))")
@@ -220,3 +220,4 @@ register("least_links", points, lambda p: sets.least_links(*_sets(p)[:2], radius
 register("look_ahead_segments", points, lambda p: sets.look_ahead_segments(*_sets(p)))
 register("segmented_points", points, lambda p: sets.segmented_points(p, patch=300).groupBy("tree_id", "part").agg(F.count(F.lit(1)).alias("n"), F.min("z").alias("low"), F.max("z").alias("high")))
 register("qsm_from_cloud", points, lambda p: models.tree_rows(models.cylinders_of(sets.segmented_points(p, patch=300))))
+register("robust_cylinders", points, lambda p: robust.robust_cylinders(p.withColumn("layer", F.when(F.col("part") == 0, F.floor(F.col("z") / 2000)).otherwise(0)), "tree_id", "part", "layer"))
