@@ -208,15 +208,15 @@ register("cylinders_of_cloud", points, models.cylinders_of)
 register("qsm_single", points, lambda p: models.tree_rows(models.cylinders_of(p)))
 
 
-def _sets(p):
+def _sets(p, reach=525):
     """Cover sets of 300 mm of each tree, their links and bases."""
     s, _ = sets.sets_of_points(p, 300)
-    return s, sets.near_links(s, 525), sets.lowest_sets(s)
+    return s, sets.near_links(s, reach), sets.lowest_sets(s)
 
 
 register("trunk_sets", points, lambda p: sets.trunk_sets(*_sets(p), patch=300)[0])
-register("trunk_bridges", points, lambda p: sets.trunk_sets(*_sets(p), patch=300)[1])
-register("least_links", points, lambda p: sets.least_links(*_sets(p)[:2], radius=600))
+register("trunk_bridges", points, lambda p: sets.trunk_sets(*_sets(p, 320), patch=300)[1])
+register("least_links", points, lambda p: sets.least_links(*_sets(p, 320)[:2], radius=600))
 register("look_ahead_segments", points, lambda p: sets.look_ahead_segments(*_sets(p)))
 register("segmented_points", points, lambda p: sets.segmented_points(p, patch=300).groupBy("tree_id", "part").agg(F.count(F.lit(1)).alias("n"), F.min("z").alias("low"), F.max("z").alias("high")))
 register("qsm_from_cloud", points, lambda p: models.tree_rows(models.cylinders_of(sets.segmented_points(p, patch=300))))
