@@ -49,7 +49,11 @@ def _whole_axes(p):
 QUERIES["arc_coverage"] = lambda spark, sf_dir: (lambda p: rules.arc_coverage(p, _whole_axes(p)))(points(spark, sf_dir))
 ORACLES["arc_coverage"] = _FIT + _AXES + " SELECT tree_id, layer, count(DISTINCT least(floor((atan2(y - cy, x - cx) + pi()) * 100 / (2 * pi())), 99))::DOUBLE / 100 AS coverage FROM t JOIN k USING (tree_id, layer) GROUP BY ALL"
 QUERIES["coverage_rotated"] = lambda spark, sf_dir: (lambda p: rules.rotated_coverage(p, _whole_axes(p)))(points(spark, sf_dir))
-ORACLES["coverage_rotated"] = _FIT + _AXES + ", u AS (SELECT tree_id, layer, floor((z - layer * 1000) * 10 / 1000)::BIGINT h, (atan2(y - cy, x - cx) + pi()) * 20 / (2 * pi()) AS turn, sqrt(((x - cx) * (x - cx) + (y - cy) * (y - cy))::DOUBLE) AS d, b FROM t JOIN k USING (tree_id, layer), (SELECT unnest([0, 1, 2, 3]) AS b)), w AS (SELECT tree_id, layer, b, h, floor(turn + b / 4)::BIGINT % 20 AS s, avg(d) AS r FROM u GROUP BY ALL), g AS (SELECT tree_id, layer, b, count(*) n, sum(r * r) rr, avg(r) mean FROM w GROUP BY ALL) SELECT tree_id, layer, max(n)::DOUBLE / 200 AS coverage, round(pi() * (max(rr) FILTER (b = 3) + (200 - max(n) FILTER (b = 3)) * max(mean) FILTER (b = 3) ** 2) / 20 * 100 / 1e6::DOUBLE, 4) AS litres FROM g GROUP BY ALL"
+ORACLES["coverage_rotated"] = _FIT + _AXES + ", u AS (SELECT tree_id, layer, floor((z - layer * 1000) * 10 / 1000)::BIGINT h, (atan2(y - cy, x - cx) + pi()) * 20 / (2 * pi()) AS turn, sqrt(((x - cx) * (x - cx) + (y - cy) * (y - cy))::DOUBLE) AS d, b FROM t JOIN k USING (tree_id, layer), (SELECT unnest([0, 1, 2, 3]) AS b)), w AS (SELECT tree_id, layer, b, h, floor(turn + b / 4)::BIGINT % 20 AS s, avg(d) AS r FROM u GROUP BY ALL)" + (
+    ", kn AS (SELECT tree_id, layer, h, s, r FROM w WHERE b = 3), gm AS (SELECT tree_id, layer, avg(r) mean FROM kn GROUP BY ALL), ga AS (SELECT *, unnest(range(0, 10)) AS h FROM gm), gc AS (SELECT *, unnest(range(0, 20)) AS s FROM ga)"
+    ", nb AS (SELECT gc.tree_id, gc.layer, gc.h, gc.s, mean, kn.r, greatest(abs(CASE e WHEN 0 THEN kn.h WHEN 1 THEN -1 - kn.h ELSE 19 - kn.h END - gc.h), least((kn.s - gc.s + 20) % 20, (gc.s - kn.s + 20) % 20)) AS ring FROM gc JOIN kn USING (tree_id, layer), (SELECT unnest([0, 1, 2]) AS e))"
+    ", fi AS (SELECT a.tree_id, a.layer, a.h, a.s, coalesce(max(kn.r), CASE WHEN max(n1) > 1 THEN max(m1) WHEN max(n2) > 1 THEN max(m2) WHEN max(n3) > 1 THEN max(m3) ELSE max(mean) END) AS r FROM (SELECT tree_id, layer, h, s, any_value(mean) mean, " + ", ".join(f"count(*) FILTER (ring <= {k}) n{k}, avg(r) FILTER (ring <= {k}) m{k}" for k in (1, 2, 3)) + " FROM nb GROUP BY ALL) a LEFT JOIN kn USING (tree_id, layer, h, s) GROUP BY ALL)"
+    ", co AS (SELECT tree_id, layer, max(n)::DOUBLE / 200 AS coverage FROM (SELECT tree_id, layer, b, count(*) n FROM w GROUP BY ALL) GROUP BY ALL) SELECT tree_id, layer, coverage, round(pi() * sum(r * r) / 20 * 100 / 1e6::DOUBLE, 4) AS litres FROM fi JOIN co USING (tree_id, layer) GROUP BY ALL")
 QUERIES["coverage_filter"] = lambda spark, sf_dir: (lambda p: rules.covered_surface(p, _whole_axes(p)).groupBy("tree_id", "layer").agg(F.sum(F.col("keep").cast("int")).alias("kept"), F.round(F.first("radius"), 4).alias("radius"), F.first("coverage").alias("coverage"), F.round(F.avg(F.when(F.col("keep"), F.abs(F.col("d") - F.col("radius")))), 4).alias("mad")))(points(spark, sf_dir))
 ORACLES["coverage_filter"] = _FIT + _AXES + (
     ", u0 AS (SELECT tree_id, layer, z, sqrt(((x - cx) * (x - cx) + (y - cy) * (y - cy))::DOUBLE) AS d, (atan2(y - cy, x - cx) + pi()) / (2 * pi()) AS turn FROM t JOIN k USING (tree_id, layer)), u AS (SELECT *, (z - min(z) OVER (PARTITION BY tree_id, layer)) / 1000.0::DOUBLE AS h FROM u0)"
@@ -148,6 +152,13 @@ _crown = lambda c: rules.crown_base(c, structure.branch_rollup(c))
 register("crown_base", cylinders, _crown, CROWN + " SELECT * FROM ba")
 WIDTHS = ", wd AS (SELECT tree_id, least(floor((atan2(y1 - fy, x1 - fx) + pi()) * 18 / pi()), 35)::BIGINT AS s, sqrt((x1 - fx) * (x1 - fx) + (y1 - fy) * (y1 - fy)) AS far FROM ax JOIN (SELECT tree_id, arg_min(x0, pos) fx, arg_min(y0, pos) fy FROM cyl GROUP BY ALL) USING (tree_id)), wf AS (SELECT tree_id, s, max(far) far FROM wd GROUP BY ALL), wg AS (SELECT tree_id, s % 18 AS s, sum(far) AS width FROM wf GROUP BY ALL), ww AS (SELECT tree_id, round(sum(width) / 18, 3) AS mean_mm, round(max(width), 3) AS max_mm FROM wg GROUP BY ALL)"
 register("crown_diameters", cylinders, rules.crown_diameters, AXES + WIDTHS + " SELECT * FROM ww")
+AREAS = (
+    ", pl AS (SELECT DISTINCT tree_id, x, y, 1000 / greatest(0.5::DOUBLE, mean_mm / 10 / 1000) AS r FROM (SELECT tree_id, x0::BIGINT x, y0::BIGINT y FROM ax UNION ALL SELECT tree_id, round(round(x1, 4))::BIGINT, round(round(y1, 4))::BIGINT FROM ax) JOIN ww USING (tree_id))"
+    ", pr AS (SELECT a.tree_id, a.x px, a.y py, b.x qx, b.y qy, a.r, sqrt(((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y))::DOUBLE) AS d, atan2(b.y - a.y, b.x - a.x) AS t FROM pl a JOIN pl b ON a.tree_id = b.tree_id AND (a.x <> b.x OR a.y <> b.y))"
+    ", hu AS (SELECT *, lag(ro) OVER (PARTITION BY tree_id, px, py ORDER BY ro, d DESC) AS before, max(ro) OVER (PARTITION BY tree_id, px, py) AS final FROM (SELECT *, round(t, 10) AS ro FROM pr)), ha AS (SELECT tree_id, sum((px + qx) * (qy - py))::DOUBLE / 2e6::DOUBLE AS a FROM hu WHERE ro - coalesce(before, final - 2 * pi()) > pi() + 1e-9::DOUBLE GROUP BY ALL)"
+    ", ar AS (SELECT *, t - w / 2 + CASE WHEN t - w / 2 < -pi() THEN 2 * pi() ELSE 0 END AS a FROM (SELECT *, 2 * acos(d / (2 * r)) AS w FROM pr WHERE d < 2 * r)), al AS (SELECT tree_id, sum((px + qx) * (qy - py))::DOUBLE / 2e6::DOUBLE AS a FROM (SELECT *, greatest(coalesce(max(a + w) OVER (PARTITION BY tree_id, px, py ORDER BY a, d, qx, qy ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -10), max(a + w) OVER (PARTITION BY tree_id, px, py) - 2 * pi()) AS shut FROM ar) WHERE a >= shut GROUP BY ALL)"
+    ", aa AS (SELECT tree_id, coalesce(ha.a, 0) AS convex_m2, coalesce(al.a, 0) AS alpha_m2 FROM (SELECT DISTINCT tree_id FROM pl) LEFT JOIN ha USING (tree_id) LEFT JOIN al USING (tree_id))")
+register("crown_areas", cylinders, lambda c: rules.crown_areas(c, rules.crown_diameters(c)), AXES + WIDTHS + AREAS + " SELECT * FROM aa")
 register("cylinder_table", cylinders, rules.cylinder_table,
          AXES + " SELECT tree_id, pos, r_mm / 1000 AS radius, l_mm / 1000 AS length, " + ", ".join(f"{c}0 / 1000 AS start_{c}" for c in "xyz") + ", " + ", ".join(f"round(u{c}, 4) + 0 AS axis_{c}" for c in "xyz") + ", parent, extension, branch, branch_order, row_number() OVER (PARTITION BY tree_id, branch ORDER BY pos) AS position_in_branch, mad_mm / 1000 AS mad, surf_pct / 100 AS surf_cov, added FROM ax")
 _SWEEP = ORACLES["model_metrics"].removesuffix(" SELECT * FROM met")
@@ -155,8 +166,8 @@ QUERIES["distance_table"] = lambda spark, sf_dir: rules.distance_table(structure
 ORACLES["distance_table"] = _SWEEP + " SELECT tree_id, model_id, " + ", ".join(f"{p}_{k}_dis AS {p}_{k}" for k in ("mean", "max") for p in ("all", "trunk", "branch", "branch1", "branch2")) + " FROM met"
 QUERIES["retained_models"] = lambda spark, sf_dir: (lambda m: rules.retained(m, structure.select_model(structure.model_metrics(m), "all_mean_dis")).groupBy("tree_id", "model_id").agg(F.count(F.lit(1)).alias("n"), F.sum("r_mm").alias("r_sum")))(structure.sweep(cylinders(spark, sf_dir)))
 ORACLES["retained_models"] = _SWEEP + ", ch AS (SELECT tree_id, arg_min(model_id, (all_mean_dis, model_id)) AS model_id FROM met GROUP BY ALL) SELECT tree_id, model_id, count(*) n, sum(r_mm)::BIGINT AS r_sum FROM mods JOIN ch USING (tree_id, model_id) GROUP BY ALL"
-register("tree_data", cylinders, lambda c: rules.tree_data(structure.tree_rollup(c), structure.breast_height_diameter(c), _crown(c), rules.crown_diameters(c)),
-         CROWN + WIDTHS + f", ro AS (SELECT tree_id, {ORACLES['tree_rollup'].rsplit('SELECT tree_id, ', 1)[1]}) SELECT ro.*, dbh_mm, base_mm, round(height - base_mm / 1000, 8) AS crown_length, round((height - base_mm / 1000) / nullif(height, 0), 6) AS crown_ratio, mean_mm AS crown_mean_mm, max_mm AS crown_max_mm FROM ro JOIN dbh USING (tree_id) LEFT JOIN ww USING (tree_id) LEFT JOIN ba USING (tree_id)")
+register("tree_data", cylinders, lambda c: rules.tree_data(structure.tree_rollup(c), structure.breast_height_diameter(c), _crown(c), rules.crown_diameters(c), rules.crown_areas(c, rules.crown_diameters(c))),
+         CROWN + WIDTHS + AREAS + f", ro AS (SELECT tree_id, {ORACLES['tree_rollup'].rsplit('SELECT tree_id, ', 1)[1]}) SELECT ro.*, dbh_mm, base_mm, round(height - base_mm / 1000, 8) AS crown_length, round((height - base_mm / 1000) / nullif(height, 0), 6) AS crown_ratio, mean_mm AS crown_mean_mm, max_mm AS crown_max_mm, convex_m2 AS crown_convex_m2, alpha_m2 AS crown_alpha_m2 FROM ro JOIN dbh USING (tree_id) LEFT JOIN ww USING (tree_id) LEFT JOIN aa USING (tree_id) LEFT JOIN ba USING (tree_id)")
 QUERIES["model_distance_summary"] = lambda spark, sf_dir: _distance_summary(points(spark, sf_dir))
 _NEAR = ORACLES["model_distances"].rsplit(" SELECT pid, cyl, round(abs(a - r), 3) AS dist_mm", 1)
 ORACLES["model_distance_summary"] = _NEAR[0] + ", nd AS (SELECT pid, cyl, round(abs(a - r), 3) AS dist_mm" + _NEAR[1] + "), rk AS (SELECT cyl, dist_mm, row_number() OVER (PARTITION BY cyl ORDER BY dist_mm, pid) rn, count(*) OVER (PARTITION BY cyl) m FROM nd), tm AS (SELECT cyl, max(m) AS n, avg(dist_mm) FILTER (m < 20 OR rn <= floor(0.95::DOUBLE * m)) AS d FROM rk GROUP BY ALL) SELECT cyl // 1000 AS tree_id, count(*) AS n_cyl, round(avg(d), 4) mean_mm, round(max(d), 4) max_mm, round(median(d), 4) median_mm, round(stddev_pop(d), 4) std_mm FROM tm GROUP BY ALL"

@@ -16,15 +16,15 @@ def corners(xy: np.ndarray) -> np.ndarray:
     if len(xy) < 3:
         return xy
 
-    def side(places: np.ndarray) -> list[np.ndarray]:
-        out: list[np.ndarray] = []
+    def side(places: list[list[float]]) -> list[list[float]]:
+        out: list[list[float]] = []
         for p in places:
             while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]) <= 0:
                 out.pop()
             out.append(p)
         return out[:-1]
 
-    return np.array(side(xy) + side(xy[::-1]))
+    return np.array(side(xy.tolist()) + side(xy[::-1].tolist()))
 
 
 def convex_hulls(places: DataFrame, by: str, *, x: str = "x", y: str = "y", fan: int = 32) -> DataFrame:
@@ -32,26 +32,33 @@ def convex_hulls(places: DataFrame, by: str, *, x: str = "x", y: str = "y", fan:
 
     Batches give their corners, these meet in `fan` parts of a group and then in one, so no task sees more than the corners of `fan` hulls.
     Places with a null are left out; groups without places have no row."""
-    schema = "key long, part int, x double, y double"
-
-    def reduced(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame(corners(g[["x", "y"]].to_numpy()), columns=["x", "y"]).assign(key=k, part=p) for (k, p), g in pdf.groupby(["key", "part"])]
-        return pd.concat(out)[["key", "part", "x", "y"]] if out else pdf[:0]
+    def reduced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The corners of what a batch has of each part of a group."""
+        for pdf in batches:
+            if len(pdf):
+                pdf = pdf.sort_values(["key", "part"])
+                key, part, xy = pdf["key"].to_numpy(), pdf["part"].to_numpy(), pdf[["x", "y"]].to_numpy()
+                starts = np.r_[0, np.flatnonzero((key[1:] != key[:-1]) | (part[1:] != part[:-1])) + 1]
+                found = [corners(some) for some in np.split(xy, starts[1:])]
+                sizes = [len(c) for c in found]
+                yield pd.DataFrame({"key": np.repeat(key[starts], sizes), "part": np.repeat(part[starts], sizes), "x": np.concatenate(found)[:, 0], "y": np.concatenate(found)[:, 1]})
 
-    def batches(given: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield from map(reduced, given)
+    def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [size(corners(np.column_stack([np.asarray(xs, float), np.asarray(ys, float)]))) for xs, ys in zip(pdf["xs"], pdf["ys"], strict=True)]
+            yield pd.DataFrame(rows, columns=["n_corners", "area", "cx", "cy", "diameter"]).assign(key=pdf["key"].to_numpy())[["key", "n_corners", "area", "cx", "cy", "diameter"]]
 
-    def measured(pdf: pd.DataFrame) -> pd.DataFrame:
-        c = corners(pdf[["x", "y"]].to_numpy())
+    def size(c: np.ndarray) -> tuple:
         mid = c.mean(0)
         p, q = c - mid, np.roll(c - mid, -1, axis=0)
         cross = p[:, 0] * q[:, 1] - p[:, 1] * q[:, 0]
         area = cross.sum() / 2 if len(c) > 2 else 0.0
         at = mid + ((p + q) * cross[:, None]).sum(0) / (6 * area) if area else mid
-        far = max(float((((c - v) ** 2).sum(1)).max()) for v in c)
-        return pd.DataFrame({"key": pdf["key"].iloc[:1], "n_corners": len(c), "area": area, "cx": at[0], "cy": at[1], "diameter": far**0.5})
+        return len(c), area, at[0], at[1], max(float((((c - v) ** 2).sum(1)).max()) for v in c) ** 0.5
 
+    schema = "key long, part int, x double, y double"
     given = places.select(F.col(by).cast("long").alias("key"), (F.spark_partition_id() % fan).alias("part"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna()
-    parts = given.mapInPandas(batches, schema).groupBy("key", "part").applyInPandas(reduced, schema)
-    found = parts.groupBy("key").applyInPandas(measured, "key long, n_corners long, area double, cx double, cy double, diameter double")
+    parts = given.mapInPandas(reduced, schema).repartition("key", "part").mapInPandas(reduced, schema)
+    whole = parts.groupBy("key").agg(F.collect_list(F.struct("x", "y")).alias("c")).select("key", F.col("c.x").alias("xs"), F.col("c.y").alias("ys"))
+    found = whole.mapInPandas(measured, "key long, n_corners long, area double, cx double, cy double, diameter double")
     return found.withColumnRenamed("key", by)

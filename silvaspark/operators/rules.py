@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from silvaspark.common import durable
-from silvaspark.operators import graph
+from silvaspark.operators import alpha, graph, hull
 from silvaspark.operators.points import XYZ, assign_tiles, stem_section
 from silvaspark.operators.spatial import near_pairs
 from silvaspark.operators.structure import axis, breast_height_diameter, summed_to_root, tips, trunk
@@ -129,17 +129,44 @@ def arc_coverage(points: DataFrame, circles: DataFrame, layer: int = 1000, secto
 
 def rotated_coverage(points: DataFrame, axes: DataFrame, *, layer: int = 1000, layers: int = 10, sectors: int = 20) -> DataFrame:
     """tree_id, layer, coverage, litres: the highest share of cells (layers along the axis by sectors) with a point, of four baselines a quarter of a sector apart, and the
-    volume whose cells have their points' mean distance from the axis, of the last baseline; a cell without points has the mean of the cells. axes: tree_id, layer, cx, cy."""
+    volume whose cells have their points' mean distance from the axis, of the last baseline, with holes filled from the cells around them (`filled_cells`). axes: tree_id, layer, cx, cy."""
     p = points.where("part = 0").withColumn("layer", F.floor(F.col("z") / layer)).join(axes, ["tree_id", "layer"])
     ux, uy = F.col("x") - F.col("cx"), F.col("y") - F.col("cy")
     turn = (F.atan2(uy, ux) + F.pi()) * sectors / (2 * F.pi())
     p = p.select("tree_id", "layer", F.floor((F.col("z") - F.col("layer") * layer) * layers / layer).alias("h"), turn.alias("turn"), F.sqrt((ux * ux + uy * uy).cast("double")).alias("d"))
     p = p.withColumn("b", F.explode(F.array(*[F.lit(i) for i in range(4)]))).withColumn("s", F.pmod(F.floor(F.col("turn") + F.col("b") / 4), F.lit(sectors)))
     cells = p.groupBy("tree_id", "layer", "b", "h", "s").agg(F.avg("d").alias("r"))
-    r = F.when(F.col("b") == 3, F.col("r"))
-    each = cells.groupBy("tree_id", "layer").agg(*[F.sum(F.when(F.col("b") == i, 1).otherwise(0)).alias(f"n{i}") for i in range(4)], F.sum(r * r).alias("rr"), F.avg(r).alias("mean"))
-    volume = F.pi() * (F.col("rr") + (layers * sectors - F.col("n3")) * F.col("mean") * F.col("mean")) / sectors * (layer / layers) / 1e6
-    return each.select("tree_id", "layer", (F.greatest(*[F.col(f"n{i}") for i in range(4)]) / (layers * sectors)).alias("coverage"), F.round(volume, 4).alias("litres"))
+    share = cells.groupBy("tree_id", "layer").agg(*[F.sum(F.when(F.col("b") == i, 1).otherwise(0)).alias(f"n{i}") for i in range(4)])
+    filled = filled_cells(cells.where("b = 3"), ["tree_id", "layer"], layers, sectors)
+    volume = filled.groupBy("tree_id", "layer").agg((F.pi() * F.sum(F.col("r") * F.col("r")) / sectors * (layer / layers) / 1e6).alias("litres"))
+    return share.join(volume, ["tree_id", "layer"]).select("tree_id", "layer", (F.greatest(*[F.col(f"n{i}") for i in range(4)]) / (layers * sectors)).alias("coverage"), F.round("litres", 4).alias("litres"))
+
+
+def filled_cells(cells: DataFrame, by: list[str], layers: int, sectors: int) -> DataFrame:
+    """*by, h, s, r, window for all layers * sectors cells of each surface; cells: *by, h (0 ... layers - 1), s (0 ... sectors - 1), r, one row a cell that has a value.
+
+    A cell without a value takes the mean of the window of 3 x 3 cells around it, or of 5 x 5, or of 7 x 7: the first that has two values or more; else the mean of all the surface's values.
+    window says which: 1 its own, 3, 5, 7, or null for the surface's mean. Sectors wrap round; beyond its ends the surface goes on as in a mirror. So a value may be in a window more than once.
+    Surfaces without a value have no rows; null values are left out. Each value goes to 49 cells for each of its three mirror rows at most, whatever the number of points."""
+    known = cells.where("r is not null").select(*by, "h", "s", "r")
+    if sectors < 7:
+        raise ValueError("a window of seven sectors would meet itself")
+    steps = F.array(*[F.lit(i) for i in range(-3, 4)])
+    rows = known.withColumn("row", F.explode(F.array(F.col("h"), -1 - F.col("h"), 2 * layers - 1 - F.col("h")))).withColumn("dh", F.explode(steps))
+    rows = rows.withColumn("at", F.col("row") + F.col("dh")).where((F.col("at") >= 0) & (F.col("at") < layers)).withColumn("ds", F.explode(steps))
+    ring = F.greatest(F.abs("dh"), F.abs("ds"))
+    own = (ring == 0) & (F.col("row") == F.col("h"))
+    sums = [F.max(F.when(own, F.col("r"))).alias("own")]
+    for k in (1, 2, 3):
+        sums += [F.sum(F.when(ring <= k, F.col("r"))).alias(f"sum{k}"), F.count(F.when(ring <= k, 1)).alias(f"n{k}")]
+    near = rows.groupBy(*by, F.col("at").cast("long").alias("h"), F.pmod(F.col("s") + F.col("ds"), F.lit(sectors)).cast("long").alias("s")).agg(*sums)
+    whole = known.groupBy(*by).agg(F.avg("r").alias("mean"))
+    every = whole.withColumn("h", F.explode(F.expr(f"sequence(0L, {layers - 1}L)"))).withColumn("s", F.explode(F.expr(f"sequence(0L, {sectors - 1}L)")))
+    windows = [F.when(F.col(f"n{k}") > 1, F.col(f"sum{k}") / F.col(f"n{k}")) for k in (1, 2, 3)]
+    kind = F.when(F.col("own").isNotNull(), 1)
+    for k in (1, 2, 3):
+        kind = kind.when(F.col(f"n{k}") > 1, 2 * k + 1)
+    return every.join(near, [*by, "h", "s"], "left").select(*by, "h", "s", F.coalesce("own", *windows, "mean").alias("r"), kind.alias("window"))
 
 
 def covered_surface(points: DataFrame, axes: DataFrame, *, layer: int = 1000, fine: int = 100, sectors: int = 20) -> DataFrame:
@@ -499,6 +526,17 @@ def crown_diameters(cyl: DataFrame) -> DataFrame:
     return far.groupBy("tree_id").agg(F.round(F.sum("width") / 18, 3).alias("mean_mm"), F.round(F.max("width"), 3).alias("max_mm"))
 
 
+def crown_areas(cyl: DataFrame, widths: DataFrame) -> DataFrame:
+    """tree_id, convex_m2, alpha_m2: ground plan of the ends of a tree's cylinders, at whole millimetres: of its hull, and of its alpha shape with the radius 1 / max(0.5, a tenth of the mean width), in metres.
+
+    widths: tree_id, mean_mm. Holes of the shape don't count."""
+    ends = cyl.select("tree_id", F.col("x0").alias("x"), F.col("y0").alias("y")).unionByName(tips(cyl).select("tree_id", F.col("x1").alias("x"), F.col("y1").alias("y")))
+    ends = ends.select("tree_id", *[F.round(F.round(c, 4)).cast("long").alias(c) for c in "xy"])
+    p = durable(ends.join(widths.select("tree_id", (MM / F.greatest(F.lit(0.5), F.col("mean_mm") / 10 / MM)).alias("radius")), "tree_id"))
+    convex = hull.convex_hulls(p, "tree_id").select("tree_id", (F.round(2 * F.col("area")) / 2e6).alias("convex_m2"))
+    return convex.join(alpha.alpha_shapes(p, "tree_id", F.col("radius")).select("tree_id", (F.round(2 * F.col("area")) / 2e6).alias("alpha_m2")), "tree_id")
+
+
 def cylinder_table(cyl: DataFrame) -> DataFrame:
     """The seventeen columns of a model's cylinder file, metres with four decimals."""
     m = lambda c: F.round(c / MM, 4)
@@ -520,8 +558,8 @@ def retained(models: DataFrame, chosen: DataFrame) -> DataFrame:
     return models.join(c, (F.col("tree_id") == F.col("t")) & (F.col("model_id") == F.col("m")), "left_semi")
 
 
-def tree_data(rollup: DataFrame, dbh: DataFrame, base: DataFrame, widths: DataFrame) -> DataFrame:
-    """One row a tree: sizes, diameter, crown base, length and ratio, crown widths."""
-    j = rollup.join(dbh, "tree_id").join(widths, "tree_id", "left").join(base, "tree_id", "left")
+def tree_data(rollup: DataFrame, dbh: DataFrame, base: DataFrame, widths: DataFrame, areas: DataFrame) -> DataFrame:
+    """One row a tree: sizes, diameter, crown base, length and ratio, crown widths and areas."""
+    j = rollup.join(dbh, "tree_id").join(widths, "tree_id", "left").join(base, "tree_id", "left").join(areas, "tree_id", "left")
     length = F.col("height") - F.col("base_mm") / MM
-    return j.select(*rollup.columns, "dbh_mm", "base_mm", F.round(length, 8).alias("crown_length"), F.round(length / F.nullif("height", F.lit(0.0)), 6).alias("crown_ratio"), F.col("mean_mm").alias("crown_mean_mm"), F.col("max_mm").alias("crown_max_mm"))
+    return j.select(*rollup.columns, "dbh_mm", "base_mm", F.round(length, 8).alias("crown_length"), F.round(length / F.nullif("height", F.lit(0.0)), 6).alias("crown_ratio"), F.col("mean_mm").alias("crown_mean_mm"), F.col("max_mm").alias("crown_max_mm"), F.col("convex_m2").alias("crown_convex_m2"), F.col("alpha_m2").alias("crown_alpha_m2"))
