@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from silvaspark.jobs.fixtures import cylinders, points
 from silvaspark.operators import points as pts
-from silvaspark.operators import models, robust, rules, segments, sets, shapes, spatial, structure
+from silvaspark.operators import models, robust, rules, segments, sets, shapes, spatial, structure, topology
 from silvaspark.registry import ORACLES, QUERIES, register, register_both
 
 UZ = ("sin(radians(zenith)) * cos(radians(azimuth))", "sin(radians(zenith)) * sin(radians(azimuth))", "cos(radians(zenith))")
@@ -232,3 +232,14 @@ register("look_ahead_segments", points, lambda p: sets.look_ahead_segments(*_set
 register("segmented_points", points, lambda p: sets.segmented_points(p, patch=300).groupBy("tree_id", "part").agg(F.count(F.lit(1)).alias("n"), F.min("z").alias("low"), F.max("z").alias("high")))
 register("qsm_from_cloud", points, lambda p: models.tree_rows(models.cylinders_of(sets.segmented_points(p, patch=300))))
 register("robust_cylinders", points, lambda p: robust.robust_cylinders(p.withColumn("layer", F.when(F.col("part") == 0, F.floor(F.col("z") / 2000)).otherwise(0)), "tree_id", "part", "layer"))
+register("longest_ways", cylinders, lambda c: topology.longest_ways(c.select("tree_id", F.col("pos").alias("node"), F.col("parent").alias("up"), F.col("x0").alias("x"), F.col("y0").alias("y"), F.col("z0").alias("z"))),
+         ", nd AS (SELECT tree_id t, pos v, parent u, x0 x, y0 y, z0 z FROM cyl), ed AS (SELECT a.t, a.v, b.v AS u, coalesce(round(sqrt(((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z))::DOUBLE))::BIGINT, 0) AS len FROM nd a LEFT JOIN nd b ON a.t = b.t AND a.u = b.v)"
+         ", an AS (SELECT t, v, v AS a, 0::BIGINT AS d FROM ed UNION ALL SELECT an.t, an.v, ed.u, an.d + ed.len FROM an JOIN ed ON ed.t = an.t AND ed.v = an.a WHERE ed.u IS NOT NULL), ro AS (SELECT an.t, an.v, an.a AS root, an.d AS way FROM an JOIN ed ON ed.t = an.t AND ed.v = an.a WHERE ed.u IS NULL)"
+         ", tp AS (SELECT ro.t, ro.v, root, way, x, y, z FROM ro JOIN nd USING (t, v) WHERE (ro.t, ro.v) NOT IN (SELECT (t, u) FROM ed WHERE u IS NOT NULL)), hi AS (SELECT t, root, max(z) high FROM tp GROUP BY ALL)"
+         ", ca AS (SELECT tp.t, tp.root, tp.v, round(way / nullif(sqrt(((tp.x - r.x) * (tp.x - r.x) + (tp.y - r.y) * (tp.y - r.y) + (tp.z - r.z) * (tp.z - r.z))::DOUBLE), 0), 9) AS straight, sqrt(((tp.x - r.x) * (tp.x - r.x) + (tp.y - r.y) * (tp.y - r.y) + (high - tp.z) * (high - tp.z))::DOUBLE) AS off FROM tp JOIN hi USING (t, root) JOIN nd r ON r.t = tp.t AND r.v = tp.root)"
+         ", be AS (SELECT t, root, CASE WHEN min(off) < 500 THEN 500 ELSE 500 + 500 * (floor((min(off) - 500) / 500) + 1) END AS beg FROM ca GROUP BY ALL), cb AS (SELECT ca.*, CASE WHEN off < beg THEN 0 ELSE floor((off - beg) / 1000) + 1 END::BIGINT AS ring, coalesce(straight > 1.05::DOUBLE, true) AS much FROM ca JOIN be USING (t, root))"
+         ", tops AS (SELECT t, v FROM cb QUALIFY row_number() OVER (PARTITION BY t, root ORDER BY much, CASE WHEN much THEN 0 ELSE ring END, straight NULLS LAST, v) = 1)"
+         ", sg AS (SELECT t, v, tip FROM (SELECT an.t, an.a AS v, an.v AS tip, row_number() OVER (PARTITION BY an.t, an.a ORDER BY tops.v IS NULL, an.d DESC, an.v) AS rn FROM an JOIN tp ON tp.t = an.t AND tp.v = an.v LEFT JOIN tops ON tops.t = an.t AND tops.v = an.v) WHERE rn = 1)"
+         ", pa AS (SELECT a.t, a.tip, b.tip AS under FROM sg a JOIN ed ON ed.t = a.t AND ed.v = a.v JOIN sg b ON b.t = ed.t AND b.v = ed.u WHERE a.tip <> b.tip)"
+         " SELECT ro.t AS tree_id, ro.v AS node, sg.tip AS segment, under AS parent_segment, way, tops.v IS NOT NULL AS stem FROM ro JOIN sg ON sg.t = ro.t AND sg.v = ro.v LEFT JOIN pa ON pa.t = sg.t AND pa.tip = sg.tip LEFT JOIN tops ON tops.t = sg.t AND tops.v = sg.tip")
+register("long_segments", points, lambda p: topology.long_segments(*_sets(p)))
