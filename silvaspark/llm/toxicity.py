@@ -41,6 +41,8 @@ WORDS, GRAMS = 1 << 16, 1 << 16
 DIM, INPUTS, HIDDEN = 5, 2 * (5 + 1) + 1, 8
 MAX_DOCS, WINDOWS_OF_DOC, FOLDS, SAMPLE_PARTS = 4_000, 3, 4, 16
 EPOCHS, BATCH, RATE = 8, 64, 0.01
+#: Words of texts that are scored together, about; distinct words whose gate inputs a worker keeps, about.
+TOGETHER, KEPT_WORDS = 100_000, 100_000
 #: Share of words whose own vector is left out in training, so that their characters count; documents of prior in the log-odds; scale of evidence.
 DROPPED, PRIOR, SCALE = 0.5, 4.0, 0.25
 
@@ -177,7 +179,7 @@ class Scorer:
         gates = self.net.inputs(words, self.odds) @ self.net.p["W"] + self.net.p["b"][:, None]
         base = len(self.at)
         if base + len(words) > self.table.shape[1]:
-            self.table = np.concatenate([self.table[:, :base], np.zeros((2, max(1024, base + len(words)), 3 * HIDDEN), np.float32)], 1)
+            self.table = np.concatenate([self.table[:, :base], np.zeros((2, len(words) + max(1024, base // 4), 3 * HIDDEN), np.float32)], 1)
         self.table[:, base : base + len(words)] = gates
         self.at.update(zip(words, range(base, base + len(words)), strict=True))
 
@@ -232,10 +234,10 @@ class Scorer:
         for text in texts:
             held.append(self.numbers(words_of(text)))
             size += len(held[-1])
-            if size > 200_000:
+            if size > TOGETHER:
                 out[done : done + len(held)] = [x.max() for x in self.logits(held)]
                 held, size, done = [], 0, done + len(held)
-                if len(self.at) > 300_000:
+                if len(self.at) > KEPT_WORDS:
                     self._forget()
         if held:
             out[done:] = [x.max() for x in self.logits(held)]
@@ -426,8 +428,8 @@ def _calibrate(net: Net, x: np.ndarray, y: np.ndarray) -> None:
     net.slope, net.shift = max(a, 1e-3), b
 
 
-def score_documents(docs: DataFrame, net: Net | float) -> DataFrame:
-    """docs with score (0 to 1)."""
+def score_documents(docs: DataFrame, net: Net | float, text: str = "text") -> DataFrame:
+    """docs with score (0 to 1); text: the column, or field of one, that is scored."""
     if isinstance(net, float):
         return docs.withColumn("score", F.lit(net))
 
@@ -437,11 +439,11 @@ def score_documents(docs: DataFrame, net: Net | float) -> DataFrame:
         for texts in batches:
             yield pd.Series(1 / (1 + np.exp(-np.clip(net.slope * scorer.worst(texts) + net.shift, -600, 600))))
 
-    return docs.withColumn("score", score(F.coalesce("text", F.lit(""))))
+    return docs.withColumn("score", score(F.coalesce(F.col(text), F.lit(""))))
 
 
 def keep_clean(docs: DataFrame, net: Net | float) -> DataFrame:
     """docs without the rows of score 0.5 or more."""
     columns = docs.columns
-    scored = score_documents(docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), "text"), net)
+    scored = score_documents(docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")), net, "row.text")
     return scored.where("score < 0.5").select(*[F.col("row").getField(c).alias(c) for c in columns])

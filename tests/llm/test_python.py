@@ -175,6 +175,16 @@ def test_toxicity_of_held_out_documents(spark, sf, least, caught):
     assert held["predicted"][y == 1].mean() > caught and (held["predicted"][y == 0] == 0).mean() > 0.97
 
 
+def test_a_scorer_keeps_few_words():
+    net = toxicity.Net()
+    texts = pd.Series([" ".join(f"t{t}w{i}" for i in range(5_000)) for t in range(60)])
+    scorer = toxicity.Scorer(net)
+    got = scorer.worst(texts)
+    most = toxicity.KEPT_WORDS + toxicity.TOGETHER + 5_000
+    assert len(scorer.at) <= most and scorer.table.shape[1] <= 1.3 * most
+    assert np.allclose(got[::20], [toxicity.Scorer(net).worst(texts[i : i + 1])[0] for i in range(0, 60, 20)], atol=1e-5)
+
+
 def test_one_passage_at_every_offset(spark):
     sf = "/root/testdata/sf0.01"
     net = toxicity.train(table(spark, sf, "documents"), table(spark, sf, "labels"))
