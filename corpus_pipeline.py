@@ -23,7 +23,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: five-word shingle sets of a similarity of 0.8 or more."""
+    """One document of each group of near-duplicates stays: they meet by SimHash fingerprints, and by bands, and have five-word shingle sets of a similarity of 0.8 or more."""
     return simhash.keep_one(docs)
 
 

@@ -8,8 +8,9 @@ of its components, not all pairs; label propagation with pointer jumping joins t
 
 With min_similarity, a link of `near_duplicates` also needs that share of equal places in two sketches of 64 minimum hashes (one permutation, a byte each): an estimate, which the pipeline doesn't use.
 
-`keep_one` links texts whose sets of shingles have a Jaccard similarity of 0.8 or more. At that similarity fingerprints are some 10 bits apart, too far for blocks of bits.
-So texts meet by bands of minimum hashes instead: two of similarity s share one of 16 bands of 4 with probability 1 - (1 - s^4)^16, 0.9998 at 0.8. What meets with fingerprints within `WIDE` bits,
+`keep_one` links texts whose sets of shingles have a Jaccard similarity of 0.8 or more. Texts meet by the steps above: fingerprints within `RADIUS` bits, found in blocks and tiles, and the components of these links;
+all of one component meet. At a similarity of 0.8 fingerprints are some 10 bits apart, too far for blocks of bits, so texts
+also meet by bands of minimum hashes: two of similarity s share one of 16 bands of 4 with probability 1 - (1 - s^4)^16, 0.9998 at 0.8. What meets with fingerprints within `WIDE` bits,
 taken from the sets, so that repeated shingles count once, as in the similarity, is decided on the sets themselves: first each text of a meeting with the first that is near it, as a join; then, where a meeting of three or more is still in several components, all pairs across them.
 
 Defined cases: a text without words (or null) has fingerprint zero, linked like any other; fewer words than a shingle make one shingle; a null id
@@ -31,7 +32,7 @@ from silvaspark.common import durable, maybe_broadcast
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-TILE, HOT, BUCKET_ROWS = 1024, 50_000, 200_000
+RADIUS, TILE, HOT, BUCKET_ROWS = 2, 1024, 50_000, 200_000
 #: Bands of minimum hashes, hashes a band, the bits that candidates may be apart, shingles that a task of exact comparisons takes, about.
 BANDS, BAND_SIZE, WIDE, BUCKET_SHINGLES = 16, 4, 28, 4_000_000
 _random = np.random.default_rng(42)
@@ -214,7 +215,7 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = 3, radius: int = 2, min_similarity: float | None = None, hot: int = HOT) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, shingle: int = 3, radius: int = RADIUS, min_similarity: float | None = None, hot: int = HOT) -> DataFrame:
     """doc_id, fp, component_id for each row of docs (doc_id, text)."""
     rows = fingerprint_rows(docs, shingle, min_similarity is not None)
     rows = durable(rows.withColumn("node", F.xxhash64("fp", "sketch") if min_similarity else F.col("fp")))
@@ -278,6 +279,14 @@ def links_across(min_similarity: float):
     return across
 
 
+def meetings(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """nodes (fp, bands and others) with meet_at, the numbers under which a node meets others: that of the component of fingerprints within radius bits, and its bands."""
+    prints = nodes.groupBy("fp").agg(F.lit(b"").alias("sketch")).withColumn("node", F.col("fp"))
+    roots = components(node_links(prints.select("node", "fp", "sketch"), radius)).withColumnRenamed("node", "of")
+    group = F.xxhash64(F.lit("fingerprint"), F.coalesce("root", "fp"))
+    return nodes.join(roots, F.col("fp") == F.col("of"), "left").withColumn("meet_at", F.concat(F.array(group), "bands")).drop("of", "root", "bands")
+
+
 def similar_texts(docs: DataFrame, *, shingle: int = 5, min_similarity: float = 0.8) -> DataFrame:
     """doc_id, text_hash, root, component_id for each row of docs (doc_id, text): components of links between texts whose shingle sets have at least that Jaccard similarity."""
 
@@ -300,8 +309,9 @@ def similar_texts(docs: DataFrame, *, shingle: int = 5, min_similarity: float =
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash.alias("text_hash"), "text")
     found = durable(texts.mapInPandas(rows, "doc_id long, text_hash long, node long, fp long, bands array<long>"))
     nodes = durable(found.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("text_hash").alias("text_hash"), F.any_value("fp").alias("fp"), F.any_value("bands").alias("bands")))
-    met = nodes.select("node", "fp", F.explode("bands").alias("meet_at"))
-    buckets = max(1, nodes.count() * BANDS // BUCKET_ROWS + 1, parts)
+    nodes = durable(meetings(nodes))
+    met = nodes.select("node", "fp", F.explode("meet_at").alias("meet_at"))
+    buckets = max(1, nodes.count() * (BANDS + 1) // BUCKET_ROWS + 1, parts)
     pairs = met.withColumn("bucket", F.pmod("meet_at", F.lit(buckets))).groupBy("bucket").applyInPandas(first_near, "a long, b long")
     pairs = durable(pairs.distinct())
     active = durable(nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("of")).distinct(), F.col("node") == F.col("of"), "left_semi"))
@@ -314,7 +324,7 @@ def similar_texts(docs: DataFrame, *, shingle: int = 5, min_similarity: float =
     both, either = F.size(F.array_intersect("shingles_a", "shingles_b")), F.size("shingles_a") + F.size("shingles_b")
     links = durable(tested.where(both / (either - both) >= min_similarity).select("a", "b"))
     roots = components(links)
-    some = active.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("node", "fp", F.coalesce("root", "node").alias("root"), F.explode("bands").alias("meet_at"))
+    some = active.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("node", "fp", F.coalesce("root", "node").alias("root"), F.explode("meet_at").alias("meet_at"))
     some = durable(some)
     # of a meeting of two, the pair was tested above
     mixed = durable(some.groupBy("meet_at").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("n > 2 and low <> high").select(F.col("meet_at").alias("at")))

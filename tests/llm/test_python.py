@@ -471,6 +471,18 @@ def test_near_copies_below_0_8_stay(spark):
     assert gone and gone <= {i for pair in likenesses(texts) for i in pair[:2]}
 
 
+def test_texts_meet_by_fingerprints_without_a_common_band(spark):
+    r = random.Random(5)
+    fps = [r.getrandbits(64) for _ in range(300)]
+    for _ in range(300):  # chains of up to 2 bits a step
+        fps.append(fps[r.randrange(len(fps))] ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64)))
+    signed = np.array(fps, np.uint64).view(np.int64).tolist()
+    nodes = spark.createDataFrame([(i, fp, [i + 10]) for i, fp in enumerate(signed)], "node long, fp long, bands array<long>")
+    met = {x.node: set(x.meet_at) for x in simhash.meetings(nodes).collect()}
+    group = brute_components(list(enumerate(fps)), 2)
+    assert all(bool(met[i] & met[j]) == (group[i] == group[j]) for i in met for j in met) and len(set(group.values())) < 320
+
+
 def test_links_across_the_components_of_a_meeting():
     sets = [np.arange(a, a + 100) for a in (0, 10, 20, 60)]  # similar in a chain: 0.82 to the next, 0.67 to the one after
     rows = pd.DataFrame({"meet_at": 5, "node": [1, 2, 3, 4], "fp": 0, "root": [1, 1, 3, 4], "shingles": sets})
