@@ -5,8 +5,9 @@ Words are runs of letters, in lower case. Each language has a model of 4 charact
 continuation counts. A model is stored as sorted 64-bit hash arrays with log-probabilities and back-off weights. A text's score in a language is its
 cross-entropy, per predicted character; the lowest wins. Since characters are predicted within words, each distinct word is looked up once per worker.
 
-The score is the share of the chosen language in a soft maximum of the negative cross-entropies, at a temperature calibrated on a bounded sample of
-training documents; `accepted` says whether the cross-entropy lies within what that sample has for the language.
+The score is the share of the chosen language in a soft maximum of the negative cross-entropies, at the temperature of a grid that fits all training documents best;
+`accepted` says whether the cross-entropy is at most half a bit above the 0.995 quantile (rounded up to 1/1024 bit) of all training documents of the language. Both are sums and counts in Spark.
+`train_and_identify` scores each text once for both: cross-entropies are written, and temperature, limits and decisions are taken from them.
 
 Defined cases: a null text, or one without letters, is `und` with score 0 and not accepted; equal cross-entropies go to the first language by name; without
 training documents all are `und`; training rows with null lang or text are left out; repeated rows are equal rows; an empty table gives an empty result; further columns are ignored.
@@ -23,15 +24,16 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from silvaspark.common import durable
 
 WORD = re.compile(r"[^\W\d_]+")  # with numerals such as ½ and Ⅷ, which words_of leaves out where they stand alone
 ORDER, BEGIN, END = 4, "\x02", "\x03"
-#: Training documents, about, on which temperature and rejection are calibrated.
-CALIBRATION_DOCS = 4_000
+#: Temperatures to choose from; steps a bit, share of a language's training documents and bits beyond it of what is accepted.
+TEMPERATURES = [0.02 * 1.5**i for i in range(14)]
+STEPS, ACCEPTED, SLACK = 1024, 0.995, 0.5
 #: Words that a block of texts has, about, when its new words are looked up together.
 BLOCK_WORDS = 200_000
 
@@ -176,8 +178,8 @@ class _Scorer:
         return out
 
 
-def train(rows: DataFrame, *, calibration_docs: int = CALIBRATION_DOCS) -> Identifier:
-    """Models from all rows (doc_id, text, lang) of which none is null."""
+def fit(rows: DataFrame) -> Identifier:
+    """Models from all rows (text, lang) of which none is null, not calibrated."""
     rows = rows.where("text is not null and lang is not null")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -199,63 +201,88 @@ def train(rows: DataFrame, *, calibration_docs: int = CALIBRATION_DOCS) -> Ident
     for lang in langs:
         counts = table.where(F.col("lang") == lang).select("gram", "n").toPandas()
         found.models[lang] = kneser_ney(dict(zip(counts["gram"], counts["n"].tolist(), strict=True)))
+    return found
+
+
+def train(rows: DataFrame, *, calibration_docs: int | None = None) -> Identifier:
+    """Models from all rows (doc_id, text, lang) of which none is null, calibrated on all of them, or on about so many if calibration_docs is given."""
+    found = fit(rows)
     if found.models:
-        _calibrate(found, rows, calibration_docs)
+        rows = rows.where("text is not null and lang is not null")
+        if calibration_docs is not None:
+            rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(min(1.0, calibration_docs / max(rows.count(), 1)) * 1_000_000) + 1)
+        calibrate(found, durable(scored(rows.select("doc_id", "lang", "text"), found)))
     return found
 
 
-def _calibrate(found: Identifier, rows: DataFrame, docs: int) -> None:
-    n = rows.count()
-    share = min(1.0, docs / max(n, 1))
-    some = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
+def scored(docs: DataFrame, found: Identifier) -> DataFrame:
+    """doc_id, lang, bits for each row of docs (doc_id, lang, text): cross-entropies by name of language, null without letters."""
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = _Scorer(found)
         for pdf in batches:
-            yield pd.DataFrame({"lang": pdf["lang"], "bits": scorer.entropies(pdf["text"]).tolist()})
-
-    got = some.select("text", "lang").mapInPandas(score, "lang string, bits array<double>").toPandas()
-    bits = np.array(got["bits"].tolist(), float).reshape(len(got), len(found.models))
-    lang = got["lang"].to_numpy()
-    good = ~np.isnan(bits).any(1)
-    bits, lang, names = bits[good], lang[good], sorted(found.models)
-    if not len(bits):
-        return
-    right = np.array([names.index(x) for x in lang])
+            bits = scorer.entropies(pdf["text"])
+            lists = pd.Series([None if none else x for none, x in zip(np.isnan(bits).any(1), bits.tolist(), strict=True)], pdf.index, object)
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "lang": pdf["lang"], "bits": lists})
 
-    def loss(t: float) -> float:
-        s = -bits / t
-        s -= s.max(1, keepdims=True)
-        return float(np.mean(np.log(np.exp(s).sum(1)) - s[np.arange(len(s)), right]))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").mapInPandas(rows, "doc_id long, lang string, bits array<double>")
 
-    found.temperature = min((0.02 * 1.5**i for i in range(14)), key=loss)
-    for i, x in enumerate(names):
-        own = bits[right == i, i]
-        if len(own):
-            found.limits[x] = float(np.quantile(own, 0.995) + 0.5)
+
+def _spread(temperature: float) -> Column:
+    """Sum over languages of exp((low - bits) / temperature)."""
+    return F.aggregate("bits", F.lit(0.0), lambda total, b: total + F.exp((F.col("low") - b) / F.lit(temperature)))
+
+
+def calibrate(found: Identifier, rows: DataFrame) -> None:
+    """Set temperature and limits by all rows (lang, bits), which should be durable: they are read twice."""
+    names = sorted(found.models)
+    place = F.array_position(F.array(*map(F.lit, names)), F.col("lang")).cast("int")
+    rows = rows.where("bits is not null and lang is not null").select("lang", "bits", F.array_min("bits").alias("low"), F.element_at("bits", place).alias("own"))
+    means = rows.agg(*[F.avg(F.log(_spread(t)) + (F.col("own") - F.col("low")) / F.lit(t)).alias(f"t{i}") for i, t in enumerate(TEMPERATURES)]).first()
+    if means["t0"] is None:
+        return
+    found.temperature = min(zip(means, TEMPERATURES, strict=True))[1]
+    # rows by language and step, of which there are some thousands a language whatever the number of documents
+    steps = rows.groupBy("lang", F.ceil(F.col("own") * STEPS).alias("step")).agg(F.count(F.lit(1)).alias("n"))
+    by_lang = Window.partitionBy("lang")
+    steps = steps.withColumn("upto", F.sum("n").over(by_lang.orderBy("step"))).withColumn("all", F.sum("n").over(by_lang))
+    for r in steps.where(F.col("upto") >= F.col("all") * ACCEPTED).groupBy("lang").agg(F.min("step").alias("step")).collect():  # a row a language
+        found.limits[r["lang"]] = r["step"] / STEPS + SLACK
+
+
+def decide(rows: DataFrame, found: Identifier) -> DataFrame:
+    """doc_id, lang_pred, score, bits (cross-entropy in the language chosen), accepted for each row (doc_id, bits by language)."""
+    names = sorted(found.models)
+    rows = rows.withColumn("low", F.array_min("bits")).withColumn("best", F.array_position("bits", F.col("low")).cast("int"))
+    # without the condition Spark takes an element of an array of literals for not null, even at a null place
+    of = lambda values: F.when(F.col("best").isNotNull(), F.element_at(F.array(*map(F.lit, values)), F.col("best")))
+    return rows.select(
+        "doc_id",
+        F.coalesce(of(names), F.lit("und")).alias("lang_pred"),
+        F.coalesce(1 / _spread(found.temperature), F.lit(0.0)).alias("score"),
+        F.col("low").alias("bits"),
+        F.coalesce(F.col("low") <= of([found.limits.get(x, float("inf")) for x in names]), F.lit(False)).alias("accepted"),
+    )
+
+
+def _undecided(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("bits"), F.lit(False).alias("accepted"))
 
 
 def identify(docs: DataFrame, found: Identifier) -> DataFrame:
     """doc_id, lang_pred, score, bits (cross-entropy in the language chosen), accepted for each row of docs (doc_id, text)."""
-
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = _Scorer(found)
-        names = np.array([*scorer.langs, "und"], object)
-        limits = np.array([*(found.limits.get(x, np.inf) for x in scorer.langs), -np.inf])
-        for pdf in batches:
-            if not scorer.langs:
-                yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "lang_pred": "und", "score": 0.0, "bits": None, "accepted": False})
-                continue
-            bits = scorer.entropies(pdf["text"])
-            none = np.isnan(bits).any(1)
-            safe = np.where(none[:, None], 0.0, bits)
-            best = safe.argmin(1)
-            low = safe[np.arange(len(safe)), best]
-            score = 1 / np.exp((low[:, None] - safe) / found.temperature).sum(1)
-            best[none] = len(scorer.langs)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "lang_pred": names[best], "score": np.where(none, 0.0, score), "bits": np.where(none, np.nan, low), "accepted": low <= limits[best]})
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(rows, "doc_id long, lang_pred string, score double, bits double, accepted boolean")
+    return decide(scored(docs.select("doc_id", F.lit(None).cast("string").alias("lang"), "text"), found), found) if found.models else _undecided(docs)
+
+
+def train_and_identify(docs: DataFrame, learn: Column) -> DataFrame:
+    """As `identify` by what `train` learns from the rows of docs (doc_id, text, lang) where learn holds; each text is scored once."""
+    found = fit(docs.where(learn))
+    if not found.models:
+        return _undecided(docs)
+    # lang goes along where the row is learned from
+    rows = durable(scored(docs.select("doc_id", F.when(learn, F.col("lang")).alias("lang"), "text"), found))
+    calibrate(found, rows)
+    return decide(rows, found)
 
 
 def held_out(doc_id: Column) -> Column:

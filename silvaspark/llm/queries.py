@@ -48,8 +48,8 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each document; `und` with score 0 for a null text or one without letters; ties go to the first language by name; without training rows all are `und`."""
     docs = table(spark, sf_dir, "documents")
-    found = language_id.train(docs.where(~language_id.held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))
-    return language_id.identify(docs, found).select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "accepted")
+    found = language_id.train_and_identify(docs, ~language_id.held_out(F.col("doc_id")))
+    return found.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "accepted")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -313,6 +313,25 @@ def test_language_odd_cases(spark, odd, empty):
     assert language_id.identify(empty, language_id.train(odd)).count() == 0
 
 
+def test_temperature_and_limits_are_of_all_training_documents(spark):
+    r = random.Random(4)
+    word = lambda letters: "".join(r.choice(letters) for _ in range(r.randint(1, 9)))
+    texts = [(i, " ".join(word("abcdefg" if i % 2 else "efghijk") for _ in range(r.randint(1, 6))), "aa" if i % 2 else "bb") for i in range(9_000)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, lang string").repartition(4)
+    found = language_id.train(docs)
+    bits = language_id._Scorer(found).entropies(pd.Series([t for _, t, _ in texts]))
+    own = np.array([x[int(lang == "bb")] for x, (_, _, lang) in zip(bits, texts, strict=True)])
+    for lang in ("aa", "bb"):
+        some = np.sort([x for x, t in zip(own, texts, strict=True) if t[2] == lang])
+        assert found.limits[lang] == np.ceil(some[int(np.ceil(len(some) * 0.995)) - 1] * 1024) / 1024 + 0.5
+    loss = lambda t: np.mean(np.log(np.exp((bits.min(1)[:, None] - bits) / t).sum(1)) + (own - bits.min(1)) / t)
+    assert found.temperature == min((0.02 * 1.5**i for i in range(14)), key=loss)
+    plain = {i: 1 / np.exp((x.min() - x) / found.temperature).sum() for (i, _, _), x in zip(texts, bits, strict=True)}
+    key = lambda rows: sorted((x.doc_id, x.lang_pred, round(x.score, 9), x.accepted) for x in rows.collect())
+    got = key(language_id.identify(docs, found))
+    assert all(s == pytest.approx(plain[i]) for i, _, s, _ in got) and got == key(language_id.train_and_identify(docs, F.lit(True)))
+
+
 def test_numerals_are_no_letters(spark):
     docs = spark.createDataFrame([(1, "½ ² Ⅷ ①"), (2, "x²"), (3, "Ⅷ banana"), (4, "banana")], "doc_id long, text string")
     found = language_id.train(spark.createDataFrame([(9, "banana nab ½", "aa")], "doc_id long, text string, lang string"))
