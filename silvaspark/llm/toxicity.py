@@ -20,8 +20,9 @@ from __future__ import annotations
 
 import re
 import zlib
-from array import array
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from itertools import count, islice
 
 import numpy as np
 import pandas as pd
@@ -43,6 +44,10 @@ MAX_DOCS, WINDOWS_OF_DOC, FOLDS, SAMPLE_PARTS = 4_000, 3, 4, 16
 EPOCHS, BATCH, RATE = 8, 64, 0.01
 #: Words of texts that are scored together, about; distinct words whose gate inputs a worker keeps, about.
 TOGETHER, KEPT_WORDS = 100_000, 100_000
+#: Words whose grams are found together; blocks whose states are computed together.
+WORDS_AT_ONCE, BLOCKS_AT_ONCE = 8192, 512
+#: CRC-32 is linear in its bytes: what a byte with k bytes after it, at most four, adds to the value of as many zero bytes.
+ADDED = np.array([[zlib.crc32(bytes([b, *bytes(k)])) ^ zlib.crc32(bytes(k + 1)) for b in range(256)] for k in range(5)], np.uint32)
 #: Share of words whose own vector is left out in training, so that their characters count; documents of prior in the log-odds; scale of evidence.
 DROPPED, PRIOR, SCALE = 0.5, 4.0, 0.25
 
@@ -66,14 +71,26 @@ def gram_numbers(word: str) -> list[int]:
 
 
 def grams_of(words: Iterable[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Gram numbers of words one after another, the first place of each word's, and their number."""
-    flat, size = array("i"), array("i")
-    for w in words:
-        grams = gram_numbers(w)
-        flat.extend(grams)
-        size.append(len(grams))
-    size = np.frombuffer(size, np.int32)
-    return np.frombuffer(flat, np.int32), np.cumsum(size) - size, size
+    """Gram numbers of words one after another, as `gram_numbers` has them, ascending; the first place of each word's, and their number."""
+    words, flat, sizes = iter(words), [np.empty(0, np.int32)], [np.empty(0, np.int32)]
+    while some := [f"<{w}>".encode("utf-8", "surrogatepass") for w in islice(words, WORDS_AT_ONCE)]:
+        text, length = np.frombuffer(b"".join(some), np.uint8), np.fromiter(map(len, some), np.int64, len(some))
+        left = np.repeat(np.cumsum(length), length) - np.arange(len(text))  # bytes from each one to the end of its word
+        word = np.repeat(np.arange(len(some)), length) * GRAMS
+        added = ADDED[:, text]
+        found = [np.flatnonzero(length < 3) * GRAMS]
+        for n in (3, 4, 5):
+            at = np.flatnonzero(left >= n)
+            value = np.full(max(0, len(text) - n + 1), zlib.crc32(bytes(n), n), np.uint32)
+            for i in range(n):
+                value ^= added[n - 1 - i, i : i + len(value)]
+            found.append(word[at] + value[at] % GRAMS)
+        found = np.sort(np.concatenate(found))
+        found = found[np.diff(found, prepend=-1) > 0]
+        flat.append((found % GRAMS).astype(np.int32))
+        sizes.append(np.bincount(found // GRAMS, minlength=len(some)).astype(np.int32))
+    size = np.concatenate(sizes)
+    return np.concatenate(flat), np.cumsum(size) - size, size
 
 
 def sums_of(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
@@ -99,9 +116,9 @@ class Net:
         out[:, 0], out[:, 1 : DIM + 1] = odds[at], self.p["word"][at]
         flat, first, size = grams_of(words)
         root = np.sqrt(size)[:, None]
-        known = odds[WORDS + flat]
+        known = odds[WORDS:].take(flat)
         out[:, DIM + 1], out[:, -1] = np.add.reduceat(known, first) / root[:, 0], np.maximum.reduceat(known, first)
-        out[:, DIM + 2 : -1] = np.add.reduceat(self.p["gram"][flat], first) / root
+        out[:, DIM + 2 : -1] = np.add.reduceat(self.p["gram"].take(flat, axis=0), first) / root
         return out
 
     def step(self, x: np.ndarray, h: np.ndarray, mask: np.ndarray, hu: np.ndarray):
@@ -165,55 +182,81 @@ class Net:
 
 
 class Scorer:
-    """Scores of all windows of texts; gate inputs of each distinct word are computed once."""
+    """Scores of all windows of texts; gate inputs of each distinct word are computed once. Row 0 of the table stands for a place outside of a text: its gates leave any state as it is."""
 
     def __init__(self, net: Net, odds: np.ndarray | None = None) -> None:
         self.net, self.odds = net, odds
+        # a gate is (1 + tanh(half its input)) / 2; halves are taken here once
+        self.halved = np.repeat(np.array([0.5, 1.0], np.float32), [2 * HIDDEN, HIDDEN])
+        self.U = np.ascontiguousarray(np.swapaxes(net.p["U"], 1, 2)) * np.float32(0.5)
+        self.table = np.zeros((2, 1, 3 * HIDDEN), np.float32)
+        self.table[:, 0, :HIDDEN] = 1e4
         self._forget()
 
     def _forget(self) -> None:
-        self.at, self.table = {}, np.zeros((2, 0, 3 * HIDDEN), np.float32)
-        self._learn([""])
-
-    def _learn(self, words: list[str]) -> None:
-        gates = self.net.inputs(words, self.odds) @ self.net.p["W"] + self.net.p["b"][:, None]
-        base = len(self.at)
-        if base + len(words) > self.table.shape[1]:
-            self.table = np.concatenate([self.table[:, :base], np.zeros((2, len(words) + max(1024, base // 4), 3 * HIDDEN), np.float32)], 1)
-        self.table[:, base : base + len(words)] = gates
-        self.at.update(zip(words, range(base, base + len(words)), strict=True))
+        self.at, self.learned = defaultdict(count(1).__next__), 0
+
+    def _learn(self) -> None:
+        """Gate inputs of the words numbered since the last call."""
+        new = [*islice(reversed(self.at), len(self.at) - self.learned)][::-1]
+        base, self.learned = self.learned + 1, len(self.at)
+        if self.learned >= self.table.shape[1]:
+            self.table = np.concatenate([self.table[:, :base], np.zeros((2, len(new) + max(1024, base // 4), 3 * HIDDEN), np.float32)], 1)
+        for a in range(0, len(new), WORDS_AT_ONCE):
+            some = new[a : a + WORDS_AT_ONCE]
+            self.table[:, base + a : base + a + len(some)] = (self.net.inputs(some, self.odds) @ self.net.p["W"] + self.net.p["b"][:, None]) * self.halved
 
     def numbers(self, words: list[str]) -> np.ndarray:
-        if new := [w for w in dict.fromkeys(words) if w not in self.at]:
-            self._learn(new)
         return np.fromiter(map(self.at.__getitem__, words or [""]), np.int64, max(1, len(words)))
 
+    def _states(self, word: np.ndarray) -> np.ndarray:
+        """States (steps, 2, H, n) of both directions over word numbers (steps, 2, n), n texts side by side."""
+        H, (steps, _, n) = HIDDEN, word.shape
+        states, h = np.empty((steps, 2, H, n), np.float32), np.zeros((2, H, n), np.float32)
+        x, g, move = np.empty((2, n, 3 * H), np.float32), np.empty((2, 3 * H, n), np.float32), np.empty((2, H, n), np.float32)
+        z, r, c = g[:, :H], g[:, H : 2 * H], g[:, 2 * H :]
+        for t in range(steps):
+            for k in (0, 1):
+                np.take(self.table[k], word[t, k], axis=0, out=x[k], mode="clip")
+            x_t = x.transpose(0, 2, 1)
+            np.matmul(self.U, h, out=g)
+            g[:, : 2 * H] += x_t[:, : 2 * H]
+            np.tanh(g[:, : 2 * H], out=g[:, : 2 * H])
+            r += 1
+            c *= r
+            c += x_t[:, 2 * H :]
+            np.tanh(c, out=c)
+            np.subtract(c, h, out=move)
+            np.subtract(1, z, out=z)
+            move *= z
+            move *= 0.5
+            h = np.add(h, move, out=states[t])
+        return states
+
     def _attended(self, flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Weight and weighted logit of each word of texts, given as word numbers one after another."""
-        net, end = self.net, np.cumsum(sizes)
+        self._learn()
+        p, end = self.net.p, np.cumsum(sizes)
         blocks = -(-sizes // BLOCK)
         low, high = np.repeat(end - sizes, blocks), np.repeat(end, blocks)
         start = low + BLOCK * (np.arange(len(low)) - np.repeat(np.cumsum(blocks) - blocks, blocks))
         size = np.minimum(BLOCK, high - start)
         weight, value = np.empty(len(flat)), np.empty(len(flat))
         order = np.argsort(size)  # blocks of like size meet
-        for a in range(0, len(order), 1024):
-            some = order[a : a + 1024]
-            first, n, lo, hi = start[some], size[some], low[some], high[some]
-            steps = LEAD + int(n.max())
-            states = np.empty((2, steps, len(some), HIDDEN), np.float32)
-            h = np.zeros((2, len(some), HIDDEN), np.float32)
-            for t in range(steps):
-                at = np.stack([first - LEAD + t, first + n + LEAD - 1 - t])
-                inside = (at >= lo) & (at < hi)
-                word = flat[np.where(inside, at, first)]
-                x = np.stack([self.table[0, word[0]], self.table[1, word[1]]])
-                h = states[:, t] = net.step(x, h, inside[..., None].astype(np.float32), h @ net.p["U"])[0]
-            which = np.repeat(np.arange(len(some)), n)
-            i = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-            s = np.concatenate([states[0, LEAD + i, which], states[1, LEAD + n[which] - 1 - i, which]], 1)
-            _, e, u = net.attention(s)
-            weight[first[which] + i], value[first[which] + i] = e, e * u
+        for a in range(0, len(order), BLOCKS_AT_ONCE):
+            some = order[a : a + BLOCKS_AT_ONCE]
+            first, n, longest = start[some], size[some], int(size[some[-1]])
+            # places from LEAD words before the blocks to LEAD after; onward none after a block is needed, back none before
+            place = np.arange(-LEAD, longest + LEAD)[:, None] + first
+            word = np.where((place >= low[some]) & (place < np.minimum(high[some], first + n + LEAD)), flat.take(place, mode="clip"), 0)
+            steps = LEAD + longest
+            states = self._states(np.stack([word[:steps], word[: LEAD - 1 : -1]], 1))
+            s = np.concatenate([states[LEAD:, 0], states[: LEAD - 1 : -1, 1]], 1)  # (longest, 2H, blocks)
+            e = np.exp(np.einsum("h,thn->tn", p["v"], np.tanh(p["A"].T @ s)))
+            u = np.einsum("h,thn->tn", p["o"], s)
+            inside = np.arange(longest)[:, None] < n
+            at = place[LEAD : LEAD + longest][inside]
+            weight[at], value[at] = e[inside], (e * u)[inside]
         return weight, value
 
     def logits(self, held: list[np.ndarray]) -> list[np.ndarray]:

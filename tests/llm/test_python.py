@@ -185,6 +185,23 @@ def test_a_scorer_keeps_few_words():
     assert np.allclose(got[::20], [toxicity.Scorer(net).worst(texts[i : i + 1])[0] for i in range(0, 60, 20)], atol=1e-5)
 
 
+def test_grams_of_many_words_at_once():
+    r = random.Random(5)
+    words = ["", "a", "é", "日本", "aaaaaaaa", "\ud800", *("".join(r.choice("abcé日_9") for _ in range(r.randint(1, 40))) for _ in range(toxicity.WORDS_AT_ONCE + 50))]
+    flat, first, size = toxicity.grams_of(words)
+    assert [flat[a : a + n].tolist() for a, n in zip(first, size, strict=True)] == [sorted(toxicity.gram_numbers(w)) for w in words]
+    assert [len(x) for x in toxicity.grams_of([])] == [0, 0, 0]
+
+
+def test_new_words_of_many_texts_are_learned_together(monkeypatch):
+    texts = pd.Series([" ".join(f"t{t}w{i}" for i in range(40)) for t in range(500)])
+    net, asked = toxicity.Net(), []
+    monkeypatch.setattr(toxicity.Net, "inputs", lambda self, words, odds=None, plain=toxicity.Net.inputs: asked.append(len(words)) or plain(self, words, odds))
+    got = toxicity.Scorer(net).worst(texts)
+    assert sum(asked) >= 20_000 and len(asked) <= 5  # a call a text before
+    assert np.allclose(got[::100], [max(plain_logits(net, t)) for t in texts[::100]], atol=1e-4)
+
+
 def test_one_passage_at_every_offset(spark):
     sf = "/root/testdata/sf0.01"
     net = toxicity.train(table(spark, sf, "documents"), table(spark, sf, "labels"))
