@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from silvaspark.jobs.fixtures import PTS, cylinders, points, points_of
-from silvaspark.operators import graph, hull, metrics, segments, shapes, spatial, structure
+from silvaspark.operators import graph, hull, metrics, segments, shapes, spatial, structure, trees
 from silvaspark.operators import points as pts
 from silvaspark.registry import ORACLES, QUERIES
 from silvaspark.registry import register as _add
@@ -169,7 +169,7 @@ ORACLES["tile_arrivals"] = f"WITH {PTS} SELECT floor(x / 1500)::BIGINT tile_i, f
 _add("stand_hull", points, lambda p: hull.convex_hulls(p, "tree_id"))
 _add("crown_diameter", points, lambda p: hull.convex_hulls(p, "tree_id").select("tree_id", F.round("diameter", 4).alias("diameter_mm")),
      ", u AS (SELECT DISTINCT tree_id, x, y FROM pts) SELECT a.tree_id, round(sqrt(max((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))), 4) AS diameter_mm FROM u a JOIN u b ON a.tree_id = b.tree_id GROUP BY ALL")
-_add("crown_spread_profile", cylinders, structure.crown_spread,
+_add("crown_spread_profile", cylinders, trees.crown_spread,
      ", e AS (SELECT tree_id, x0 + l_mm * (sin(radians(zenith)) * cos(radians(azimuth))) x1, y0 + l_mm * (sin(radians(zenith)) * sin(radians(azimuth))) y1, z0 + l_mm * cos(radians(zenith)) z1 FROM cyl WHERE branch <> 0) SELECT tree_id, floor(z1 / 1000)::BIGINT AS layer, least(floor((atan2(y1, x1) + pi()) * 18 / (2 * pi())), 17)::BIGINT AS sector, round(max(sqrt(x1 ** 2 + y1 ** 2)), 3) AS reach_mm FROM e GROUP BY ALL")
 _add("sssp_distance", cylinders, lambda c: _paths(c).select("tree_id", "node", "dist", "pred"))
 
