@@ -82,6 +82,108 @@ def _starts(g: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
 
 
+# ---- ways
+
+
+def _above(g: np.ndarray, node: np.ndarray, up: np.ndarray, hangs: np.ndarray) -> np.ndarray:
+    """Place of the row that each hangs on, -1 where there is none. Rows are sorted by tree and node; of rows of one node the first is meant."""
+    some = np.unique(node)
+    key, at = g * len(some) + np.searchsorted(some, node), np.minimum(np.searchsorted(some, up), len(some) - 1)
+    found = np.minimum(np.searchsorted(key, g * len(some) + at), len(key) - 1)
+    return np.where(hangs & (some[at] == up) & (key[found] == g * len(some) + at), found, -1)
+
+
+def _jumps(up: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows that still hang on another one, and that one, 1, 2, 4 ... steps up."""
+    at = up
+    for _ in range(64):
+        some = np.flatnonzero(at >= 0)
+        if not len(some):
+            return
+        yield some, at[some]
+        at = at.copy()
+        at[some] = at[at[some]]
+    raise RuntimeError(CIRCLE)
+
+
+def _summed_down(up: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """What each row and all that it hangs on add up to."""
+    for some, at in _jumps(up):
+        more = value[at]
+        value = value.copy()
+        value[some] += more
+    return value
+
+
+def _hanging(df: DataFrame, node: str, up: str, *further: str) -> DataFrame:
+    return df.where(F.col("tree_id").isNotNull() & F.col(node).isNotNull()).select("tree_id", node, F.coalesce(up, node).alias(up), F.col(up).isNotNull().alias("hangs"), *further)
+
+
+def bucket_components(cyl: DataFrame, intervals: tuple[int, ...]) -> DataFrame:
+    """tree_id, interval, pos, root: cylinders linked to their parents within one class of path length; root is the least of each piece.
+
+    Parents come before their children, so the least of a piece is where the way to the foot leaves the class. pos is unique within a tree."""
+
+    def run(p: pd.DataFrame, g: np.ndarray) -> pd.DataFrame:
+        pos, long = p["pos"].to_numpy(), p["l_mm"].to_numpy()
+        up = _above(g, pos, p["parent"].to_numpy(), p["hangs"].to_numpy(bool))
+        dist = _summed_down(up, np.where(up >= 0, long[up], 0))
+        out = {"tree_id": p["tree_id"].to_numpy(), "pos": pos}
+        for i in intervals:
+            bucket = dist // i
+            root = np.where((up >= 0) & (bucket == bucket[up]), up, np.arange(len(up)))
+            while (root != (root := root[root])).any():
+                pass
+            out[f"r{i}"] = pos[root]
+        return pd.DataFrame(out)
+
+    c = _hanging(cyl, "pos", "parent", F.coalesce("l_mm", F.lit(0)).cast("long").alias("l_mm"))
+    found = in_whole_trees(c, "tree_id", ["pos"], run, f"{_type(cyl)}, pos long, " + ", ".join(f"r{i} long" for i in intervals))
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("interval"), F.col(f"r{i}").alias("root")) for i in intervals])).alias("e")
+    return found.select("tree_id", "pos", each).select("tree_id", "e.interval", "pos", "e.root")
+
+
+def growth_corrected(cyl: DataFrame, factor: float = 1.5, least_mm: float = 2.5) -> DataFrame:
+    """tree_id, pos, exponent, radius_mm: radii held near a V^b + c of the volume V (litres) that grows from a cylinder, its own included.
+
+    For each b of 0.05, 0.1 ... 1 sums give a and c; the b of least squares is taken, and no value is under least_mm. A radius over `factor` times that takes its value, and one as far below, unless nothing grows from it.
+    pos is unique within a tree; cylinders without a radius or a length are left out."""
+
+    def run(p: pd.DataFrame, g: np.ndarray) -> pd.DataFrame:
+        at, pos, r, long = _starts(g), p["pos"].to_numpy(), p["r_mm"].to_numpy(), p["l_mm"].to_numpy()
+        up = _above(g, pos, p["parent"].to_numpy(), p["hangs"].to_numpy(bool))
+        grown = r * r * long
+        for some, above in _jumps(up):
+            gift = grown[some]
+            grown = grown.copy()
+            np.add.at(grown, above, gift)
+        volume, r = math.pi * grown / 1e6, r.astype(float)
+        tip = np.ones(len(up), bool)
+        tip[up[up >= 0]] = False
+        n = np.diff(np.r_[at, len(g)]).astype(float)
+        total = lambda v: np.add.reduceat(v, at)
+        sr, srr = total(r), total(r * r)
+        best = np.full((4, len(at)), math.nan)  # loss, k, a, c
+        with np.errstate(divide="ignore", invalid="ignore"):
+            for k in range(1, 21):
+                q = np.power(volume, k / 20)
+                sp, spp, srp = total(q), total(q * q), total(r * q)
+                below = n * spp - sp * sp
+                a = np.where(below == 0, math.nan, (n * srp - sr * sp) / below)
+                c = (sr - a * sp) / n
+                loss = half_up(srr - a * srp - c * sr, 3)
+                better = ~np.isnan(a) & (np.isnan(best[0]) | (loss < best[0]))
+                best[:, better] = np.stack([loss, np.full(len(at), k / 20), a, c])[:, better]
+            _, k, a, c = best[:, g]
+            fit = np.maximum(least_mm, a * np.power(volume, k) + c)
+        far = (r > factor * fit) | ((r < fit / factor) & ~tip)
+        some = ~np.isnan(k)
+        return pd.DataFrame({"tree_id": p["tree_id"].to_numpy(), "pos": pos, "exponent": k, "radius_mm": half_up(np.where(far, fit, r), 3)})[some]
+
+    c = _hanging(cyl.where("r_mm is not null and l_mm is not null"), "pos", "parent", F.col("r_mm").cast("long").alias("r_mm"), F.col("l_mm").cast("long").alias("l_mm"))
+    return in_whole_trees(c, "tree_id", ["pos"], run, f"{_type(cyl)}, pos long, exponent double, radius_mm double")
+
+
 # ---- crowns
 
 
@@ -133,3 +235,116 @@ def crown_spread(cyl: DataFrame, layer: int = 1000, sectors: int = 18) -> DataFr
     c = _cylinders(cyl.withColumn("outside", F.coalesce(F.col("branch") != 0, F.lit(False))), "outside")
     found = in_whole_trees(c, "tree_id", _pos(), run, f"{_type(cyl)}, layer double, sector double, reach_mm double")
     return found.select("tree_id", F.col("layer").cast("long").alias("layer"), F.col("sector").cast("long").alias("sector"), "reach_mm")
+
+
+#: Whole-number directions, counter-clockwise, of the tips that bound a crown at first.
+AROUND = [(4, 0), (4, 2), (3, 3), (2, 4), (0, 4), (-2, 4), (-3, 3), (-4, 2), (-4, 0), (-4, -2), (-3, -3), (-2, -4), (0, -4), (2, -4), (3, -3), (4, -2)]
+#: Pairs of places that are compared at once.
+PAIRS = 1_000_000
+
+
+def _outer(g: np.ndarray, x: np.ndarray, y: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which places may be corners of the hull, and which may be on the edge of the shape of discs of radius r, or within a disc that holds no other place of these.
+
+    Outermost places in sixteen directions make a polygon. What is inside is no corner. A disc that holds none of them but reaches a place inside does so over one side, by no more than the side's sagitta,
+    if every place inside is nearer than r to one of them: in a triangle that is so within the longest side by the root of three, and so where the span is below 1.7 r."""
+    at, n = _starts(g), len(g)
+    corner = np.empty((len(AROUND), len(at)), int)
+    for k, (a, b) in enumerate(AROUND):
+        u = a * x + b * y
+        corner[k] = np.minimum.reduceat(np.where(u == np.maximum.reduceat(u, at)[g], np.arange(n), n), at)
+    span = np.hypot(*[np.maximum.reduceat(v, at) - np.minimum.reduceat(v, at) for v in (x, y)])
+    small = span < 1.7 * r
+    inside, deep = np.ones(n, bool), small[g]
+    for k in range(len(AROUND)):
+        p, q = corner[k - 1], corner[k]
+        ex, ey = x[q] - x[p], y[q] - y[p]
+        side = np.hypot(ex, ey)
+        sagitta = r - np.sqrt(np.maximum(r * r - side * side / 4, 0))
+        off = ex[g] * (y - y[p][g]) - ey[g] * (x - x[p][g])
+        inside &= (side[g] == 0) | (off > 0)
+        deep &= (side[g] == 0) | (off > ((sagitta + 1) * side)[g])
+    flat = np.isin(np.arange(len(at)), np.flatnonzero((corner == corner[0]).all(0)))  # one place
+    return ~inside | flat[g], ~deep | flat[g]
+
+
+def _hull_areas(g: np.ndarray, x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
+    """Twice the area of the hull of each group; places are sorted by group, x and y."""
+    out = np.zeros(n, dtype=np.int64)
+    at = _starts(g)
+    xs, ys = x.tolist(), y.tolist()
+    for first, end in zip(at.tolist(), np.r_[at[1:], len(g)].tolist(), strict=True):
+        twice = 0
+        for way in (range(first, end), range(end - 1, first - 1, -1)):
+            chain: list[tuple[int, int]] = []
+            for i in way:
+                px, py = xs[i], ys[i]
+                while len(chain) > 1 and (chain[-1][0] - chain[-2][0]) * (py - chain[-2][1]) - (chain[-1][1] - chain[-2][1]) * (px - chain[-2][0]) <= 0:
+                    chain.pop()
+                chain.append((px, py))
+            twice += sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(chain, chain[1:], strict=False))
+        out[g[first]] = twice
+    return out
+
+
+def _shape_areas(g: np.ndarray, x: np.ndarray, y: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """Twice the area of each group's alpha shape: an edge leads from a place to the neighbour whose arc of directions of centres begins outside all other arcs of that place (see `alpha`)."""
+    out = np.zeros(len(r), dtype=np.int64)
+    at = _starts(g)
+    of, size = g[at], np.diff(np.r_[at, len(g)])
+    width = 2 ** np.ceil(np.log2(np.maximum(size, 4))).astype(int)
+    for w in np.unique(width):
+        some = np.flatnonzero(width == w)
+        # rows are places, a block of them at a time; columns all places of their group
+        row = np.concatenate([np.arange(at[i], at[i] + size[i]) for i in some])
+        first, n = np.repeat(at[some], size[some]), np.repeat(size[some], size[some])
+        for b in range(0, len(row), max(1, PAIRS // w)):
+            i, f, m = (v[b : b + max(1, PAIRS // w)] for v in (row, first, n))
+            j = np.minimum(f[:, None] + np.arange(w), f[:, None] + m[:, None] - 1)
+            dx, dy, rr = x[j] - x[i][:, None], y[j] - y[i][:, None], r[g[i]][:, None]
+            d = np.sqrt((dx * dx + dy * dy).astype(float))
+            near = (np.arange(w) < m[:, None]) & (d > 0) & (d < 2 * rr)
+            wide = 2 * np.arccos(np.minimum(d / (2 * rr), 1))
+            a = np.arctan2(dy, dx) - wide / 2
+            a = np.where(near, a + np.where(a < -math.pi, 2 * math.pi, 0), math.inf)
+            end = np.where(near, a + wide, -10.0)
+            order = np.lexsort((d, a))
+            a, end, j = (np.take_along_axis(v, order, 1) for v in (a, end, j))
+            before = np.maximum.accumulate(end, axis=1)
+            shut = np.maximum(np.c_[np.full(len(i), -10.0), before[:, :-1]], before[:, -1:] - 2 * math.pi)
+            open_ = np.isfinite(a) & (a >= shut)
+            p, q = np.repeat(i, open_.sum(1)), j[open_]
+            np.add.at(out, g[p], (x[p] + x[q]) * (y[q] - y[p]))
+    return out
+
+
+def crown_areas(cyl: DataFrame) -> DataFrame:
+    """tree_id, mean_mm, max_mm (of `crown_diameters`), convex_m2, alpha_m2: ground plan of the ends of a tree's cylinders, at whole millimetres: of its hull, and of its alpha shape with the radius 1 / max(0.5, a tenth of the mean width), in metres.
+
+    Holes of the shape don't count. Only places near the hull are compared with each other, unless a crown is wider than 1.7 times the radius: then all places of the tree are, a block at a time."""
+
+    def run(p: pd.DataFrame, g: np.ndarray) -> pd.DataFrame:
+        at, end = _starts(g), _ends(p)
+        mean, most = _widths(p, g, end)
+        r = 1000 / np.fmax(0.5, mean / 10 / 1000)
+        x, y = (np.r_[half_up(p[f"{c}0"].to_numpy(), 0), half_up(half_up(end[c], 4), 0)] for c in "xy")
+        k = np.r_[g, g]
+        known = np.isfinite(x) & np.isfinite(y)
+        x, y, k = x[known].astype(np.int64), y[known].astype(np.int64), k[known]
+        order = np.lexsort((y, x, k))
+        x, y, k = x[order], y[order], k[order]
+        new = np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1]) | (k[1:] != k[:-1])] if len(k) else np.zeros(0, bool)
+        x, y, k = x[new], y[new], k[new]
+        twice = np.zeros((2, len(at)))
+        none = np.bincount(k, minlength=len(at)) == 0
+        if len(k):
+            of, k = np.unique(k, return_inverse=True)
+            low = [np.minimum.reduceat(v, _starts(k))[k] for v in (x, y)]
+            x, y = x - low[0], y - low[1]
+            corners, edges = _outer(k, x, y, r[of])
+            twice[0, of] = _hull_areas(k[corners], x[corners], y[corners], len(of))
+            twice[1, of] = _shape_areas(k[edges], x[edges], y[edges], r[of])
+        convex, alpha = (np.where(none, math.nan, v / 2e6) for v in twice)
+        return pd.DataFrame({"tree_id": p["tree_id"].to_numpy()[at], "mean_mm": mean, "max_mm": most, "convex_m2": convex, "alpha_m2": alpha})
+
+    return in_whole_trees(_cylinders(cyl), "tree_id", _pos(), run, f"{_type(cyl)}, mean_mm double, max_mm double, convex_m2 double, alpha_m2 double")

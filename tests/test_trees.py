@@ -11,8 +11,9 @@ import pytest
 
 from silvaspark.catalog import ORACLES
 from silvaspark.jobs.fixtures import CYL
-from silvaspark.operators import trees
+from silvaspark.operators import rules, trees
 
+QUERY = {"bucket_components": lambda c: trees.bucket_components(c, rules.INTERVALS)}
 CYLINDER = "tree_id long, pos long, branch long, parent long, r_mm long, l_mm long, azimuth long, zenith long, x0 long, y0 long, z0 long"
 
 
@@ -61,3 +62,32 @@ def test_trees_are_cut_where_they_end(spark):
 
     got = trees.in_whole_trees(df, "tree_id", ["pos"], run, "tree_id long, n long, ordered boolean", rows=20).collect()
     assert {r.tree_id: r.n for r in got} == sizes and len(got) == len(sizes) and all(r.ordered for r in got)
+
+
+def grown(seed: int) -> list[tuple]:
+    """Trees of many shapes: chains, stars, several feet, numbers with gaps."""
+    rng, rows = random.Random(seed), []
+    for t in range(40):
+        numbers = sorted(rng.sample(range(1000), rng.choice([1, 2, 30, 90])))
+        for i, pos in enumerate(numbers):
+            parent = rng.choice([numbers[i - 1], numbers[max(0, i - 5)], numbers[0]]) if i and rng.random() > 0.03 else -1
+            rows.append((t, pos, int(i >= 8), parent, rng.randrange(5, 200), rng.randrange(50, 500), rng.randrange(360), rng.randrange(81), 10 * i, 0, 10 * i))
+    rng.shuffle(rows)
+    return rows
+
+
+def written(spark) -> int:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(spark.conf.get("spark.checkpoint.dir"))
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.getContentSummary(folder).getFileAndDirectoryCount() if fs.exists(folder) else 0
+
+
+def test_pieces_of_path_classes_are_as_in_sql_and_write_no_rounds(spark):
+    """Rounds of five rows a cylinder, each written to the checkpoint folder, took the disk."""
+    cyl = spark.createDataFrame(grown(3), CYLINDER)
+    spark.range(1).checkpoint()  # the folder is there
+    before = written(spark)
+    got = sorted(tuple(r) for r in QUERY["bucket_components"](cyl).collect())
+    assert got == sql("bucket_components", cyl.toPandas()) and written(spark) == before
+    with pytest.raises(Exception, match="circle"):
+        QUERY["bucket_components"](spark.createDataFrame([(1, 0, 0, 1, 9, 9, 0, 0, 0, 0, 0), (1, 1, 0, 0, 9, 9, 0, 0, 0, 0, 0)], CYLINDER)).collect()
