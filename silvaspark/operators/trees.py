@@ -318,33 +318,138 @@ def _shape_areas(g: np.ndarray, x: np.ndarray, y: np.ndarray, r: np.ndarray) ->
     return out
 
 
+def _plan(p: pd.DataFrame, g: np.ndarray, end: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
+    """Mean and greatest width, area of the hull and of the alpha shape of each tree."""
+    at = _starts(g)
+    mean, most = _widths(p, g, end)
+    r = 1000 / np.fmax(0.5, mean / 10 / 1000)
+    x, y = (np.r_[half_up(p[f"{c}0"].to_numpy(), 0), half_up(half_up(end[c], 4), 0)] for c in "xy")
+    k = np.r_[g, g]
+    known = np.isfinite(x) & np.isfinite(y)
+    x, y, k = x[known].astype(np.int64), y[known].astype(np.int64), k[known]
+    order = np.lexsort((y, x, k))
+    x, y, k = x[order], y[order], k[order]
+    new = np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1]) | (k[1:] != k[:-1])][: len(k)]
+    x, y, k = x[new], y[new], k[new]
+    twice = np.zeros((2, len(at)))
+    none = np.bincount(k, minlength=len(at)) == 0
+    if len(k):
+        of, k = np.unique(k, return_inverse=True)
+        x, y = (v - np.minimum.reduceat(v, _starts(k))[k] for v in (x, y))
+        corners, edges = _outer(k, x, y, r[of])
+        twice[0, of] = _hull_areas(k[corners], x[corners], y[corners], len(of))
+        twice[1, of] = _shape_areas(k[edges], x[edges], y[edges], r[of])
+    return mean, most, *(np.where(none, math.nan, v / 2e6) for v in twice)
+
+
 def crown_areas(cyl: DataFrame) -> DataFrame:
-    """tree_id, mean_mm, max_mm (of `crown_diameters`), convex_m2, alpha_m2: ground plan of the ends of a tree's cylinders, at whole millimetres: of its hull, and of its alpha shape with the radius 1 / max(0.5, a tenth of the mean width), in metres.
+    """tree_id, convex_m2, alpha_m2: ground plan of the ends of a tree's cylinders, at whole millimetres: of its hull, and of its alpha shape with the radius 1 / max(0.5, a tenth of the mean width of `crown_diameters`), in metres.
 
     Holes of the shape don't count. Only places near the hull are compared with each other, unless a crown is wider than 1.7 times the radius: then all places of the tree are, a block at a time."""
 
+    def run(p: pd.DataFrame, g: np.ndarray) -> pd.DataFrame:
+        _, _, convex, alpha = _plan(p, g, _ends(p))
+        return pd.DataFrame({"tree_id": p["tree_id"].to_numpy()[_starts(g)], "convex_m2": convex, "alpha_m2": alpha})
+
+    return in_whole_trees(_cylinders(cyl), "tree_id", _pos(), run, f"{_type(cyl)}, convex_m2 double, alpha_m2 double").where("convex_m2 is not null")
+
+
+def _breast_height(p: pd.DataFrame, g: np.ndarray, n: int, at_mm: float = 1300) -> np.ndarray:
+    """Diameter (mm) of the first trunk cylinder whose summed length gets to breast height, of the last one if none does; not a number without a trunk."""
+    t = np.flatnonzero(p["branch"].to_numpy() == 0)
+    out = np.full(n, math.nan)
+    if len(t):
+        k, long, r = g[t], np.nan_to_num(p["l_mm"].to_numpy()[t]), p["r_mm"].to_numpy()[t]
+        at = _starts(k)
+        upto = np.cumsum(long)
+        upto -= np.repeat(upto[at] - long[at], np.diff(np.r_[at, len(k)]))
+        hit = np.where(upto >= at_mm, np.arange(len(k)), len(k))
+        first, last = np.minimum.reduceat(hit, at), np.r_[at[1:], len(k)] - 1
+        out[k[at]] = 2 * r[np.where(first < len(k), first, last)]
+    return out
+
+
+def _crown_base(p: pd.DataFrame, g: np.ndarray, end: dict[str, np.ndarray], dbh: np.ndarray) -> np.ndarray:
+    """See rules.crown_base: mm above the foot; not a number in trees without a major branch."""
+    n, branch, z = len(dbh), p["branch"].to_numpy(), p["z0"].to_numpy()
+    out = np.full(n, math.nan)
+    rows = np.flatnonzero(~np.isnan(branch))
+    rows = rows[np.lexsort((rows, branch[rows], g[rows]))]
+    if not len(rows):
+        return out
+    begins = np.r_[True, (g[rows][1:] != g[rows][:-1]) | (branch[rows][1:] != branch[rows][:-1])]
+    starts, number = np.flatnonzero(begins), np.full(len(g), -1)
+    number[rows] = np.cumsum(begins) - 1
+    foot = rows[starts]
+    # first-order branches by their own cylinders of that order
+    one = rows[p["branch_order"].to_numpy()[rows] == 1]
+    if not len(one):
+        return out
+    at = _starts(number[one])
+    a, b, tree = one[at], one[np.r_[at[1:], len(one)] - 1], g[one[at]]
+    dx, dy = (end[c][b] - p[f"{c}0"].to_numpy()[a] for c in "xy")
+    with np.errstate(divide="ignore", invalid="ignore"):
+        reach = half_up(np.sqrt(dx * dx + dy * dy) / dbh[tree] * 2, 9)
+    known = ~np.isnan(reach)
+    a, tree, reach = a[known], tree[known], reach[known]
+    if not len(a):
+        return out
+    some = reach[np.lexsort((reach, tree))]
+    at = _starts(tree)
+    size = np.diff(np.r_[at, len(tree)])
+    middle = np.full(n, math.nan)
+    middle[tree[at]] = np.minimum(10.0, (some[at + (size - 1) // 2] + some[at + size // 2]) / 2)
+    big = np.flatnonzero((2 * p["r_mm"].to_numpy()[a] > np.fmin(50.0, 0.05 * dbh[tree])) & (reach > middle[tree]))
+    if not len(big):
+        return out
+    big = a[big[np.lexsort((branch[a][big], z[a][big], tree[big]))]]
+    big = big[_starts(g[big])]
+    above = _above(g, p["pos"].to_numpy(), p["parent"].to_numpy(), p["hangs"].to_numpy(bool))[foot]
+    crown = np.zeros(len(starts), bool)
+    crown[number[big]] = True
+    for down, up in _jumps(np.where(above >= 0, number[above], -1)):
+        more = crown[up]
+        crown = crown.copy()
+        crown[down] |= more
+    inside = np.flatnonzero((number >= 0) & crown[number])
+    low = np.full(n, math.inf)
+    np.fmin.at(low, g[inside], np.fmin(z, end["z"])[inside])
+    return np.where(np.isinf(low), math.nan, half_up(low - z[_starts(g)], 4))
+
+
+def tree_data(cyl: DataFrame) -> DataFrame:
+    """One row a tree: sizes (of `structure.tree_rollup`), diameter at breast height, crown base, length and ratio, crown widths and areas. pos is unique within a tree; trees without a trunk have no row."""
+
     def run(p: pd.DataFrame, g: np.ndarray) -> pd.DataFrame:
         at, end = _starts(g), _ends(p)
-        mean, most = _widths(p, g, end)
-        r = 1000 / np.fmax(0.5, mean / 10 / 1000)
-        x, y = (np.r_[half_up(p[f"{c}0"].to_numpy(), 0), half_up(half_up(end[c], 4), 0)] for c in "xy")
-        k = np.r_[g, g]
-        known = np.isfinite(x) & np.isfinite(y)
-        x, y, k = x[known].astype(np.int64), y[known].astype(np.int64), k[known]
-        order = np.lexsort((y, x, k))
-        x, y, k = x[order], y[order], k[order]
-        new = np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1]) | (k[1:] != k[:-1])] if len(k) else np.zeros(0, bool)
-        x, y, k = x[new], y[new], k[new]
-        twice = np.zeros((2, len(at)))
-        none = np.bincount(k, minlength=len(at)) == 0
-        if len(k):
-            of, k = np.unique(k, return_inverse=True)
-            low = [np.minimum.reduceat(v, _starts(k))[k] for v in (x, y)]
-            x, y = x - low[0], y - low[1]
-            corners, edges = _outer(k, x, y, r[of])
-            twice[0, of] = _hull_areas(k[corners], x[corners], y[corners], len(of))
-            twice[1, of] = _shape_areas(k[edges], x[edges], y[edges], r[of])
-        convex, alpha = (np.where(none, math.nan, v / 2e6) for v in twice)
-        return pd.DataFrame({"tree_id": p["tree_id"].to_numpy()[at], "mean_mm": mean, "max_mm": most, "convex_m2": convex, "alpha_m2": alpha})
-
-    return in_whole_trees(_cylinders(cyl), "tree_id", _pos(), run, f"{_type(cyl)}, mean_mm double, max_mm double, convex_m2 double, alpha_m2 double")
+        n = len(at)
+        branch, r, long, z = (p[c].to_numpy() for c in ("branch", "r_mm", "l_mm", "z0"))
+        out = {"tree_id": p["tree_id"].to_numpy()[at]}
+        parts = {"total": np.ones(len(g), bool), "trunk": branch == 0, "branch": (branch != 0) & ~np.isnan(branch)}
+        for name, value in (("volume", r * r * long), ("area", r * long), ("length", long)):
+            for part, some in parts.items():
+                total = np.add.reduceat(np.where(some & ~np.isnan(value), value, 0), at)
+                out[f"{part}_{name}"] = math.pi * total / 1e6 if name == "volume" else 2 * math.pi * total / 1e6 if name == "area" else total / 1000
+        order = np.lexsort((branch, g))
+        own = np.r_[True, (g[order][1:] != g[order][:-1]) | (branch[order][1:] != branch[order][:-1])] & ~np.isnan(branch[order])
+        out["n_branches"] = np.bincount(g[order][own], minlength=n) - 1
+        out["max_order"] = np.fmax.reduceat(p["branch_order"].to_numpy(), at)
+        # the highest start, and of equal ones the last
+        top = np.lexsort((np.arange(len(g)), np.where(np.isnan(z), -math.inf, z), g))[np.r_[at[1:], len(g)] - 1]
+        up = long * _of_each(math.cos, p["zenith"].to_numpy() * (math.pi / 180))
+        height = half_up((z[top] + np.fmax(up[top], 0.0) - np.fmin.reduceat(z, at)) / 1000, 6)
+        dbh = _breast_height(p, g, n)
+        base = _crown_base(p, g, end, dbh)
+        length = height - base / 1000
+        with np.errstate(divide="ignore", invalid="ignore"):
+            ratio = half_up(np.where(height == 0, math.nan, length / height), 6)
+        mean, most, convex, alpha = _plan(p, g, end)
+        out |= {"height": height, "dbh_mm": dbh, "base_mm": base, "crown_length": half_up(length, 8), "crown_ratio": ratio, "crown_mean_mm": mean, "crown_max_mm": most, "crown_convex_m2": convex, "crown_alpha_m2": alpha}
+        return pd.DataFrame(out)[~np.isnan(dbh)]
+
+    c = cyl.where("tree_id is not null and pos is not null")
+    c = c.select("tree_id", "pos", F.coalesce("parent", "pos").alias("parent"), F.col("parent").isNotNull().alias("hangs"), *[F.col(k).cast("double").alias(k) for k in ("branch", "branch_order", "r_mm", "l_mm", "azimuth", "zenith", "x0", "y0", "z0")])
+    sums = [f"{part}_{name}" for name in ("volume", "area", "length") for part in ("total", "trunk", "branch")]
+    rest = ("height", "dbh_mm", "base_mm", "crown_length", "crown_ratio", "crown_mean_mm", "crown_max_mm", "crown_convex_m2", "crown_alpha_m2")
+    found = in_whole_trees(c, "tree_id", ["pos"], run, f"{_type(cyl)}, " + ", ".join(f"{k} double" for k in sums) + ", n_branches long, max_order double, " + ", ".join(f"{k} double" for k in rest))
+    return found.withColumns({k: F.col(k).cast("long") for k in ("max_order", "dbh_mm")})

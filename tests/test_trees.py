@@ -13,7 +13,7 @@ from silvaspark.catalog import ORACLES
 from silvaspark.jobs.fixtures import CYL
 from silvaspark.operators import rules, trees
 
-QUERY = {"bucket_components": lambda c: trees.bucket_components(c, rules.INTERVALS)}
+QUERY = {"bucket_components": lambda c: trees.bucket_components(c, rules.INTERVALS), "crown_areas": trees.crown_areas, "tree_data": trees.tree_data, "growth_corrected": trees.growth_corrected}
 CYLINDER = "tree_id long, pos long, branch long, parent long, r_mm long, l_mm long, azimuth long, zenith long, x0 long, y0 long, z0 long"
 
 
@@ -91,3 +91,28 @@ def test_pieces_of_path_classes_are_as_in_sql_and_write_no_rounds(spark):
     assert got == sql("bucket_components", cyl.toPandas()) and written(spark) == before
     with pytest.raises(Exception, match="circle"):
         QUERY["bucket_components"](spark.createDataFrame([(1, 0, 0, 1, 9, 9, 0, 0, 0, 0, 0), (1, 1, 0, 0, 9, 9, 0, 0, 0, 0, 0)], CYLINDER)).collect()
+
+
+@pytest.mark.parametrize("name", ["crown_areas", "tree_data", "growth_corrected"])
+def test_rows_of_trees_are_as_in_sql_and_write_nothing(spark, name):
+    """Places of a tree met in a join, and cylinders were written and joined again for each group of columns; that took the disk."""
+    rows = []
+    for t, pos, _, parent, r, long, azimuth, zenith, *at in grown(8):
+        rows.append((t, pos, pos % 7, parent, r, long, azimuth, zenith, *at))
+    orders = "branch_order long"
+    cyl = spark.createDataFrame([(*r, int(r[2] > 0)) for r in rows], f"{CYLINDER}, {orders}")
+    pdf = cyl.toPandas()
+    pdf["pib"] = pdf.sort_values("pos").groupby(["tree_id", "branch"]).cumcount()
+    spark.range(1).checkpoint()
+    before = written(spark)
+    got = {tuple(r) for r in QUERY[name](cyl).collect()}
+    assert got == set(sql(name, pdf)) and written(spark) == before
+
+
+def test_a_crown_wider_than_its_radius_has_its_shape(spark):
+    """Tips in rings of 4 m and 1 m: places are not left out by the polygon about them, and areas agree with those by edges."""
+    rng = random.Random(2)
+    rows = [(t, i, int(i > 0), i - 1, 9, 4000 if i % 3 else 1000, rng.randrange(360), 80, 40 * rng.randrange(9), 0, 0) for t in range(4) for i in range(60 * t + 1)]
+    cyl = spark.createDataFrame(rows, CYLINDER)
+    got = {r.tree_id: (r.convex_m2, r.alpha_m2) for r in trees.crown_areas(cyl).collect()}
+    assert got == {r[0]: r[1:] for r in sql("crown_areas", cyl.toPandas())} and got[3][1] < got[3][0]
