@@ -1,8 +1,8 @@
 """Topology of segments by longest ways: each segment goes from its base to the tip that is farthest along the tree, the stem to the top.
 
 Nodes are rows (by, node, up, x, y, z) in whole millimetres; node is unique within `by`, the tree, and up is the node it hangs on, null or unknown at a root. Ways are sums of steps in whole
-millimetres, so they don't depend on the order of rows. All trees take each round together, and doubled jumps need as many rounds as the logarithm of the deepest way; what several nodes tell one below
-them is reduced before it moves. Each round is written to the shared checkpoint folder.
+millimetres, so they don't depend on the order of rows. A task takes whole trees as arrays (see `trees`), and doubled jumps need as many rounds as the logarithm of the deepest way; the result alone is
+written to the shared checkpoint folder, where it stays.
 
 Rows with a null in by, node or a coordinate are no nodes, and what hangs on them is a root; of rows with one node the least by (up, x, y, z) counts; nodes that go round in a circle raise an error;
 empty tables give empty results; further columns are ignored.
@@ -10,10 +10,13 @@ empty tables give empty results; further columns are ignored.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from silvaspark.common import Rounds
+from silvaspark.operators import trees
 from silvaspark.operators.points import XYZ
 from silvaspark.operators.sets import level_parts
 
@@ -21,69 +24,78 @@ from silvaspark.operators.sets import level_parts
 NEAR, NONE, WIDER, RATIO = 500, 500, 1000, 1.05
 
 
-def _step(a: str, b: str):
-    return F.round(F.sqrt(sum(((F.col(f"{a}{c}") - F.col(f"{b}{c}")) * (F.col(f"{a}{c}") - F.col(f"{b}{c}")) for c in XYZ), F.lit(0)).cast("double"))).cast("long")
+def _farthest(g: np.ndarray, node: np.ndarray, up: np.ndarray, way: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Place of the tip above each node that is farthest along the tree, those marked `first` before others, ties to the least node."""
+    order = np.lexsort((node, -way, ~first, g))
+    best = np.empty(len(g), np.int64)
+    best[order] = np.arange(len(g))
+    for some, at in trees._jumps(up):
+        told = best[some]
+        best = best.copy()
+        np.minimum.at(best, at, told)
+    return order[best]
 
 
-def clean_nodes(nodes: DataFrame, by: str, rounds: Rounds) -> DataFrame:
-    """by, node, up (null at a root), x, y, z, len (of the step to up, 0 at a root)."""
-    n = nodes.select(F.col(by).alias("by"), "node", "up", *XYZ).dropna(subset=["by", "node", *XYZ])
-    n = rounds.keep(n.groupBy("by", "node").agg(F.min(F.struct("up", *XYZ)).alias("m")).select("by", "node", "m.*"))
-    below = n.select("by", F.col("node").alias("b_node"), *[F.col(c).alias(f"b_{c}") for c in XYZ])
-    j = n.join(below.withColumnRenamed("by", "b_by"), (F.col("by") == F.col("b_by")) & (F.col("up") == F.col("b_node")), "left")
-    return rounds.keep(j.select("by", "node", F.col("b_node").alias("up"), *XYZ, F.coalesce(_step("", "b_"), F.lit(0)).cast("long").alias("len")))
-
-
-def farthest(nodes: DataFrame, rounds: Rounds, max_rounds: int = 60) -> DataFrame:
-    """by, node, root, way (to the root), tip, far: the tip above each node that is farthest along the tree, tips marked `first` before others, ties to the least. nodes: by, node, up, len, first."""
-    best = F.struct((~F.col("first")).alias("later"), F.lit(0).cast("long").alias("back"), F.col("node").alias("tip"))
-    now = rounds.keep(nodes.select("by", "node", F.col("up").alias("at"), F.col("len").alias("way"), F.when(F.col("up").isNull(), F.col("node")).alias("root"), best.alias("best")))
-    for _ in range(max_rounds):
-        told = now.where("at is not null").select("by", F.col("at").alias("node"), F.struct("best.later", (F.col("best.back") - F.col("way")).alias("back"), "best.tip").alias("best"))
-        known = told.groupBy("by", "node").agg(F.min("best").alias("heard"))
-        ahead = now.select("by", F.col("node").alias("at"), F.col("at").alias("next"), F.col("way").alias("more"), F.col("root").alias("end"))
-        j = now.join(known, ["by", "node"], "left").join(ahead, ["by", "at"], "left")
-        now = rounds.keep(j.select("by", "node", F.col("next").alias("at"), (F.col("way") + F.coalesce("more", F.lit(0))).alias("way"), F.coalesce("root", "end").alias("root"), F.least("best", F.coalesce("heard", "best")).alias("best")))
-        if not now.where("at is not null").limit(1).count():
-            return now.select("by", "node", "root", "way", F.col("best.tip").alias("tip"), (-F.col("best.back")).alias("far"))
-    raise RuntimeError("nodes hang on each other in a circle")
-
-
-def stem_tops(nodes: DataFrame, ways: DataFrame, *, near: int = NEAR, none: int = NONE, wider: int = WIDER, ratio: float = RATIO) -> DataFrame:
-    """by, root, top: the tip to which each root's stem goes.
+def _stem_tops(p: pd.DataFrame, tips: np.ndarray, root: np.ndarray, way: np.ndarray, near: int, none: int, wider: int, ratio: float) -> np.ndarray:
+    """Places of the tips to which the stem of each root goes.
 
     Tips are looked for around the place above the root at the height of its highest tip: within `near`, in steps of `none` where there is none, and then `wider` and wider until a tip's way is within `ratio` of its
-    distance from the root; of the tips found then the straightest. Where none is so straight, the straightest of all. nodes: by, node, x, y, z; ways: of `farthest`."""
-    tips = ways.where("node = tip").join(nodes.select("by", "node", *XYZ), ["by", "node"])
-    foot = nodes.select("by", F.col("node").alias("root"), *[F.col(c).alias(f"r_{c}") for c in XYZ])
-    t = tips.join(foot, ["by", "root"])
-    high = t.groupBy("by", "root").agg(F.max("z").alias("high"))
-    dx, dy, dz, dh = F.col("x") - F.col("r_x"), F.col("y") - F.col("r_y"), F.col("high") - F.col("z"), F.col("z") - F.col("r_z")
-    t = t.join(high, ["by", "root"]).withColumn("off2", dx * dx + dy * dy + dz * dz).withColumn("straight", F.round(F.col("way") / F.nullif(F.sqrt((dx * dx + dy * dy + dh * dh).cast("double")), F.lit(0.0)), 9))
-    first = t.groupBy("by", "root").agg(F.sqrt(F.min("off2").cast("double")).alias("least"))
-    begin = F.when(F.col("least") < near, near).otherwise(near + none * (F.floor((F.col("least") - near) / none) + 1))
-    off = F.sqrt(F.col("off2").cast("double"))
-    t = t.join(first, ["by", "root"]).withColumn("ring", F.when(off < begin, 0).otherwise(F.floor((off - begin) / wider) + 1).cast("long"))
-    much = F.coalesce(F.col("straight") > ratio, F.lit(True))
-    order = F.struct(much.alias("much"), F.when(much, 0).otherwise(F.col("ring")).alias("ring"), F.coalesce("straight", F.lit(float("inf"))).alias("straight"), F.col("node").alias("top"))
-    return t.groupBy("by", "root").agg(F.min(order).alias("m")).select("by", "root", F.col("m.top").alias("top"))
-
-
-def longest_ways(nodes: DataFrame, by: str = "tree_id", **rule: float) -> DataFrame:
-    """by, node, segment, parent_segment (null for a stem), way, stem of each node: the stem goes from its root to the top (`stem_tops`), every other segment from where it leaves another one to the tip farthest from there.
+    distance from the root; of the tips found then the straightest. Where none is so straight, the straightest of all."""
+    x, y, z = (p[c].to_numpy() for c in XYZ)
+    r = root[tips]
+    high, least = np.full(len(x), np.iinfo(np.int64).min), np.full(len(x), np.inf)
+    np.maximum.at(high, r, z[tips])
+    dx, dy, dz, dh = x[tips] - x[r], y[tips] - y[r], high[r] - z[tips], z[tips] - z[r]
+    off, apart = (np.sqrt((dx * dx + dy * dy + d * d).astype(float)) for d in (dz, dh))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        straight = np.where(apart == 0, np.inf, trees.half_up(way[tips] / apart, 9))
+    np.minimum.at(least, r, off)
+    begin = np.where(least[r] < near, near, near + none * (np.floor((least[r] - near) / none) + 1))
+    much = straight > ratio
+    ring = np.where(much | (off < begin), 0, np.floor((off - begin) / wider) + 1)
+    order = np.lexsort((p["node"].to_numpy()[tips], straight, ring, much, r))
+    return tips[order[trees._starts(r[order])]] if len(tips) else tips
+
+
+def longest_ways(nodes: DataFrame, by: str = "tree_id", *, near: int = NEAR, none: int = NONE, wider: int = WIDER, ratio: float = RATIO) -> DataFrame:
+    """by, node, segment, parent_segment (null for a stem), way, stem of each node: the stem goes from its root to the top (`_stem_tops`), every other segment from where it leaves another one to the tip farthest from there.
 
     Segments have the number of their tip; way is the length from the root in mm."""
-    rounds = Rounds(nodes.sparkSession)
-    n = clean_nodes(nodes, by, rounds)
-    tops = rounds.keep(stem_tops(n, farthest(n.withColumn("first", F.lit(False)), rounds), **rule))
-    marked = n.join(tops.select("by", F.col("top").alias("node"), F.lit(True).alias("first")), ["by", "node"], "left").withColumn("first", F.coalesce("first", F.lit(False)))
-    ways = farthest(marked, rounds)
-    s = rounds.keep(ways.join(n.select("by", "node", "up"), ["by", "node"]))
-    below = s.select("by", F.col("node").alias("up"), F.col("tip").alias("under"))
-    parents = s.join(below, ["by", "up"]).where("under <> tip").select("by", "tip", F.col("under").alias("parent_segment"))
-    stems = tops.select("by", F.col("top").alias("tip"), F.lit(True).alias("stem"))
-    out = s.join(parents, ["by", "tip"], "left").join(stems, ["by", "tip"], "left")
-    return rounds.last(out.select(F.col("by").alias(by), "node", F.col("tip").alias("segment"), "parent_segment", "way", F.coalesce("stem", F.lit(False)).alias("stem")))
+
+    def run(p: pd.DataFrame, g: np.ndarray) -> pd.DataFrame:
+        own = np.r_[True, (g[1:] != g[:-1]) | (p["node"].to_numpy()[1:] != p["node"].to_numpy()[:-1])]
+        p, g = p[own].reset_index(drop=True), g[own]
+        node, (x, y, z) = p["node"].to_numpy(), (p[c].to_numpy() for c in XYZ)
+        up = trees._above(g, node, p["up"].to_numpy(), p["hangs"].to_numpy(bool))
+        d2 = sum((v - v[up]) * (v - v[up]) for v in (x, y, z))
+        way = trees._summed_down(up, np.where(up >= 0, np.rint(np.sqrt(d2.astype(float))), 0).astype(np.int64))
+        root = np.arange(len(g))
+        for some, at in trees._jumps(up):
+            root = root.copy()
+            root[some] = root[at]
+        none_first = np.zeros(len(g), bool)
+        tips = np.flatnonzero(_farthest(g, node, up, way, none_first) == np.arange(len(g)))
+        stem = none_first.copy()
+        stem[_stem_tops(p, tips, root, way, near, none, wider, ratio)] = True
+        tip = _farthest(g, node, up, way, stem)
+        under = np.full(len(g), -1)
+        leaves = np.flatnonzero((up >= 0) & (tip[up] != tip))
+        under[tip[leaves]] = tip[up[leaves]]
+        parent = under[tip]
+        return pd.DataFrame({by: p["tree_id"].to_numpy(), "node": node, "segment": node[tip], "parent_segment": node[parent], "known": parent >= 0, "way": way, "stem": stem[tip]})
+
+    n = nodes.select(F.col(by).alias("tree_id"), "node", "up", *XYZ).dropna(subset=["tree_id", "node", *XYZ])
+    n = trees._hanging(n, "node", "up", *XYZ)
+    kind = lambda c: n.schema[c].dataType.simpleString()
+    order = ["node", F.when(F.col("hangs"), F.col("up")).asc_nulls_first(), *XYZ]
+    found = trees.in_whole_trees(n, "tree_id", order, run, f"`{by}` {kind('tree_id')}, node {kind('node')}, segment {kind('node')}, parent_segment {kind('node')}, known boolean, way long, stem boolean")
+    try:
+        out = Rounds(nodes.sparkSession).keep(found)
+    except Exception as e:
+        if trees.CIRCLE in str(e):
+            raise RuntimeError(trees.CIRCLE) from e
+        raise
+    return out.select(by, "node", "segment", F.when(F.col("known"), F.col("parent_segment")).alias("parent_segment"), "way", "stem")
 
 
 def long_segments(sets: DataFrame, links: DataFrame, base: DataFrame, by: str = "tree_id", **rule: float) -> DataFrame:

@@ -88,6 +88,18 @@ def test_odd_tables(spark):
         longest_ways(spark.createDataFrame([(1, 1, 2, 0, 0, 0), (1, 2, 3, 1, 0, 0), (1, 3, 1, 2, 0, 0)], SCHEMA))
 
 
+def test_trees_of_any_depth_take_a_few_jobs(spark):
+    """Rounds of joins, as many as the logarithm of the depth, left plans and file lists in the driver."""
+    rows = [(t, n, n - 1, 0, 0, 100 * n) for t in range(30) for n in range(400)]
+    spark.sparkContext.setJobGroup("ways", "ways")
+    try:
+        got = longest_ways(spark.createDataFrame(rows, SCHEMA)).collect()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(got) == len(rows) and {r.segment for r in got} == {399} and max(r.way for r in got) == 39_900
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("ways")) < 8
+
+
 def test_segments_of_cover_sets(spark):
     """A trunk of two sets a level that forks: the straight arm goes on as the stem, the other, which reaches as far, is a branch; a set that nothing links is left out."""
     sets, links = [], []
